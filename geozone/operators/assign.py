@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geozone.functions.hashing import stable_hash
-from geozone.operators.ordinal import MAX_GROUP_ROWS, list_sizes, ordinal
+from geozone.operators.ordinal import list_sizes, ordinal
 
 # Array length per step of `expand_ranges`.
 RANGE_CHUNK = 10_000
+# Up to this many rows per group Spark keeps only the first rows of each group before the shuffle
+# (default of spark.sql.optimizer.windowGroupLimitThreshold).
+FIRST_ROWS = 1000
 
 
 def assign_zone_quota(
@@ -20,7 +23,6 @@ def assign_zone_quota(
     per_zone: int | str,
     order: str = "item",
     slots: DataFrame | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Zone number i of a group takes its items `[i * per_zone, (i + 1) * per_zone)`.
 
@@ -31,7 +33,15 @@ def assign_zone_quota(
     """
     quota = F.col(per_zone) if isinstance(per_zone, str) else F.lit(per_zone)
     enough = F.col("n_items") >= F.col("n_zones") * F.col("__quota")
-    return _slices(items, zones, quota, enough, order, slots, max_group_rows)
+    numbered = None
+    if isinstance(per_zone, int):
+        # One number from the small zone table: how many items the largest group can place.
+        most = list_sizes(zones, ["grp"], "n_zones").agg(F.max("n_zones")).first()[0] or 0
+        if most * per_zone <= FIRST_ROWS:
+            numbered = _first_of_group(items, order, max(1, most * per_zone))
+    if numbered is None:
+        numbered = ordinal(items, ["grp"], [order], out="ord", total="n_items")
+    return _slices(items, numbered, zones, quota, enough, slots)
 
 
 def assign_zone_even(
@@ -39,11 +49,10 @@ def assign_zone_even(
     zones: DataFrame,
     order: str = "item",
     slots: DataFrame | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Each zone of a group takes `items div zones` items in turn; the remainder stays unplaced."""
-    quota = F.expr("n_items div n_zones")
-    return _slices(items, zones, quota, F.lit(True), order, slots, max_group_rows)
+    numbered = ordinal(items, ["grp"], [order], out="ord", total="n_items")
+    return _slices(items, numbered, zones, F.expr("n_items div n_zones"), F.lit(True), slots)
 
 
 def assign_slots(
@@ -52,7 +61,6 @@ def assign_slots(
     group: Sequence[str] = ("zone",),
     order: str = "item",
     seed: int = 0,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Give each item a slot of its zone: `items` plus `slot`.
 
@@ -62,15 +70,8 @@ def assign_slots(
     """
     if "zone" not in group:
         raise ValueError("group must include the zone")
-    entries = ordinal(slots, ["zone"], ["slot_ord", "slot"], out="__k", max_group_rows=max_group_rows)
-    entries = entries.select("zone", "__k", "slot")
-    numbered = ordinal(items, group, [order], out="__ord", total="__n", max_group_rows=max_group_rows)
-    drawn = stable_hash([F.lit(seed), F.col("item")])
-    position = F.when(F.col("__n") >= F.col("n_slots"), F.col("__ord") % F.col("n_slots")).otherwise(
-        drawn % F.col("n_slots")
-    )
-    numbered = numbered.join(list_sizes(entries, ["zone"], "n_slots"), "zone").withColumn("__k", position)
-    return numbered.join(entries, ["zone", "__k"]).select(*items.columns, "slot")
+    numbered = ordinal(items, group, [order], out="__ord", total="__n")
+    return _pick_slots(numbered, slots, seed).select(*items.columns, "slot")
 
 
 def assign_group(
@@ -80,15 +81,17 @@ def assign_group(
     group: Sequence[str] = ("grp",),
     order: str = "item",
     seed: int = 0,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """All items of a group go to slots of its one zone: `items` plus `zone` and `slot`.
 
     `group_zone` has `(grp, zone)`. A group without a zone, or whose zone has no slots, places none.
     """
-    placed = items.join(group_zone.select("grp", "zone"), "grp").filter(F.col("zone").isNotNull())
-    placed = placed.select(*items.columns, "zone")
-    return assign_slots(placed, slots, [*group, "zone"], order, seed, max_group_rows)
+    if "grp" not in group:
+        raise ValueError("group must include grp")
+    # A group has one zone, so items are numbered before the zone is known.
+    numbered = ordinal(items, group, [order], out="__ord", total="__n")
+    chosen = group_zone.filter(F.col("zone").isNotNull()).select("grp", "zone")
+    return _pick_slots(numbered.join(chosen, "grp"), slots, seed).select(*items.columns, "zone", "slot")
 
 
 def first_slot_per_host(slots: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -128,26 +131,50 @@ def spread_rest(
     slots: DataFrame,
     order: str = "item",
     seed: int = 0,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Spread what was not placed over all slots of all zones: `items` plus `slot`."""
-    rest = unassigned(items, assigned).withColumn("zone", F.lit("all"))
-    everywhere = slots.select(F.lit("all").alias("zone"), "slot", "slot_ord")
-    spread = assign_slots(rest, everywhere, ("zone",), order, seed, max_group_rows)
+    rest = ordinal(unassigned(items, assigned), [], [order], out="__ord", total="__n")
+    everywhere = slots.select(F.lit("all").alias("__list"), "slot", "slot_ord")
+    spread = _pick_slots(rest.withColumn("__list", F.lit("all")), everywhere, seed, "__list")
     return spread.select(*items.columns, "slot")
 
 
+def _first_of_group(items: DataFrame, order: str, rows: int) -> DataFrame:
+    """The first `rows` items of each group with their position `ord` and the group's size `n_items`.
+
+    Every task drops all but its own first rows before the shuffle, so even a group of very many items sends
+    little to the task that numbers it.
+    """
+    items = items.filter(F.col("grp").isNotNull())
+    place = F.row_number().over(Window.partitionBy("grp").orderBy(order))
+    first = items.withColumn("__place", place).filter(F.col("__place") <= rows)
+    first = first.join(list_sizes(items, ["grp"], "n_items"), "grp")
+    return first.withColumn("ord", F.col("__place").cast("bigint") - 1)
+
+
+def _pick_slots(numbered: DataFrame, slots: DataFrame, seed: int, by: str = "zone") -> DataFrame:
+    """Slot of each row of `numbered (by, item, __ord, __n)` from the slot list of the same name."""
+    entries = ordinal(slots, [by], ["slot_ord", "slot"], out="__k", total="n_slots")
+    entries = entries.select(by, "__k", "slot", "n_slots")
+    sizes = entries.filter(F.col("__k") == 0).select(by, "n_slots")
+    drawn = stable_hash([F.lit(seed), F.col("item")])
+    position = F.when(F.col("__n") >= F.col("n_slots"), F.col("__ord") % F.col("n_slots")).otherwise(
+        drawn % F.col("n_slots")
+    )
+    at = numbered.join(sizes, by).withColumn("__k", position)
+    return at.join(entries.drop("n_slots"), [by, "__k"])
+
+
 def _slices(
     items: DataFrame,
+    numbered: DataFrame,
     zones: DataFrame,
     quota: Column,
     condition: Column,
-    order: str,
     slots: DataFrame | None,
-    max_group_rows: int,
 ) -> DataFrame:
+    """Rows of `numbered (grp, ord, n_items)` that fall into the slice of a zone."""
     n_zones = list_sizes(zones, ["grp"], "n_zones")
-    numbered = ordinal(items, ["grp"], [order], out="ord", total="n_items", max_group_rows=max_group_rows)
     sliced = (
         numbered.join(n_zones, "grp")
         .withColumn("__quota", quota.cast("bigint"))

@@ -1,26 +1,25 @@
 """Positions of rows inside their group, without one task per group.
 
-`row_number()` over a window puts a whole group in one task. A group may hold a third of all rows, so large
-groups are cut into order-preserving buckets first: rows are numbered inside (group, bucket), and the small
-table of bucket sizes is prefix-summed to give each bucket its offset.
+`row_number()` over a window puts a whole group in one task, and one group may hold a third of all rows. So the
+order column is cut into pieces: rows are numbered inside (group, piece), and a prefix sum over the counts of
+the pieces gives each piece its offset. Pieces are ranges of the order column itself, so nothing has to be
+sampled, no job runs ahead of the query, and a repeated task cuts the rows in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Groups up to this many rows are numbered in one task each.
-MAX_GROUP_ROWS = 1_000_000
-# Bound on the bucket limits that pass through the driver.
-MAX_BUCKETS = 10_000
+# A piece spans 2^22 values of the order column, so it holds at most about four million rows of a unique order.
+PIECE_BITS = 22
 
-_BUCKET = "__bucket"
+_COUNT = "__n"
 _OFFSET = "__offset"
+_WITHIN = "__within"
 
 
 def ordinal(
@@ -30,31 +29,28 @@ def ordinal(
     out: str = "ord",
     total: str | None = None,
     bucket: Sequence[str] | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    piece_bits: int = PIECE_BITS,
 ) -> DataFrame:
     """Add `out`, the 0-based BIGINT position of each row in its group by `order`, and `total`, the group size.
 
-    Rows with a null group column belong to no group and are left out. `order` should be unique in a group.
+    Rows with a null group column belong to no group and are left out. `order` should be unique in a group. If
+    its first column is a whole number or a date, groups may have any size. By anything else (names) a group
+    is numbered in one task, which is meant for lists that are small by nature.
 
-    `bucket` names columns that already cut the rows into bounded pieces in the order's own sequence (the
-    blocks of a file); then nothing is run here. Otherwise one small job reads the size of the largest group,
-    and only if it exceeds `max_group_rows` a second one reads approximate quantiles of the first order column
-    (a number, date or timestamp). Both return a bounded handful of numbers. The quantiles enter the plan as
-    constants, so a recomputed task cuts the rows in the same way.
+    `bucket` names columns that already cut the rows into bounded pieces in the sequence of the order, coarse
+    to fine, such as file and block of a line.
     """
     group, order = list(group), list(order)
     for name in group:
         df = df.filter(F.col(name).isNotNull())
     if bucket is not None:
-        return _by_bucket(df, group, order, out, total, list(bucket))
-
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
-    if (largest or 0) <= max_group_rows:
+        return _by_piece(df, group, order, out, total, list(bucket))
+    pieces = _pieces(df, order[0], piece_bits)
+    if not pieces:
         return _by_group(df, group, order, out, total)
-
-    buckets = max(2, min(MAX_BUCKETS, -(-rows * 2 // max_group_rows)))
-    return _by_bucket(_with_quantile_bucket(df, order[0], buckets), group, order, out, total, [_BUCKET]).drop(_BUCKET)
+    names = [f"__piece{i}" for i in range(len(pieces))]
+    cut = df.withColumns(dict(zip(names, pieces, strict=True)))
+    return _by_piece(cut, group, order, out, total, names).drop(*names)
 
 
 def list_sizes(numbered: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
@@ -62,49 +58,57 @@ def list_sizes(numbered: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
+def _pieces(df: DataFrame, column: str, bits: int) -> list[Column]:
+    """Order-preserving piece numbers, coarse to fine, each with a bounded count below the one before."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        number = F.unix_date(column).cast("bigint")
+    elif isinstance(kind, T.IntegralType):
+        number = F.col(column).cast("bigint")
+    else:
+        return []
+    wide = isinstance(kind, T.LongType)
+    shifts = [2 * bits, bits] if wide else [bits]
+    # Null sorts first, as in the window below.
+    return [F.coalesce(F.shiftright(number, s), F.lit(-(2**63 >> s) - 1)) for s in shifts]
+
+
 def _by_group(df: DataFrame, group: list[str], order: list[str], out: str, total: str | None) -> DataFrame:
-    members = Window.partitionBy(*(group or [F.lit(0)]))
+    members = _partition(group)
     df = df.withColumn(out, F.row_number().over(members.orderBy(*order)).cast("bigint") - 1)
     if total:
         df = df.withColumn(total, F.count(F.lit(1)).over(members))
     return df
 
 
-def _by_bucket(
-    df: DataFrame, group: list[str], order: list[str], out: str, total: str | None, bucket: list[str]
+def _by_piece(
+    df: DataFrame, group: list[str], order: list[str], out: str, total: str | None, pieces: list[str]
 ) -> DataFrame:
-    piece = group + bucket
-    buckets_of_group = Window.partitionBy(*(group or [F.lit(0)]))
-    before = buckets_of_group.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*piece).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = offsets.select(
-        *piece,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_OFFSET),
-        *([F.sum("__n").over(buckets_of_group).alias(total)] if total else []),
-    )
+    keys = group + pieces
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_COUNT))
+    offsets = _offsets(counts, group, pieces, total)
     columns = df.columns
-    numbered = df.withColumn(out, F.row_number().over(Window.partitionBy(*piece).orderBy(*order)).cast("bigint") - 1)
-    joined = numbered.join(offsets, piece)
-    return joined.select(*columns, (F.col(out) + F.col(_OFFSET)).alias(out), *([total] if total else []))
-
-
-def _with_quantile_bucket(df: DataFrame, column: str, buckets: int) -> DataFrame:
-    df = df.withColumn("__order", _as_double(df, column))
-    steps = [i / buckets for i in range(1, buckets)]
-    limits = sorted(set(df.approxQuantile("__order", steps, 1 / (4 * buckets))))
-    if not limits:
-        return df.withColumn(_BUCKET, F.lit(0.0)).drop("__order")
-    splits = [float("-inf"), *limits, float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="__order", outputCol=_BUCKET, handleInvalid="error")
-    return bucketizer.transform(df).drop("__order")
+    numbered = df.withColumn(_WITHIN, F.row_number().over(_partition(keys).orderBy(*order)).cast("bigint") - 1)
+    position = (F.col(_WITHIN) + F.col(_OFFSET)).alias(out)
+    return numbered.join(offsets, keys).select(*columns, position, *([total] if total else []))
+
+
+def _offsets(counts: DataFrame, group: list[str], pieces: list[str], total: str | None) -> DataFrame:
+    """Rows of the group before each piece. Each level sums inside the next coarser piece only."""
+    outer, finest = group + pieces[:-1], pieces[-1]
+    scope = _partition(outer)
+    before = F.sum(_COUNT).over(scope.orderBy(finest).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.coalesce(before, F.lit(0))
+    if len(pieces) == 1:
+        size = [F.sum(_COUNT).over(scope).alias(total)] if total else []
+        return counts.select(*outer, finest, before.alias(_OFFSET), *size)
+    within = counts.select(*outer, finest, before.alias("__before"))
+    coarser = counts.groupBy(*outer).agg(F.sum(_COUNT).alias(_COUNT))
+    above = _offsets(coarser, group, pieces[:-1], total)
+    return within.join(above, outer).select(
+        *outer, finest, (F.col("__before") + F.col(_OFFSET)).alias(_OFFSET), *([total] if total else [])
+    )
 
 
-def _as_double(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    raise ValueError(f"large groups need a number, date or timestamp to order by, {column} is {kind.simpleString()}")
+def _partition(columns: list[str]):
+    return Window.partitionBy(*(columns or [F.lit(0)]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geozone.operators.tagging import zone_names
-from geozone.session import scratch_path, use_checkpoints
+from geozone.session import scratch_path, use_checkpoints, written
 
 MODES = ("minmax", "average")
 
@@ -28,8 +28,15 @@ def best_zone(
     with none eligible the group is returned with a null zone. Without dependencies `minmax` gives the
     smallest known candidate with score 0 and `average` gives null.
 
-    Many groups share a dependency set: sets are scored once each and joined back.
+    Many groups share a dependency set: sets are scored once each and joined back. `latency` is read more than
+    once, so write it to a table first if it is computed; its known size then also lets Spark choose the join.
     """
+    sets = deps.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("dep_set"))
+    return _best_of_sets(sets, latency, candidates, mode)
+
+
+def _best_of_sets(groups: DataFrame, latency: DataFrame, candidates: DataFrame | None, mode: str) -> DataFrame:
+    """`best_zone` for `groups (grp, dep_set)`."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}, not {mode!r}")
     offered = latency.select("from_zone", F.col("to_zone").alias("candidate"), "latency")
@@ -37,7 +44,6 @@ def best_zone(
         wanted = candidates.select(F.col("zone").alias("candidate"))
         offered = offered.join(wanted, "candidate", "left_semi")
 
-    groups = deps.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("dep_set"))
     sets = groups.select("dep_set").distinct()
     highest = F.max("latency")
     score = F.greatest(highest, F.lit(0).cast(latency.schema["latency"].dataType)) if mode == "minmax" else (
@@ -81,7 +87,7 @@ def group_dependencies(members: DataFrame, inputs: DataFrame, member_zones: Data
     Inputs without a zone add nothing. A group without any zone keeps one row with a null zone.
     """
     reads = members.join(inputs, "member", "left").select("grp", "input").distinct()
-    return _zones_of_reads(reads, member_zones)
+    return _dependency_sets(reads, member_zones).select("grp", F.explode_outer("dep_set").alias("zone"))
 
 
 def place_in_order(
@@ -111,12 +117,12 @@ def place_in_order(
     reads = members.join(inputs, "member", "left").select("level", "grp", "input").distinct()
     reads.write.partitionBy("level").parquet(reads_path)
     reads = spark.read.schema(reads.select("grp", "input", "level").schema).parquet(reads_path)
-    latency = latency.checkpoint()
+    latency = written(latency, "latency")
 
     known, placed = member_zones.select("member", "zone"), None
     for level in sorted(levels):
-        deps = _zones_of_reads(reads.filter(F.col("level") == level).select("grp", "input"), known)
-        chosen = best_zone(deps, latency, candidates, mode)
+        sets = _dependency_sets(reads.filter(F.col("level") == level).select("grp", "input"), known)
+        chosen = _best_of_sets(sets, latency, candidates, mode)
         chosen = chosen.select("grp", F.lit(level).cast(members.schema["level"].dataType).alias("level"), "zone", "score")
         chosen = chosen.checkpoint()
         placed = chosen if placed is None else placed.unionByName(chosen)
@@ -127,12 +133,11 @@ def place_in_order(
     return placed
 
 
-def _zones_of_reads(reads: DataFrame, member_zones: DataFrame) -> DataFrame:
+def _dependency_sets(reads: DataFrame, member_zones: DataFrame) -> DataFrame:
+    """`(grp, dep_set)` from `reads (grp, input)`; at most as many zones per set as there are zones."""
     zones = member_zones.select(F.col("member").alias("input"), "zone")
-    found = reads.join(zones, "input", "left").select("grp", "zone").distinct()
-    # A null beside real zones says nothing; best_zone ignores it, the plain result should not show it.
-    counts = found.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("zones"))
-    return counts.select("grp", F.explode_outer("zones").alias("zone"))
+    found = reads.join(zones, "input", "left")
+    return found.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("dep_set"))
 
 
 def _without_dependencies(latency: DataFrame, candidates: DataFrame | None, score_type) -> DataFrame:

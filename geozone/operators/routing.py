@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geozone.functions.hashing import stable_hash
-from geozone.operators.ordinal import MAX_GROUP_ROWS, list_sizes, ordinal
+from geozone.operators.ordinal import list_sizes, ordinal
 from geozone.operators.tagging import member_zone
 
 # Names of the lists: one per zone, and the fallback list of all targets (fixed values).
@@ -26,20 +26,19 @@ def zone_list(zone: Column) -> Column:
     return F.concat(F.lit(ZONE_LIST_PREFIX), zone)
 
 
-def target_lists(targets: DataFrame, members: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def target_lists(targets: DataFrame, members: DataFrame) -> DataFrame:
     """Numbered target lists `(list, k, target)`: one per zone, and the list of all targets for the fallback.
 
     `targets` has `(target, target_ord)` and may repeat a target; repeats are kept. `members` has
-    `(zone, member)`; a target in several zones is in the list of each.
+    `(zone, member)`; a target in several zones is in the list of each. Routing reads the lists more than once
+    (a stream in every micro-batch), so write them to a table first unless they are one already.
     """
     placed = members.filter(F.col("zone").isNotNull()).select(
         zone_list(F.col("zone")).alias("list"), F.col("member").alias("target")
     )
     local = targets.join(placed.distinct(), "target").select("list", "target", "target_ord")
     whole = targets.select(F.lit(ALL_TARGETS).alias("list"), "target", "target_ord")
-    numbered = ordinal(
-        local.unionByName(whole), ["list"], ["target_ord", "target"], out="k", max_group_rows=max_group_rows
-    )
+    numbered = ordinal(local.unionByName(whole), ["list"], ["target_ord", "target"], out="k")
     return numbered.select("list", "k", "target")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import geozone as gz
 from geozone.plans import views as v
-from geozone.session import scratch_path
+from geozone.session import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,31 +100,36 @@ def target_lists(spark, path):
     return gz.target_lists(v.targets(spark, path), v.supplier_nations(spark, path))
 
 
+def target_table(spark: SparkSession, path: str) -> DataFrame:
+    """The target lists as a written table; routing reads them more than once."""
+    return written(target_lists(spark, path), "target-lists")
+
+
 @register
 def eligible_targets(spark, path):
     buyers = v.customers(spark, path)
     homes = buyers.select(F.col("nation").alias("zone"), F.col("c_custkey").alias("member"))
     sources = v.table(spark, path, "customer").select(F.col("c_custkey").alias("source"))
-    return gz.eligible_targets(sources, target_lists(spark, path), homes)
+    return gz.eligible_targets(sources, target_table(spark, path), homes)
 
 
 @register
 def route_by_key(spark, path):
     events = v.zoned_events(spark, path).select("event_id", "user_id", "event_type", "nation")
-    return gz.route_by_key(events, "nation", ["user_id", "event_type"], target_lists(spark, path))
+    return gz.route_by_key(events, "nation", ["user_id", "event_type"], target_table(spark, path))
 
 
 @register
 def route_random(spark, path):
     events = v.zoned_events(spark, path).select("event_id", "nation")
-    return gz.route_random(events, "nation", ["event_id"], target_lists(spark, path), SEED)
+    return gz.route_random(events, "nation", ["event_id"], target_table(spark, path), SEED)
 
 
 @register
 def stream_route(spark, path):
     events = v.with_zones(v.stream(spark, path, "events"), spark, path)
     events = events.select("event_id", "user_id", "event_type", "nation")
-    routed = gz.route_stream(events, "nation", target_lists(spark, path), ["user_id", "event_type"])
+    routed = gz.route_stream(events, "nation", target_table(spark, path), ["user_id", "event_type"])
     out = scratch_path(spark, "stream-route")
     gz.start_append(routed, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(routed.schema).parquet(f"{out}/table")
@@ -168,17 +173,17 @@ def latency_of(spark, path):
 
 @register
 def best_zone_minmax(spark, path):
-    return gz.best_zone(v.order_deps(spark, path), v.latency(spark, path), mode="minmax")
+    return gz.best_zone(v.order_deps(spark, path), v.latency_table(spark, path), mode="minmax")
 
 
 @register
 def best_zone_average(spark, path):
-    return gz.best_zone(v.order_deps(spark, path), v.latency(spark, path), mode="average")
+    return gz.best_zone(v.order_deps(spark, path), v.latency_table(spark, path), mode="average")
 
 
 @register
 def best_zone_overall(spark, path):
-    return gz.best_zone_overall(v.latency(spark, path))
+    return gz.best_zone_overall(v.latency_table(spark, path))
 
 
 @register
@@ -236,7 +241,7 @@ def assign_group(spark, path):
     """Parts of a brand to the suppliers of the brand's best nation."""
     members = v.pipeline_members(spark, path).filter(F.col("level") == 1).select("member", "grp")
     deps = gz.group_dependencies(members, v.pipeline_inputs(spark, path), v.pipeline_zones(spark, path))
-    chosen = gz.best_zone(deps, v.latency(spark, path))
+    chosen = gz.best_zone(deps, v.latency_table(spark, path))
     items = v.table(spark, path, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("grp"))
     return gz.assign_group(items, chosen, v.slots(spark, path, "nation"), seed=SEED)
 

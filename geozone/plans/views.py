@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geozone.operators.ordinal import ordinal
 from geozone.operators.placement import SOURCE, STEP
 from geozone.operators.tagging import observed_latency
+from geozone.session import written
 
 # Suppliers with at least this balance take routed work, so some nations have no target of their own.
 TARGET_BALANCE = 5000
@@ -105,6 +106,11 @@ def latency(spark: SparkSession, path: str) -> DataFrame:
     return name_zones(observed_latency(trips(spark, path), "s_nationkey", "c_nationkey", "days"), spark, path)
 
 
+def latency_table(spark: SparkSession, path: str) -> DataFrame:
+    """The measured latencies as a small written table, for queries that read them more than once."""
+    return written(latency(spark, path), "latency")
+
+
 def latency_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """One latency table per order status."""
     measured = observed_latency(trips(spark, path), "s_nationkey", "c_nationkey", "days", by=["o_orderstatus"])
@@ -186,12 +192,13 @@ def pipeline_inputs(spark: SparkSession, path: str) -> DataFrame:
     """Parts read the suppliers of their lineitems, types read their parts, the last report reads all types."""
     part = table(spark, path, "part")
     lineitem = table(spark, path, "lineitem")
-    deliveries = lineitem.select(
+    pairs = lineitem.select("l_partkey", "l_suppkey").distinct()
+    deliveries = pairs.select(
         labelled("part:", "l_partkey").alias("member"), labelled("supplier:", "l_suppkey").alias("input")
     )
     parts = part.select(labelled("type:", "p_type").alias("member"), labelled("part:", "p_partkey").alias("input"))
     types = part.select(F.lit("report").alias("member"), labelled("type:", "p_type").alias("input"))
-    return deliveries.distinct().unionByName(parts).unionByName(types.distinct())
+    return deliveries.unionByName(parts).unionByName(types.distinct())
 
 
 def pipeline_zones(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geozone.functions.text import check_on_error, split_fields
-from geozone.operators.ordinal import MAX_GROUP_ROWS, ordinal
+from geozone.operators.ordinal import ordinal
 
 # Members per line.
 LINE_MEMBERS = 10_000
@@ -22,7 +22,6 @@ def zone_members(
     member: str = "member",
     order: str | None = None,
     line_members: int = LINE_MEMBERS,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Members per zone in the order of placement, as `(zone, line_no, n_members, line)`.
 
@@ -32,7 +31,7 @@ def zone_members(
     placed = df.filter(F.col(member).isNotNull()).select(
         F.col(zone).alias("zone"), F.col(member).alias("member"), F.col(order or member).alias("at")
     )
-    numbered = ordinal(placed, ["zone"], ["at"], max_group_rows=max_group_rows)
+    numbered = ordinal(placed, ["zone"], ["at"])
     numbered = numbered.withColumn("line_no", F.floor(F.col("ord") / line_members))
     listed = F.sort_array(F.collect_list(F.struct("ord", F.col("member").cast("string").alias("member"))))
     lines = numbered.groupBy("zone", "line_no").agg(F.count(F.lit(1)).alias("n_members"), listed.alias("listed"))
