@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geozone.functions.hashing import stable_hash
 from geozone.operators.ordinal import list_sizes, ordinal
+from geozone.session import written
 
 # Array length per step of `expand_ranges`.
 RANGE_CHUNK = 10_000
@@ -132,11 +133,12 @@ def spread_rest(
     order: str = "item",
     seed: int = 0,
 ) -> DataFrame:
-    """Spread what was not placed over all slots of all zones: `items` plus `slot`."""
-    rest = ordinal(unassigned(items, assigned), [], [order], out="__ord", total="__n")
-    everywhere = slots.select(F.lit("all").alias("__list"), "slot", "slot_ord")
-    spread = _pick_slots(rest.withColumn("__list", F.lit("all")), everywhere, seed, "__list")
-    return spread.select(*items.columns, "slot")
+    """Spread what was not placed over all slots of all zones: `items` plus `slot`.
+
+    The rest is written to the shared folder once, since numbering reads it twice.
+    """
+    rest = ordinal(written(unassigned(items, assigned), "rest"), [], [order], out="__ord", total="__n")
+    return _pick_slots(rest, slots, seed, by=[]).select(*items.columns, "slot")
 
 
 def _first_of_group(items: DataFrame, order: str, rows: int) -> DataFrame:
@@ -152,17 +154,22 @@ def _first_of_group(items: DataFrame, order: str, rows: int) -> DataFrame:
     return first.withColumn("ord", F.col("__place").cast("bigint") - 1)
 
 
-def _pick_slots(numbered: DataFrame, slots: DataFrame, seed: int, by: str = "zone") -> DataFrame:
-    """Slot of each row of `numbered (by, item, __ord, __n)` from the slot list of the same name."""
-    entries = ordinal(slots, [by], ["slot_ord", "slot"], out="__k", total="n_slots")
-    entries = entries.select(by, "__k", "slot", "n_slots")
-    sizes = entries.filter(F.col("__k") == 0).select(by, "n_slots")
+def _pick_slots(numbered: DataFrame, slots: DataFrame, seed: int, by: Sequence[str] = ("zone",)) -> DataFrame:
+    """Slot of each row of `numbered (*by, item, __ord, __n)` from the slot list of the same name.
+
+    Without `by` all slots form one list.
+    """
+    entries = ordinal(slots, by, ["slot_ord", "slot"], out="__k").select(*by, "__k", "slot")
+    if by:
+        numbered = numbered.join(list_sizes(slots, by, "n_slots"), list(by))
+    else:
+        numbered = numbered.withColumn("n_slots", slots.agg(F.count(F.lit(1)).alias("n")).scalar())
     drawn = stable_hash([F.lit(seed), F.col("item")])
     position = F.when(F.col("__n") >= F.col("n_slots"), F.col("__ord") % F.col("n_slots")).otherwise(
         drawn % F.col("n_slots")
     )
-    at = numbered.join(sizes, by).withColumn("__k", position)
-    return at.join(entries.drop("n_slots"), [by, "__k"])
+    at = numbered.withColumn("__k", F.when(F.col("n_slots") > 0, position))
+    return at.join(entries, [*by, "__k"])
 
 
 def _slices(
@@ -179,7 +186,7 @@ def _slices(
         numbered.join(n_zones, "grp")
         .withColumn("__quota", quota.cast("bigint"))
         .filter((F.col("__quota") > 0) & condition & (F.col("ord") < F.col("n_zones") * F.col("__quota")))
-        .withColumn("zone_ord", F.expr("ord div __quota").cast(zones.schema["zone_ord"].dataType))
+        .withColumn("zone_ord", F.expr("ord div nullif(__quota, 0)").cast(zones.schema["zone_ord"].dataType))
     )
     placed = sliced.join(zones.select("grp", "zone", "zone_ord"), ["grp", "zone_ord"])
     if slots is not None:

@@ -47,6 +47,8 @@ def ordinal(
         return _by_piece(df, group, order, out, total, list(bucket))
     pieces = _pieces(df, order[0], piece_bits)
     if not pieces:
+        if not group:
+            raise ValueError(f"a whole table is numbered by a whole number or date, not by {order[0]}")
         return _by_group(df, group, order, out, total)
     names = [f"__piece{i}" for i in range(len(pieces))]
     cut = df.withColumns(dict(zip(names, pieces, strict=True)))

@@ -45,10 +45,11 @@ def _best_of_sets(groups: DataFrame, latency: DataFrame, candidates: DataFrame |
         offered = offered.join(wanted, "candidate", "left_semi")
 
     sets = groups.select("dep_set").distinct()
-    highest = F.max("latency")
-    score = F.greatest(highest, F.lit(0).cast(latency.schema["latency"].dataType)) if mode == "minmax" else (
-        F.sum("latency") / F.count("latency")
-    )
+    kind = latency.schema["latency"].dataType
+    if mode == "minmax":
+        score = F.greatest(F.max("latency"), F.lit(0).cast(kind))
+    else:
+        score = F.sum("latency") / F.count("latency")
     scored = (
         sets.select("dep_set", F.explode("dep_set").alias("from_zone"))
         .join(offered, "from_zone")
@@ -58,9 +59,18 @@ def _best_of_sets(groups: DataFrame, latency: DataFrame, candidates: DataFrame |
     )
     best = scored.groupBy("dep_set").agg(F.min(F.struct("score", "candidate")).alias("best"))
     best = best.select("dep_set", F.col("best.candidate").alias("zone"), F.col("best.score").alias("score"))
-    if mode == "minmax":
-        best = best.unionByName(_without_dependencies(latency, candidates, scored.schema["score"].dataType))
-    return groups.join(best, "dep_set", "left").select("grp", "zone", "score")
+    found = groups.join(best, "dep_set", "left")
+    if mode == "average":
+        return found.select("grp", "zone", "score")
+    known = zone_names(latency)
+    if candidates is not None:
+        known = known.join(candidates.select("zone"), "zone", "left_semi")
+    smallest = known.agg(F.min("zone")).scalar()
+    free = F.size("dep_set") == 0
+    score = F.when(free & smallest.isNotNull(), F.lit(0)).otherwise(F.col("score"))
+    return found.select(
+        "grp", F.when(free, smallest).otherwise(F.col("zone")).alias("zone"), score.cast(kind).alias("score")
+    )
 
 
 def best_zone_overall(latency: DataFrame, mode: str = "average") -> DataFrame:
@@ -138,12 +148,3 @@ def _dependency_sets(reads: DataFrame, member_zones: DataFrame) -> DataFrame:
     zones = member_zones.select(F.col("member").alias("input"), "zone")
     found = reads.join(zones, "input", "left")
     return found.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("dep_set"))
-
-
-def _without_dependencies(latency: DataFrame, candidates: DataFrame | None, score_type) -> DataFrame:
-    known = zone_names(latency)
-    if candidates is not None:
-        known = known.join(candidates.select("zone"), "zone", "left_semi")
-    return known.agg(F.min("zone").alias("zone")).select(
-        F.array().cast("array<string>").alias("dep_set"), "zone", F.lit(0).cast(score_type).alias("score")
-    )

@@ -212,27 +212,27 @@ def place_in_order(spark, path):
 
 @register
 def assign_zone_quota(spark, path):
-    items = v.items(spark, path).select("grp", "item")
+    items = v.items(spark, path)
     return gz.assign_zone_quota(items, v.item_zones(spark, path), PER_ZONE)
 
 
 @register
 def assign_zone_even(spark, path):
-    items = v.items(spark, path).select("grp", "item")
+    items = v.items(spark, path)
     return gz.assign_zone_even(items, v.item_zones(spark, path))
 
 
 @register
 def assign_slots(spark, path):
     """Orders of a region and month to the region's suppliers: mostly more orders than suppliers."""
-    items = v.items(spark, path).select("item", "zone", "month")
+    items = v.zoned_items(spark, path).select("item", "zone", "month")
     return gz.assign_slots(items, v.slots(spark, path), ["zone", "month"], seed=SEED)
 
 
 @register
 def assign_slots_few(spark, path):
     """Orders of a region and day: fewer orders than suppliers, so slots are drawn."""
-    items = v.items(spark, path).select("item", "zone", "day")
+    items = v.zoned_items(spark, path).select("item", "zone", "day")
     return gz.assign_slots(items, v.slots(spark, path), ["zone", "day"], seed=SEED)
 
 
@@ -248,13 +248,13 @@ def assign_group(spark, path):
 
 @register
 def unassigned(spark, path):
-    items = v.items(spark, path).select("grp", "item")
+    items = v.items(spark, path)
     return gz.unassigned(items, assign_zone_quota(spark, path))
 
 
 @register
 def spread_rest(spark, path):
-    items = v.items(spark, path).select("grp", "item")
+    items = v.items(spark, path)
     return gz.spread_rest(items, assign_zone_quota(spark, path), v.slots(spark, path), seed=SEED)
 
 

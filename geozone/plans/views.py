@@ -127,10 +127,18 @@ def order_deps(spark: SparkSession, path: str) -> DataFrame:
 
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Orders to hand out, per market segment."""
+    orders = table(spark, path, "orders").select("o_orderkey", "o_custkey")
+    customer = table(spark, path, "customer").select("c_custkey", "c_mktsegment")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("grp"), F.col("o_orderkey").alias("item")
+    )
+
+
+def zoned_items(spark: SparkSession, path: str) -> DataFrame:
+    """Orders in the region of their customer, with month and day."""
     orders = table(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return orders.join(customers(spark, path), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("item"),
-        F.col("c_mktsegment").alias("grp"),
         F.col("region").alias("zone"),
         F.trunc("o_orderdate", "month").alias("month"),
         F.col("o_orderdate").cast("date").alias("day"),

@@ -9,6 +9,9 @@ from geozone.functions.text import check_on_error, split_fields
 from geozone.operators.ordinal import ordinal
 from geozone.sources.lines import before_blank, read_lines
 
+# Zones per line.
+LINE_ZONES = 10_000
+
 
 def parse_source_zones(lines: DataFrame, on_error: str = "fail") -> DataFrame:
     """`(source, zone, zone_ord)` from lines.
@@ -36,9 +39,15 @@ def read_source_zones(spark: SparkSession, path: str, on_error: str = "fail") ->
     return parse_source_zones(read_lines(spark, path), on_error)
 
 
-def write_source_zones(source_zones: DataFrame, path: str, mode: str = "error") -> None:
-    """Write the text format, one line per source with its zones in order (a source has few zones)."""
+def write_source_zones(
+    source_zones: DataFrame, path: str, mode: str = "error", line_zones: int = LINE_ZONES
+) -> None:
+    """Write the text format: the zones of a source in order, at most `line_zones` per line.
+
+    Lines are sorted over all files, so reading the folder numbers the zones as before.
+    """
+    cut = source_zones.withColumn("line", F.floor(F.col("zone_ord") / line_zones))
     zones = F.sort_array(F.collect_list(F.struct("zone_ord", "zone")))
-    lines = source_zones.groupBy("source").agg(zones.alias("zones"))
+    lines = cut.groupBy("source", "line").agg(zones.alias("zones")).orderBy("source", "line")
     text = F.concat("source", F.lit(";"), F.concat_ws(",", "zones.zone"))
     lines.select(text.alias("value")).write.mode(mode).text(path)

@@ -1,0 +1,141 @@
+"""Streams give what tables give, over several micro-batches and a restart."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import geozone as gz
+from geozone.session import require_utc
+
+SCHEMA = "id bigint, ts timestamp_ntz, zone string, key string, v bigint"
+MEASURES = {"n": ("count", "*"), "total": ("sum", "v"), "mean": ("avg", "v")}
+START = dt.datetime(2024, 3, 1)
+BY = ["window_start", "window_end", "zone", "key"]
+
+
+def rows_of(seed, first, hours, n, start_id=0):
+    rng = random.Random(seed)
+    return [
+        (start_id + i, START + dt.timedelta(hours=first, seconds=rng.randrange(hours * 3600)), rng.choice("ab"), rng.choice("xy"), rng.randrange(9))
+        for i in range(n)
+    ]
+
+
+def add_file(spark, path, rows):
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+
+def stream_of(spark, path):
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def table(df, columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def hourly(df):
+    local = gz.zone_local_agg(df, "zone", ["key"], MEASURES, "ts", "1 hour")
+    return gz.local_result(local, "zone", ["key"], MEASURES)
+
+
+def run(query):
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_local_versions_equal_batch_after_restart(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+
+    def once():
+        local = gz.stream_zone_local_agg(stream_of(spark, src), "zone", ["key"], MEASURES, "ts", "1 hour", "1 hour")
+        run(gz.start_versions(gz.stream_result(local, ["zone", "key"], MEASURES), out, check))
+
+    add_file(spark, src, rows_of(1, 0, 3, 200))
+    once()
+    # The next file begins in a window that is still open.
+    add_file(spark, src, rows_of(2, 2, 3, 200))
+    once()
+    columns = [*BY, *MEASURES]
+    assert table(gz.latest_versions(spark, out, BY), columns) == table(hourly(spark.read.schema(SCHEMA).parquet(src)), columns)
+
+
+def test_late_rows_are_dropped_only_behind_the_watermark(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+    one = dt.timedelta(hours=1)
+
+    def once():
+        local = gz.stream_zone_local_agg(stream_of(spark, src), "zone", ["key"], MEASURES, "ts", "1 hour", "1 hour")
+        run(gz.start_versions(gz.stream_result(local, ["zone", "key"], MEASURES), out, check))
+
+    add_file(spark, src, [(1, START + 10.5 * one, "a", "x", 1)])
+    once()
+    # The watermark is at 9:30. The window 9-10 is open, 8-9 is closed.
+    add_file(spark, src, [(2, START + 9.1 * one, "a", "x", 2), (3, START + 8.9 * one, "a", "x", 4)])
+    once()
+    got = {(r.window_start.hour, r.total) for r in gz.latest_versions(spark, out, BY).collect()}
+    assert got == {(10, 1), (9, 2)}
+
+
+def test_chained_global_gives_closed_windows(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+    add_file(spark, src, rows_of(3, 0, 4, 300))
+    add_file(spark, src, rows_of(4, 3, 4, 300))
+
+    def once():
+        local = gz.stream_zone_local_agg(stream_of(spark, src), "zone", ["key"], MEASURES, "ts", "1 hour", "1 hour")
+        run(gz.start_append(gz.stream_global_agg(local, ["key"], MEASURES, "1 hour"), out, check))
+
+    once()
+    add_file(spark, src, rows_of(5, 6, 4, 300))
+    once()
+    raw = spark.read.schema(SCHEMA).parquet(src)
+    newest = raw.agg(F.max("ts")).first()[0]
+    local = gz.zone_local_agg(raw, "zone", ["key"], MEASURES, "ts", "1 hour")
+    closed = gz.global_agg(local, ["key"], MEASURES).filter(F.col("window_end") <= F.lit(newest - dt.timedelta(hours=1)).cast("timestamp_ntz"))
+    columns = ["window_start", "window_end", "key", *MEASURES]
+    got = table(spark.read.parquet(out), columns)
+    assert got == table(closed, columns)
+    assert got
+
+
+@pytest.mark.parametrize("random_route", [False, True])
+def test_route_equals_batch(spark, tmp_path, random_route):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+    targets = spark.createDataFrame([(t, t) for t in range(5)], "target bigint, target_ord bigint")
+    members = spark.createDataFrame([("a", 0), ("a", 3)], "zone string, member bigint")
+    lists = gz.target_lists(targets, members)
+    how = {"row_id": ["id"], "seed": 4} if random_route else {"key_cols": ["key"]}
+    for batch in range(2):
+        add_file(spark, src, rows_of(batch, 0, 2, 100, start_id=1000 * batch))
+        routed = gz.route_stream(stream_of(spark, src), "zone", lists, **how)
+        run(gz.start_append(routed, out, check))
+    raw = spark.read.schema(SCHEMA).parquet(src)
+    batch = gz.route_random(raw, "zone", ["id"], lists, 4) if random_route else gz.route_by_key(raw, "zone", ["key"], lists)
+    columns = ["id", "zone", "target", "is_local"]
+    assert table(spark.read.parquet(out), columns) == table(batch, columns)
+
+
+def test_arguments(spark, tmp_path):
+    src = str(tmp_path / "src")
+    add_file(spark, src, rows_of(0, 0, 1, 5))
+    rows, stream = spark.read.parquet(src), stream_of(spark, src)
+    lists = spark.createDataFrame([], "list string, k bigint, target bigint")
+    with pytest.raises(ValueError, match="streaming frame"):
+        gz.route_stream(rows, "zone", lists, ["key"])
+    with pytest.raises(ValueError, match="static"):
+        gz.route_stream(stream, "zone", stream, ["key"])
+    with pytest.raises(ValueError, match="not both"):
+        gz.route_stream(stream, "zone", lists, ["key"], row_id=["id"])
+
+
+def test_other_time_zones_are_refused(spark):
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            require_utc(spark)
+    finally:
+        spark.conf.set(key, before)
