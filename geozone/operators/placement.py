@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geozone.operators.tagging import zone_names
 from geozone.session import scratch_path, use_checkpoints, written
 
 MODES = ("minmax", "average")
+# Zones per whole number of a dependency set.
+SET_BITS = 63
 
 # Kinds of members: sources bring data into a zone, steps work on it (fixed values).
 SOURCE = "source"
@@ -22,61 +26,106 @@ def best_zone(
 ) -> DataFrame:
     """The candidate zone with the lowest score per group: `(grp, zone, score)`.
 
-    `deps` has `(grp, zone)`; a group whose only zone is null has no dependencies. The score of a candidate is
-    the largest (`minmax`, at least 0) or mean (`average`) `latency[dependency][candidate]`. The lowest score
-    wins, then the smallest zone name. A candidate is eligible if its latency from every dependency is known;
-    with none eligible the group is returned with a null zone. Without dependencies `minmax` gives the
-    smallest known candidate with score 0 and `average` gives null.
+    `deps` has `(grp, zone)`; a group whose only zone is null has no dependencies. `latency` has one row per
+    directed pair. The score of a candidate is the largest (`minmax`, at least 0) or mean (`average`)
+    `latency[dependency][candidate]`. The lowest score wins, then the smallest zone name. A candidate is
+    eligible if its latency from every dependency is known; with none eligible the group is returned with a
+    null zone. Without dependencies `minmax` gives the smallest known candidate with score 0 and `average`
+    gives null.
 
-    Many groups share a dependency set: sets are scored once each and joined back. `latency` is read more than
-    once, so write it to a table first if it is computed; its known size then also lets Spark choose the join.
+    Many groups share a dependency set. A set is held as bits of a few whole numbers, so groups shrink before
+    the shuffle however many rows they have; each set is scored once and joined back. The latency table, as
+    small as zones times zones, is written to the shared folder first, because it is read several times.
     """
-    sets = deps.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("dep_set"))
-    return _best_of_sets(sets, latency, candidates, mode)
-
+    _check_mode(mode)
+    return _best(deps, written(latency, "latency"), candidates, mode)
+
+
+def _best(deps: DataFrame, latency: DataFrame, candidates: DataFrame | None, mode: str) -> DataFrame:
+    """`best_zone` with `latency` as a table."""
+    names = zone_names(latency).agg(F.sort_array(F.collect_set("zone")).alias("names"))
+    places = names.select(F.posexplode("names").alias("place", "zone"))
+    n_zones = places.count()
+    words = [f"__set{w}" for w in range(max(1, -(-n_zones // SET_BITS)))]
+
+    bits = [
+        F.when(F.floor(F.col("place") / SET_BITS) == w, F.expr(f"shiftleft(1L, place % {SET_BITS})"))
+        for w in range(len(words))
+    ]
+    known = places.select("zone", *[F.coalesce(b, F.lit(0)).alias(w) for b, w in zip(bits, words, strict=True)])
+    groups = (
+        deps.select("grp", "zone")
+        .join(known, "zone", "left")
+        .groupBy("grp")
+        .agg(
+            *[F.coalesce(F.bit_or(w), F.lit(0)).alias(w) for w in words],
+            F.bool_or(F.col("zone").isNotNull() & F.col(words[0]).isNull()).alias("__lost"),
+        )
+    )
+    size = reduce(add, [F.bit_count(w) for w in words]).cast("bigint")
 
-def _best_of_sets(groups: DataFrame, latency: DataFrame, candidates: DataFrame | None, mode: str) -> DataFrame:
-    """`best_zone` for `groups (grp, dep_set)`."""
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {MODES}, not {mode!r}")
-    offered = latency.select("from_zone", F.col("to_zone").alias("candidate"), "latency")
+    offered = latency.join(places.select(F.col("zone").alias("from_zone"), "place"), "from_zone")
+    offered = offered.select("place", F.col("to_zone").alias("candidate"), "latency")
     if candidates is not None:
-        wanted = candidates.select(F.col("zone").alias("candidate"))
-        offered = offered.join(wanted, "candidate", "left_semi")
-
-    sets = groups.select("dep_set").distinct()
+        offered = offered.join(candidates.select(F.col("zone").alias("candidate")), "candidate", "left_semi")
     kind = latency.schema["latency"].dataType
     if mode == "minmax":
         score = F.greatest(F.max("latency"), F.lit(0).cast(kind))
     else:
         score = F.sum("latency") / F.count("latency")
+    sets = groups.filter(~F.col("__lost") & (size > 0)).select(*words).distinct()
+    # The sets are small but each opens up to zones times zones rows. Adaptive execution would gather them in a
+    # few tasks by size; an explicit number of tasks, other than the usual one, is left alone.
+    tasks = 2 * int(deps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.repartition(tasks, *words)
     scored = (
-        sets.select("dep_set", F.explode("dep_set").alias("from_zone"))
-        .join(offered, "from_zone")
-        .groupBy("dep_set", "candidate")
+        sets.select(*words, F.explode(_places(words)).alias("place"))
+        .join(offered, "place")
+        .groupBy(*words, "candidate")
         .agg(score.alias("score"), F.count("latency").alias("n_known"))
-        .filter(F.col("n_known") == F.size("dep_set"))
+        .filter(F.col("n_known") == size)
+    )
+    best = scored.groupBy(*words).agg(F.min(F.struct("score", "candidate")).alias("best"))
+    found = groups.join(best, words, "left").select(
+        "grp",
+        F.when(~F.col("__lost"), F.col("best")).alias("best"),
+        ((size == 0) & ~F.col("__lost")).alias("__free"),
     )
-    best = scored.groupBy("dep_set").agg(F.min(F.struct("score", "candidate")).alias("best"))
-    best = best.select("dep_set", F.col("best.candidate").alias("zone"), F.col("best.score").alias("score"))
-    found = groups.join(best, "dep_set", "left")
+    found = found.select("grp", F.col("best.candidate").alias("zone"), F.col("best.score").alias("score"), "__free")
     if mode == "average":
         return found.select("grp", "zone", "score")
-    known = zone_names(latency)
+    offers = zone_names(latency)
     if candidates is not None:
-        known = known.join(candidates.select("zone"), "zone", "left_semi")
-    smallest = known.agg(F.min("zone")).scalar()
-    free = F.size("dep_set") == 0
-    score = F.when(free & smallest.isNotNull(), F.lit(0)).otherwise(F.col("score"))
+        offers = offers.join(candidates.select("zone"), "zone", "left_semi")
+    smallest = offers.agg(F.min("zone")).scalar()
     return found.select(
-        "grp", F.when(free, smallest).otherwise(F.col("zone")).alias("zone"), score.cast(kind).alias("score")
+        "grp",
+        F.when(F.col("__free"), smallest).otherwise(F.col("zone")).alias("zone"),
+        F.when(F.col("__free") & smallest.isNotNull(), F.lit(0).cast(kind)).otherwise(F.col("score")).alias("score"),
     )
 
 
+def _places(words: list[str]) -> Column:
+    """Numbers of the zones in a set."""
+    return F.concat(*[_places_of_word(F.col(word), w * SET_BITS) for w, word in enumerate(words)])
+
+
+def _places_of_word(word: Column, first: int) -> Column:
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(SET_BITS - 1)), lambda bit: F.getbit(word, bit) == 1)
+    return F.transform(set_bits, lambda bit: bit + first)
+
+
+def _check_mode(mode: str) -> None:
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}, not {mode!r}")
+
+
 def best_zone_overall(latency: DataFrame, mode: str = "average") -> DataFrame:
     """The zone best placed for all known zones together (its own latency to itself included): one row."""
+    _check_mode(mode)
+    latency = written(latency, "latency")
     everywhere = zone_names(latency).select(F.lit("all").alias("grp"), "zone")
-    return best_zone(everywhere, latency, mode=mode).select("zone", "score")
+    return _best(everywhere, latency, None, mode).select("zone", "score")
 
 
 def classify_members(members: DataFrame) -> DataFrame:
@@ -97,7 +146,9 @@ def group_dependencies(members: DataFrame, inputs: DataFrame, member_zones: Data
     Inputs without a zone add nothing. A group without any zone keeps one row with a null zone.
     """
     reads = members.join(inputs, "member", "left").select("grp", "input").distinct()
-    return _dependency_sets(reads, member_zones).select("grp", F.explode_outer("dep_set").alias("zone"))
+    # As many zones per group as there are zones; the outer explode keeps groups without any.
+    found = _zones_read(reads, member_zones).distinct().groupBy("grp").agg(F.collect_list("zone").alias("zones"))
+    return found.select("grp", F.explode_outer("zones").alias("zone"))
 
 
 def place_in_order(
@@ -118,6 +169,7 @@ def place_in_order(
     The reads are written once, partitioned by level, to the folder named in `spark.checkpoint.dir`, and each
     round is checkpointed there, so a lost executor repeats at most one round.
     """
+    _check_mode(mode)
     spark = members.sparkSession
     use_checkpoints(spark)
     if levels is None:
@@ -131,8 +183,8 @@ def place_in_order(
 
     known, placed = member_zones.select("member", "zone"), None
     for level in sorted(levels):
-        sets = _dependency_sets(reads.filter(F.col("level") == level).select("grp", "input"), known)
-        chosen = _best_of_sets(sets, latency, candidates, mode)
+        deps = _zones_read(reads.filter(F.col("level") == level).select("grp", "input"), known)
+        chosen = _best(deps, latency, candidates, mode)
         chosen = chosen.select("grp", F.lit(level).cast(members.schema["level"].dataType).alias("level"), "zone", "score")
         chosen = chosen.checkpoint()
         placed = chosen if placed is None else placed.unionByName(chosen)
@@ -143,8 +195,7 @@ def place_in_order(
     return placed
 
 
-def _dependency_sets(reads: DataFrame, member_zones: DataFrame) -> DataFrame:
-    """`(grp, dep_set)` from `reads (grp, input)`; at most as many zones per set as there are zones."""
+def _zones_read(reads: DataFrame, member_zones: DataFrame) -> DataFrame:
+    """`(grp, zone)` from `reads (grp, input)`; inputs without a zone give null."""
     zones = member_zones.select(F.col("member").alias("input"), "zone")
-    found = reads.join(zones, "input", "left")
-    return found.groupBy("grp").agg(F.sort_array(F.collect_set("zone")).alias("dep_set"))
+    return reads.join(zones, "input", "left").select("grp", "zone")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from geozone.operators.ordinal import ordinal
 from geozone.operators.placement import SOURCE, STEP
 from geozone.operators.tagging import observed_latency
-from geozone.session import written
 
 # Suppliers with at least this balance take routed work, so some nations have no target of their own.
 TARGET_BALANCE = 5000
@@ -106,11 +105,6 @@ def latency(spark: SparkSession, path: str) -> DataFrame:
     return name_zones(observed_latency(trips(spark, path), "s_nationkey", "c_nationkey", "days"), spark, path)
 
 
-def latency_table(spark: SparkSession, path: str) -> DataFrame:
-    """The measured latencies as a small written table, for queries that read them more than once."""
-    return written(latency(spark, path), "latency")
-
-
 def latency_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """One latency table per order status."""
     measured = observed_latency(trips(spark, path), "s_nationkey", "c_nationkey", "days", by=["o_orderstatus"])

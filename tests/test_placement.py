@@ -150,3 +150,15 @@ class TestPlaceInOrder:
     def test_nothing_to_place(self, spark, latency):
         with pytest.raises(ValueError):
             self.place(spark, latency, [], [("a", "s1")])
+
+
+def test_more_zones_than_bits_in_one_number(spark):
+    rng = random.Random(8)
+    zones = [f"z{i:03d}" for i in range(140)]
+    lat = {(a, b): rng.randrange(1, 10_000) for a, b in itertools.product(zones, zones)}
+    frame = spark.createDataFrame([(a, b, v) for (a, b), v in lat.items()], "from_zone string, to_zone string, latency bigint")
+    deps = {f"g{i}": rng.sample(zones, rng.choice([1, 2, 30, 140])) for i in range(40)} | {"free": [], "lost": ["mars", "z001"]}
+    got = best(spark, frame, deps)
+    assert got.pop("free") == ("z000", 0) and got.pop("lost") == (None, None)
+    for g, choice in got.items():
+        assert choice == min((max(lat[d, c] for d in deps[g]), c) for c in zones)[::-1]
