@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 from operator import add
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geozone.operators.tagging import zone_names
-from geozone.session import scratch_path, use_checkpoints, written
+from geozone.session import scratch_path, written
 
 MODES = ("minmax", "average")
 # Zones per whole number of a dependency set.
@@ -35,17 +36,31 @@ def best_zone(
 
     Many groups share a dependency set. A set is held as bits of a few whole numbers, so groups shrink before
     the shuffle however many rows they have; each set is scored once and joined back. The latency table, as
-    small as zones times zones, is written to the shared folder first, because it is read several times.
+    small as zones times zones, is written to the shared folder first, because it is read several times and its
+    known size lets Spark choose the joins.
     """
     _check_mode(mode)
-    return _best(deps, written(latency, "latency"), candidates, mode)
+    return _best(deps, _zone_tables(latency), candidates, mode)
 
 
-def _best(deps: DataFrame, latency: DataFrame, candidates: DataFrame | None, mode: str) -> DataFrame:
-    """`best_zone` with `latency` as a table."""
+class _ZoneTables(NamedTuple):
+    """A latency table and the known zones numbered by name, both written, and how many zones there are."""
+
+    latency: DataFrame
+    places: DataFrame
+    n_zones: int
+
+
+def _zone_tables(latency: DataFrame) -> _ZoneTables:
+    latency = written(latency.select("from_zone", "to_zone", "latency"), "latency")
     names = zone_names(latency).agg(F.sort_array(F.collect_set("zone")).alias("names"))
-    places = names.select(F.posexplode("names").alias("place", "zone"))
-    n_zones = places.count()
+    places = written(names.select(F.posexplode("names").alias("place", "zone")), "places")
+    return _ZoneTables(latency, places, places.count())
+
+
+def _best(deps: DataFrame, tables: _ZoneTables, candidates: DataFrame | None, mode: str) -> DataFrame:
+    """`best_zone` on written tables; it runs no job itself."""
+    latency, places, n_zones = tables
     words = [f"__set{w}" for w in range(max(1, -(-n_zones // SET_BITS)))]
 
     bits = [
@@ -94,7 +109,7 @@ def _best(deps: DataFrame, latency: DataFrame, candidates: DataFrame | None, mod
     found = found.select("grp", F.col("best.candidate").alias("zone"), F.col("best.score").alias("score"), "__free")
     if mode == "average":
         return found.select("grp", "zone", "score")
-    offers = zone_names(latency)
+    offers = places.select("zone")
     if candidates is not None:
         offers = offers.join(candidates.select("zone"), "zone", "left_semi")
     smallest = offers.agg(F.min("zone")).scalar()
@@ -123,9 +138,9 @@ def _check_mode(mode: str) -> None:
 def best_zone_overall(latency: DataFrame, mode: str = "average") -> DataFrame:
     """The zone best placed for all known zones together (its own latency to itself included): one row."""
     _check_mode(mode)
-    latency = written(latency, "latency")
-    everywhere = zone_names(latency).select(F.lit("all").alias("grp"), "zone")
-    return _best(everywhere, latency, None, mode).select("zone", "score")
+    tables = _zone_tables(latency)
+    everywhere = tables.places.select(F.lit("all").alias("grp"), "zone")
+    return _best(everywhere, tables, None, mode).select("zone", "score")
 
 
 def classify_members(members: DataFrame) -> DataFrame:
@@ -145,7 +160,7 @@ def group_dependencies(members: DataFrame, inputs: DataFrame, member_zones: Data
 
     Inputs without a zone add nothing. A group without any zone keeps one row with a null zone.
     """
-    reads = members.join(inputs, "member", "left").select("grp", "input").distinct()
+    reads = _reads(members, inputs, ["grp"])
     # As many zones per group as there are zones; the outer explode keeps groups without any.
     found = _zones_read(reads, member_zones).distinct().groupBy("grp").agg(F.collect_list("zone").alias("zones"))
     return found.select("grp", F.explode_outer("zones").alias("zone"))
@@ -166,27 +181,26 @@ def place_in_order(
     count. All groups of a level are placed together, so there are as many rounds as levels, not groups.
     Returns `(grp, level, zone, score)`.
 
-    The reads are written once, partitioned by level, to the folder named in `spark.checkpoint.dir`, and each
-    round is checkpointed there, so a lost executor repeats at most one round.
+    The reads are written once, partitioned by level, to the folder named in `spark.checkpoint.dir`, and so is
+    the result of each round, so a lost executor repeats at most one round.
     """
     _check_mode(mode)
     spark = members.sparkSession
-    use_checkpoints(spark)
     if levels is None:
         levels = [row[0] for row in members.select("level").distinct().collect()]
 
     reads_path = scratch_path(spark, "reads")
-    reads = members.join(inputs, "member", "left").select("level", "grp", "input").distinct()
+    reads = _reads(members, inputs, ["level", "grp"])
     reads.write.partitionBy("level").parquet(reads_path)
     reads = spark.read.schema(reads.select("grp", "input", "level").schema).parquet(reads_path)
-    latency = written(latency, "latency")
+    tables = _zone_tables(latency)
 
     known, placed = member_zones.select("member", "zone"), None
     for level in sorted(levels):
         deps = _zones_read(reads.filter(F.col("level") == level).select("grp", "input"), known)
-        chosen = _best(deps, latency, candidates, mode)
+        chosen = _best(deps, tables, candidates, mode)
         chosen = chosen.select("grp", F.lit(level).cast(members.schema["level"].dataType).alias("level"), "zone", "score")
-        chosen = chosen.checkpoint()
+        chosen = written(chosen, "placed")
         placed = chosen if placed is None else placed.unionByName(chosen)
         here = members.filter(F.col("level") == level).join(chosen.select("grp", "zone"), "grp")
         known = known.unionByName(here.filter(F.col("zone").isNotNull()).select("member", "zone"))
@@ -195,7 +209,19 @@ def place_in_order(
     return placed
 
 
+def _reads(members: DataFrame, inputs: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct `(*by, input)` of the members, and one row with a null input for each group.
+
+    The extra rows stand for groups without inputs, so inner joins do, and Spark may choose either side.
+    """
+    found = members.join(inputs, "member").select(*by, "input").distinct()
+    groups = members.select(*by).distinct()
+    return found.unionByName(groups.withColumn("input", F.lit(None).cast(found.schema["input"].dataType)))
+
+
 def _zones_read(reads: DataFrame, member_zones: DataFrame) -> DataFrame:
-    """`(grp, zone)` from `reads (grp, input)`; inputs without a zone give null."""
+    """`(grp, zone)` from `_reads`; each group has a row with a null zone besides."""
     zones = member_zones.select(F.col("member").alias("input"), "zone")
-    return reads.join(zones, "input", "left").select("grp", "zone")
+    found = reads.join(zones, "input").select("grp", "zone")
+    groups = reads.filter(F.col("input").isNull())
+    return found.unionByName(groups.select("grp", F.lit(None).cast("string").alias("zone")))

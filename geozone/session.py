@@ -59,12 +59,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make `DataFrame.checkpoint()` usable, keeping a folder that is already set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(scratch_path(spark, "checkpoints"))
-
-
 def require_utc(spark: SparkSession) -> None:
     """Streams turn zoneless timestamps into instants and back, which is only safe in UTC."""
     zone = spark.conf.get("spark.sql.session.timeZone")
