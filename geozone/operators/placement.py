@@ -136,11 +136,15 @@ def _check_mode(mode: str) -> None:
 
 
 def best_zone_overall(latency: DataFrame, mode: str = "average") -> DataFrame:
-    """The zone best placed for all known zones together (its own latency to itself included): one row."""
+    """The zone best placed for all known zones together (its own latency to itself included): one row.
+
+    There is no row if no zone has a known latency from every zone.
+    """
     _check_mode(mode)
     tables = _zone_tables(latency)
     everywhere = tables.places.select(F.lit("all").alias("grp"), "zone")
-    return _best(everywhere, tables, None, mode).select("zone", "score")
+    best = _best(everywhere, tables, None, mode).select("zone", "score")
+    return best.filter(F.col("zone").isNotNull())
 
 
 def classify_members(members: DataFrame) -> DataFrame:

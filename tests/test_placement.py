@@ -81,6 +81,10 @@ class TestBestZone:
         # Column means: north 16.25, south 16.5, east 13.5, hub 7.5.
         assert tuple(gz.best_zone_overall(latency).first()) == ("hub", 7.5)
 
+    def test_overall_needs_every_pair(self, spark):
+        sparse = spark.createDataFrame([("a", "b", 1)], "from_zone string, to_zone string, latency bigint")
+        assert gz.best_zone_overall(sparse).count() == 0
+
     def test_brute_force(self, spark):
         rng = random.Random(5)
         zones = [f"z{i}" for i in range(7)]
