@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geozone.llm import bpe, counts, simhash, topk
+from geozone.llm import bpe, counts, langid, packing, pii, simhash, sketch, suffix, topk, warc
 from geozone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,37 @@ def register(query: Query) -> Query:
     return query
 
 
+@register
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
+@register
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+@register
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     return counts.token_counts(table(spark, sf_dir, "documents"), counts.zipf_scores(counts.model_pieces(path)))
 
 
+@register
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_versions(table(spark, sf_dir, "documents"))
+
+
 @register
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
@@ -60,3 +85,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 @register
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+@register
+def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return packing.pack(op5_token_counts(spark, sf_dir, vocabulary).select("doc_id", "n_tokens"))
