@@ -21,6 +21,7 @@ from geozone.operators.placement import (
 )
 from geozone.operators.routing import colocate, eligible_targets, route_by_key, route_random, target_lists
 from geozone.operators.tagging import latency_of, member_zone, observed_latency, tag_zones, zone_names
+from geozone.session import clear_scratch
 from geozone.sources.latency_matrix import parse_latency_matrix, read_latency_matrices, write_latency_matrix
 from geozone.sources.lines import as_lines, read_lines
 from geozone.sources.report import placement_report, report_lines, write_placement_report
@@ -28,10 +29,13 @@ from geozone.sources.settings import member_settings, settings_from_json
 from geozone.sources.source_zones import parse_source_zones, read_source_zones, write_source_zones
 from geozone.sources.zone_members import parse_zone_members, read_zone_members, write_zone_members, zone_members
 from geozone.streaming.aggregate import (
+    compact_versions,
     latest_versions,
+    local_rows,
     start_append,
     start_versions,
     stream_global_agg,
+    stream_partial,
     stream_result,
     stream_zone_local_agg,
 )

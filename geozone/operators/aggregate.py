@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geozone.functions.measures import Measures, finished, merges, partial_names, partials
+from geozone.functions.measures import Measures, finished, merges, partials
 
 WINDOW = "window"
 
@@ -63,11 +63,6 @@ def local_and_global(
     return both.select("scope", *_window_columns(both), zone, *keys, *finished(measures))
 
 
-def partial_columns(measures: Measures) -> list[str]:
-    """Names of the partial columns, for writing local results and merging them later."""
-    return partial_names(measures)
-
-
 def _window_columns(df: DataFrame) -> list:
     if WINDOW not in df.columns:
         return []

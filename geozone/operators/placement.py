@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geozone.operators.tagging import zone_names
+from geozone.operators.tagging import one_per_pair, zone_names
 from geozone.session import scratch_path, written
 
 MODES = ("minmax", "average")
-# Zones per whole number of a dependency set.
-SET_BITS = 63
 
 # Kinds of members: sources bring data into a zone, steps work on it (fixed values).
 SOURCE = "source"
@@ -23,111 +18,72 @@ STEP = "step"
 
 
 def best_zone(
-    deps: DataFrame, latency: DataFrame, candidates: DataFrame | None = None, mode: str = "minmax"
+    deps: DataFrame,
+    latency: DataFrame,
+    candidates: DataFrame | None = None,
+    mode: str = "minmax",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """The candidate zone with the lowest score per group: `(grp, zone, score)`.
-
-    `deps` has `(grp, zone)`; a group whose only zone is null has no dependencies. `latency` has one row per
-    directed pair. The score of a candidate is the largest (`minmax`, at least 0) or mean (`average`)
-    `latency[dependency][candidate]`. The lowest score wins, then the smallest zone name. A candidate is
-    eligible if its latency from every dependency is known; with none eligible the group is returned with a
-    null zone. Without dependencies `minmax` gives the smallest known candidate with score 0 and `average`
-    gives null.
-
-    Many groups share a dependency set. A set is held as bits of a few whole numbers, so groups shrink before
-    the shuffle however many rows they have; each set is scored once and joined back. The latency table, as
-    small as zones times zones, is written to the shared folder first, because it is read several times and its
-    known size lets Spark choose the joins.
-    """
-    _check_mode(mode)
-    return _best(deps, _zone_tables(latency), candidates, mode)
-
-
-class _ZoneTables(NamedTuple):
-    """A latency table and the known zones numbered by name, both written, and how many zones there are."""
+    """The candidate zone with the lowest score per group: `(*by, grp, zone, score)`.
 
-    latency: DataFrame
-    places: DataFrame
-    n_zones: int
+    `deps` has `(grp, zone)`; a group whose only zone is null has no dependencies. `latency` has directed pairs; a
+    repeated pair counts once, with its largest latency. The score of a candidate is the largest (`minmax`, at
+    least 0) or mean (`average`) `latency[dependency][candidate]`. The lowest score wins, then the smallest zone
+    name. A candidate is eligible if its latency from every dependency is known; with none eligible the group is
+    returned with a null zone. Without dependencies `minmax` gives the smallest known candidate with score 0 and
+    `average` gives null.
 
+    `by` names columns of both tables, such as a snapshot, inside which groups and latencies belong together.
 
-def _zone_tables(latency: DataFrame) -> _ZoneTables:
-    latency = written(latency.select("from_zone", "to_zone", "latency"), "latency")
-    names = zone_names(latency).agg(F.sort_array(F.collect_set("zone")).alias("names"))
-    places = written(names.select(F.posexplode("names").alias("place", "zone")), "places")
-    return _ZoneTables(latency, places, places.count())
-
-
-def _best(deps: DataFrame, tables: _ZoneTables, candidates: DataFrame | None, mode: str) -> DataFrame:
-    """`best_zone` on written tables; it runs no job itself."""
-    latency, places, n_zones = tables
-    words = [f"__set{w}" for w in range(max(1, -(-n_zones // SET_BITS)))]
-
-    bits = [
-        F.when(F.floor(F.col("place") / SET_BITS) == w, F.expr(f"shiftleft(1L, place % {SET_BITS})"))
-        for w in range(len(words))
-    ]
-    known = places.select("zone", *[F.coalesce(b, F.lit(0)).alias(w) for b, w in zip(bits, words, strict=True)])
-    groups = (
-        deps.select("grp", "zone")
-        .join(known, "zone", "left")
-        .groupBy("grp")
-        .agg(
-            *[F.coalesce(F.bit_or(w), F.lit(0)).alias(w) for w in words],
-            F.bool_or(F.col("zone").isNotNull() & F.col(words[0]).isNull()).alias("__lost"),
-        )
-    )
-    size = reduce(add, [F.bit_count(w) for w in words]).cast("bigint")
-
-    offered = latency.join(places.select(F.col("zone").alias("from_zone"), "place"), "from_zone")
-    offered = offered.select("place", F.col("to_zone").alias("candidate"), "latency")
+    Many groups share a dependency set: each distinct set is scored once and joined back, known by a digest, so a plan has
+    the same size however many zones there are. No job runs ahead. `latency` is read up to three times; write it
+    to a table first if it is measured from much data.
+    """
+    _check_mode(mode)
+    by = list(by)
+    pairs = one_per_pair(latency, by)
     if candidates is not None:
-        offered = offered.join(candidates.select(F.col("zone").alias("candidate")), "candidate", "left_semi")
+        offered = candidates.select(F.col("zone").alias("to_zone")).distinct()
+        pairs = pairs.join(offered, "to_zone", "left_semi")
+    zones = F.sort_array(F.collect_set("zone"))
+    groups = deps.select(*by, "grp", "zone").distinct().groupBy(*by, "grp").agg(zones.alias("zones"))
+    # The lengths are part of the text, so that different sets have different texts.
+    named = F.transform("zones", lambda z: F.concat(F.length(z).cast("string"), F.lit(":"), z))
+    groups = groups.withColumn("set", F.md5(F.concat_ws(",", named))).withColumn("size", F.size("zones"))
+
     kind = latency.schema["latency"].dataType
-    if mode == "minmax":
-        score = F.greatest(F.max("latency"), F.lit(0).cast(kind))
-    else:
-        score = F.sum("latency") / F.count("latency")
-    sets = groups.filter(~F.col("__lost") & (size > 0)).select(*words).distinct()
-    # The sets are small but each opens up to zones times zones rows. Adaptive execution would gather them in a
-    # few tasks by size; an explicit number of tasks, other than the usual one, is left alone.
-    tasks = 2 * int(deps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = sets.repartition(tasks, *words)
+    score = F.greatest(F.max("latency"), F.lit(0).cast(kind)) if mode == "minmax" else _mean("latency")
+    sets = groups.filter("size > 0").groupBy(*by, "set", "size").agg(F.first("zones").alias("zones"))
+    opened = sets.select(*by, "set", "size", F.explode("zones").alias("from_zone"))
     scored = (
-        sets.select(*words, F.explode(_places(words)).alias("place"))
-        .join(offered, "place")
-        .groupBy(*words, "candidate")
-        .agg(score.alias("score"), F.count("latency").alias("n_known"))
-        .filter(F.col("n_known") == size)
-    )
-    best = scored.groupBy(*words).agg(F.min(F.struct("score", "candidate")).alias("best"))
-    found = groups.join(best, words, "left").select(
-        "grp",
-        F.when(~F.col("__lost"), F.col("best")).alias("best"),
-        ((size == 0) & ~F.col("__lost")).alias("__free"),
+        opened.join(pairs, [*by, "from_zone"])
+        .groupBy(*by, "set", "size", "to_zone")
+        .agg(score.alias("score"), F.count(F.lit(1)).alias("n_known"))
+        .filter("n_known = size")
     )
-    found = found.select("grp", F.col("best.candidate").alias("zone"), F.col("best.score").alias("score"), "__free")
+    best = scored.groupBy(*by, "set").agg(F.min(F.struct("score", F.col("to_zone").alias("zone"))).alias("best"))
+    found = groups.join(best, [*by, "set"], "left").select(*by, "grp", "size", "best.zone", "best.score")
     if mode == "average":
-        return found.select("grp", "zone", "score")
-    offers = places.select("zone")
+        return found.select(*by, "grp", "zone", "score")
+    free = F.col("size") == 0
+    names = zone_names(latency, by)
     if candidates is not None:
-        offers = offers.join(candidates.select("zone"), "zone", "left_semi")
-    smallest = offers.agg(F.min("zone")).scalar()
+        names = names.join(candidates.select("zone"), "zone", "left_semi")
+    if by:
+        found = found.join(names.groupBy(*by).agg(F.min("zone").alias("__first")), by, "left")
+        first = F.col("__first")
+    else:
+        first = names.agg(F.min("zone")).scalar()
     return found.select(
+        *by,
         "grp",
-        F.when(F.col("__free"), smallest).otherwise(F.col("zone")).alias("zone"),
-        F.when(F.col("__free") & smallest.isNotNull(), F.lit(0).cast(kind)).otherwise(F.col("score")).alias("score"),
+        F.when(free, first).otherwise(F.col("zone")).alias("zone"),
+        F.when(free & first.isNotNull(), F.lit(0).cast(kind)).otherwise(F.col("score")).alias("score"),
     )
 
 
-def _places(words: list[str]) -> Column:
-    """Numbers of the zones in a set."""
-    return F.concat(*[_places_of_word(F.col(word), w * SET_BITS) for w, word in enumerate(words)])
-
-
-def _places_of_word(word: Column, first: int) -> Column:
-    set_bits = F.filter(F.sequence(F.lit(0), F.lit(SET_BITS - 1)), lambda bit: F.getbit(word, bit) == 1)
-    return F.transform(set_bits, lambda bit: bit + first)
+def _mean(column: str) -> Column:
+    return F.sum(column) / F.count(column)
 
 
 def _check_mode(mode: str) -> None:
@@ -138,13 +94,16 @@ def _check_mode(mode: str) -> None:
 def best_zone_overall(latency: DataFrame, mode: str = "average") -> DataFrame:
     """The zone best placed for all known zones together (its own latency to itself included): one row.
 
-    There is no row if no zone has a known latency from every zone.
+    There is no row if no zone has a known latency from every zone. Repeated pairs as in `best_zone`.
     """
     _check_mode(mode)
-    tables = _zone_tables(latency)
-    everywhere = tables.places.select(F.lit("all").alias("grp"), "zone")
-    best = _best(everywhere, tables, None, mode).select("zone", "score")
-    return best.filter(F.col("zone").isNotNull())
+    kind = latency.schema["latency"].dataType
+    score = F.greatest(F.max("latency"), F.lit(0).cast(kind)) if mode == "minmax" else _mean("latency")
+    n_zones = zone_names(latency).agg(F.count("zone")).scalar()
+    scored = one_per_pair(latency).groupBy("to_zone").agg(score.alias("score"), F.count(F.lit(1)).alias("n_known"))
+    whole = scored.filter(F.col("n_known") == n_zones)
+    best = whole.agg(F.min(F.struct("score", F.col("to_zone").alias("zone"))).alias("best"))
+    return best.filter("best is not null").select("best.zone", "best.score")
 
 
 def classify_members(members: DataFrame) -> DataFrame:
@@ -178,41 +137,58 @@ def place_in_order(
     candidates: DataFrame | None = None,
     mode: str = "minmax",
     levels: Sequence[int] | None = None,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """Place groups level after level; a later level sees the zones of members placed before.
 
-    `members` has `(member, grp, level)` with one level per group. Inputs of the same or a later level do not
-    count. All groups of a level are placed together, so there are as many rounds as levels, not groups.
-    Returns `(grp, level, zone, score)`.
+    `members` has `(member, grp, level)` with one level per group; a group with two is refused. Inputs of the same
+    or a later level do not count. All groups of a level are placed together, so there are as many rounds as levels,
+    not groups. Returns `(grp, level, zone, score)`. With `slots` (a table with the column `zone`), a group
+    whose zone has no slots is not placed: it comes back with a null zone, and later levels do not see it.
 
-    The reads are written once, partitioned by level, to the folder named in `spark.checkpoint.dir`, and so is
-    the result of each round, so a lost executor repeats at most one round.
+    This operator runs jobs: it has a round per level. The reads are written once, by level, to the folder named in
+    `spark.checkpoint.dir`, and each round's result and placed members once, so no round repeats an earlier one and a
+    lost executor repeats at most one.
     """
     _check_mode(mode)
     spark = members.sparkSession
-    if levels is None:
-        levels = [row[0] for row in members.select("level").distinct().collect()]
+    one = members.groupBy("grp").agg(F.min("level").alias("lo"), F.max("level").alias("hi"))
+    found = one.agg(F.collect_set("lo").alias("levels"), F.bool_or(F.col("lo") != F.col("hi")).alias("mixed")).first()
+    if found.mixed:
+        raise ValueError("a group has members of two levels")
+    levels = sorted(found.levels if levels is None else levels)
+    if not levels:
+        raise ValueError("there are no levels to place")
 
     reads_path = scratch_path(spark, "reads")
     reads = _reads(members, inputs, ["level", "grp"])
-    reads.write.partitionBy("level").parquet(reads_path)
+    reads.repartition("level", F.pmod(F.xxhash64("grp", "input"), F.lit(_level_files(spark)))).write.partitionBy("level").parquet(reads_path)
     reads = spark.read.schema(reads.select("grp", "input", "level").schema).parquet(reads_path)
-    tables = _zone_tables(latency)
+    latency = written(latency.select("from_zone", "to_zone", "latency"), "latency")
 
+    kind = members.schema["level"].dataType
     known, placed = member_zones.select("member", "zone"), None
-    for level in sorted(levels):
+    for level in levels:
         deps = _zones_read(reads.filter(F.col("level") == level).select("grp", "input"), known)
-        chosen = _best(deps, tables, candidates, mode)
-        chosen = chosen.select("grp", F.lit(level).cast(members.schema["level"].dataType).alias("level"), "zone", "score")
-        chosen = written(chosen, "placed")
+        chosen = best_zone(deps, latency, candidates, mode).withColumn("level", F.lit(level).cast(kind))
+        if slots is not None:
+            able = slots.select("zone", F.lit(True).alias("__able")).distinct()
+            chosen = chosen.join(able, "zone", "left").withColumn("zone", F.when(F.col("__able"), F.col("zone")))
+            chosen = chosen.withColumn("score", F.when(F.col("__able"), F.col("score")))
+        chosen = written(chosen.select("grp", "level", "zone", "score"), "placed")
         placed = chosen if placed is None else placed.unionByName(chosen)
-        here = members.filter(F.col("level") == level).join(chosen.select("grp", "zone"), "grp")
-        known = known.unionByName(here.filter(F.col("zone").isNotNull()).select("member", "zone"))
-    if placed is None:
-        raise ValueError("there are no levels to place")
+        if level != levels[-1]:
+            seen = chosen.filter(F.col("zone").isNotNull()).select("grp", "zone")
+            here = members.filter(F.col("level") == level).join(seen, "grp").select("member", "zone")
+            known = known.unionByName(written(here, "placed-members"))
     return placed
 
 
+def _level_files(spark) -> int:
+    """Files per level: as many as a shuffle has tasks at most, and no more."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _reads(members: DataFrame, inputs: DataFrame, by: list[str]) -> DataFrame:
     """Distinct `(*by, input)` of the members, and one row with a null input for each group.
 

@@ -53,7 +53,7 @@ def eligible_targets(sources: DataFrame, lists: DataFrame, members: DataFrame) -
 
 
 def route_by_key(
-    df: DataFrame, zone_col: str, key_cols: Sequence[str] | None, lists: DataFrame, hash: str = "md5"
+    df: DataFrame, zone_col: str, key_cols: Sequence[str] | None, lists: DataFrame, hash: str = "xxhash64"
 ) -> DataFrame:
     """Add `target`: hash of the keys modulo the number of eligible targets, and `is_local`.
 
@@ -64,7 +64,7 @@ def route_by_key(
 
 
 def route_random(
-    df: DataFrame, zone_col: str, row_id: Sequence[str], lists: DataFrame, seed: int = 0, hash: str = "md5"
+    df: DataFrame, zone_col: str, row_id: Sequence[str], lists: DataFrame, seed: int = 0, hash: str = "xxhash64"
 ) -> DataFrame:
     """Add a uniformly drawn eligible `target`, and `is_local`.
 

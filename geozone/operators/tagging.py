@@ -27,22 +27,34 @@ def tag_zones(
     return df.join(lookup, F.col(source_col) == F.col("__source"), how).drop("__source")
 
 
-def zone_names(latency: DataFrame) -> DataFrame:
-    """The known zones of a latency table."""
-    return latency.select(F.explode(F.array("from_zone", "to_zone")).alias("zone")).distinct()
+def zone_names(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The known zones of a latency table, for each value of `by`."""
+    return latency.select(*by, F.explode(F.array("from_zone", "to_zone")).alias("zone")).distinct()
 
 
-def latency_of(df: DataFrame, latency: DataFrame, from_col: str, to_col: str, out: str = "latency") -> DataFrame:
-    """Directed lookup of `latency` for each row; -1 where either zone is unknown."""
-    lookup = latency.select(
-        F.col("from_zone").alias("__from"), F.col("to_zone").alias("__to"), F.col("latency").alias("__latency")
-    )
+def one_per_pair(latency: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per directed pair: of repeated pairs the largest latency counts."""
+    return latency.groupBy(*by, "from_zone", "to_zone").agg(F.max("latency").alias("latency"))
+
+
+def latency_of(
+    df: DataFrame, latency: DataFrame, from_col: str, to_col: str, out: str = "latency", missing: int | None = None
+) -> DataFrame:
+    """Directed lookup of `latency` for each row.
+
+    -1 where either zone is unknown, `missing` (null) where both are known but the pair was not measured. A repeated
+    pair counts once, with its largest latency.
+    """
     kind = latency.schema["latency"].dataType
-    found = (F.col(from_col) == F.col("__from")) & (F.col(to_col) == F.col("__to"))
-    return df.join(lookup, found, "left").select(
-        *[df[c] for c in df.columns],
-        F.coalesce("__latency", F.lit(UNKNOWN_LATENCY).cast(kind)).alias(out),
-    )
+    lookup = one_per_pair(latency).toDF("__from", "__to", "__latency")
+    names = zone_names(latency)
+    start = names.select(F.col("zone").alias("__start"))
+    end = names.select(F.col("zone").alias("__end"))
+    found = df.join(lookup, (F.col(from_col) == F.col("__from")) & (F.col(to_col) == F.col("__to")), "left")
+    found = found.join(start, F.col(from_col) == F.col("__start"), "left").join(end, F.col(to_col) == F.col("__end"), "left")
+    unknown = F.col("__start").isNull() | F.col("__end").isNull()
+    value = F.when(unknown, F.lit(UNKNOWN_LATENCY).cast(kind)).otherwise(F.coalesce("__latency", F.lit(missing).cast(kind)))
+    return found.select(*[df[c] for c in df.columns], value.alias(out))
 
 
 def observed_latency(

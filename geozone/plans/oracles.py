@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from geozone.plans.queries import LINE_MEMBERS, PER_ZONE, SEED
-from geozone.plans.views import TARGET_BALANCE
+from geozone.plans.queries import LINE_MEMBERS, QUOTA_SHARE, SEED
+from geozone.plans.views import FREE_BALANCE
 
 
 def with_ctes(*ctes: str) -> str:
@@ -50,7 +50,7 @@ SOURCE_ZONES = """source_zones AS (
   SELECT source, zone, (row_number() OVER (PARTITION BY source ORDER BY zone) - 1)::INTEGER AS zone_ord
   FROM (SELECT DISTINCT event_type AS source, zone FROM zoned))"""
 
-TARGET_LISTS = f"""targets AS (SELECT s_suppkey AS target FROM supplier WHERE s_acctbal >= {TARGET_BALANCE}),
+TARGET_LISTS = """targets AS (SELECT s_suppkey AS target FROM supplier),
 target_lists AS (
   SELECT list, row_number() OVER (PARTITION BY list ORDER BY target) - 1 AS k, target,
          count(*) OVER (PARTITION BY list) AS n
@@ -62,7 +62,7 @@ MEMBERS = """members AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customers ON o_custkey = c_custkey)"""
 
 ITEMS = """items AS (
-  SELECT o_orderkey AS item, c_mktsegment AS grp, region AS zone,
+  SELECT o_orderkey AS item, c_mktsegment AS grp, region AS zone, o_orderstatus AS member,
          date_trunc('month', o_orderdate)::DATE AS month, o_orderdate::DATE AS day
   FROM orders JOIN customers ON o_custkey = c_custkey)"""
 
@@ -77,9 +77,14 @@ RANKED_ITEMS = """ranked AS (
   FROM items)"""
 
 QUOTA = f"""quota AS (
-  SELECT r.grp, r.item, z.zone, z.zone_ord, r.ord
-  FROM ranked r JOIN item_zones z ON r.grp = z.grp AND r.ord // {PER_ZONE} = z.zone_ord
-  WHERE r.n_items >= z.n_zones * {PER_ZONE})"""
+  SELECT r.grp, r.item, n_items // {QUOTA_SHARE} AS quota, z.zone, z.zone_ord, r.ord
+  FROM ranked r JOIN item_zones z ON r.grp = z.grp AND r.ord // nullif(n_items // {QUOTA_SHARE}, 0) = z.zone_ord
+  WHERE r.n_items >= z.n_zones * (n_items // {QUOTA_SHARE}))"""
+
+REGION_NATIONS = """region_nations AS (
+  SELECT region AS grp, nation AS zone, row_number() OVER (PARTITION BY region ORDER BY nation) - 1 AS zone_ord,
+         count(*) OVER (PARTITION BY region) AS n_zones
+  FROM nations)"""
 
 REGION_SLOTS = """slots AS (
   SELECT region AS zone, s_suppkey AS slot, row_number() OVER (PARTITION BY region ORDER BY s_suppkey) - 1 AS k,
@@ -139,6 +144,23 @@ def placed_level(name: str, deps: str) -> str:
   FROM ({body})"""
 
 
+def placed_in_order(able: str = "true") -> str:
+    """Three levels, each with the zones of the one before; groups whose zone is not `able` are not placed."""
+    seen = lambda name: f"{name}_seen AS (SELECT grp, zone FROM {name} WHERE zone IS NOT NULL AND {able})"
+    placed = f"CASE WHEN {able} THEN zone END AS zone, CASE WHEN {able} THEN score::BIGINT END AS score"
+    ctes = with_ctes(
+        NATIONS, SUPPLIERS, TRIPS, LATENCY, BRAND_DEPS, placed_level("brands", "brand_deps"), seen("brands"),
+        "type_deps AS (SELECT DISTINCT p_type AS grp, zone FROM part LEFT JOIN brands_seen ON p_brand = grp)",
+        placed_level("types", "type_deps"), seen("types"),
+        "report_deps AS (SELECT DISTINCT 'report' AS grp, s.zone FROM part LEFT JOIN types_seen s ON p_type = s.grp)",
+        placed_level("reports", "report_deps"),
+    )
+    return f"""{ctes}
+            SELECT grp, 1::INTEGER AS level, {placed} FROM brands
+            UNION ALL SELECT grp, 2, {placed} FROM types
+            UNION ALL SELECT grp, 3, {placed} FROM reports"""
+
+
 def oracles() -> dict[str, str]:
     events = with_ctes(NATIONS, CUSTOMERS, ZONED)
     latency = with_ctes(TRIPS, LATENCY)
@@ -177,6 +199,7 @@ def oracles() -> dict[str, str]:
         "stream_global_agg": f"""{events} SELECT {HOUR}, event_type, {MEASURES} FROM zoned
             WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM zoned) - INTERVAL 1 HOUR
             GROUP BY 1, 2, 3""",
+        "stream_global_complete": f"{events} SELECT {HOUR}, event_type, {MEASURES} FROM zoned GROUP BY 1, 2, 3",
         "tag_zones": f"""{with_ctes(NATIONS, CUSTOMERS, ZONED, SOURCE_ZONES)}
             SELECT e.event_id, s.source, s.zone FROM events e JOIN source_zones s ON e.event_type = s.source""",
         "target_lists": f"{with_ctes(*ZONE_TABLES, TARGET_LISTS)} SELECT list, k, target FROM target_lists",
@@ -192,16 +215,34 @@ def oracles() -> dict[str, str]:
         "colocate": f"{events} SELECT zone, user_id, count(*) AS n_rows, 1::BIGINT AS n_tasks FROM zoned GROUP BY 1, 2",
         "observed_latency": f"{latency} SELECT from_zone, to_zone, latency FROM latency",
         "zone_names": f"{latency} SELECT from_zone AS zone FROM latency UNION SELECT to_zone FROM latency",
-        "latency_of": f"""{latency}, routes AS (
+        "latency_of": f"""{latency}, names AS (SELECT from_zone AS zone FROM latency UNION SELECT to_zone FROM latency), routes AS (
               SELECT l_orderkey, l_linenumber, a.n_name AS from_zone,
                      CASE WHEN o_orderstatus = 'P' THEN 'UNKNOWN' ELSE b.n_name END AS to_zone
               FROM trips JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey)
-            SELECT r.*, coalesce(l.latency, -1) AS latency
+            SELECT r.*, CASE WHEN r.from_zone IN (SELECT zone FROM names) AND r.to_zone IN (SELECT zone FROM names)
+                             THEN l.latency ELSE -1 END AS latency
             FROM routes r LEFT JOIN latency l ON r.from_zone = l.from_zone AND r.to_zone = l.to_zone""",
         "best_zone_minmax": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS, LATENCY, ORDER_DEPS, best_zone("order_deps", MINMAX))}
             SELECT grp, zone, score FROM best""",
         "best_zone_average": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS, LATENCY, ORDER_DEPS, best_zone("order_deps", AVERAGE))}
             SELECT grp, zone, score FROM best""",
+        "best_zone_by_snapshot": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS)}, measured AS (
+              SELECT o_orderstatus AS snapshot, a.n_name AS from_zone, b.n_name AS to_zone,
+                     round(sum(days)::DOUBLE / count(days) * 1000)::BIGINT AS latency
+              FROM trips JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey
+              GROUP BY 1, 2, 3),
+            d AS (
+              SELECT DISTINCT o_orderstatus AS snapshot, l_orderkey AS grp, nation AS zone
+              FROM lineitem JOIN suppliers ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey),
+            n AS (SELECT snapshot, grp, count(*) AS n FROM d GROUP BY ALL),
+            scored AS (
+              SELECT d.snapshot, d.grp, l.to_zone AS zone, {MINMAX} AS score
+              FROM d JOIN measured l ON d.zone = l.from_zone AND d.snapshot = l.snapshot
+              JOIN n ON d.grp = n.grp AND d.snapshot = n.snapshot
+              GROUP BY d.snapshot, d.grp, l.to_zone, n.n HAVING count(*) = n.n),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY snapshot, grp ORDER BY score, zone) AS place FROM scored)
+            SELECT n.snapshot, n.grp, r.zone, r.score
+            FROM n LEFT JOIN ranked r ON n.grp = r.grp AND n.snapshot = r.snapshot AND r.place = 1""",
         "best_zone_overall": f"""{latency}, names AS (SELECT from_zone AS zone FROM latency UNION SELECT to_zone FROM latency)
             SELECT to_zone AS zone, sum(latency)::DOUBLE / count(*) AS score FROM latency
             GROUP BY to_zone HAVING count(*) = (SELECT count(*) FROM names)
@@ -215,17 +256,30 @@ def oracles() -> dict[str, str]:
             FROM team""",
         "group_dependencies": f"""{with_ctes(NATIONS, SUPPLIERS, BRAND_DEPS)}
             SELECT grp, zone FROM brand_deps b
-            WHERE zone IS NOT NULL OR NOT EXISTS (SELECT 1 FROM brand_deps o WHERE o.grp = b.grp AND o.zone IS NOT NULL)""",
-        "place_in_order": f"""{with_ctes(
-              NATIONS, SUPPLIERS, TRIPS, LATENCY, BRAND_DEPS, placed_level("brands", "brand_deps"),
-              "type_deps AS (SELECT DISTINCT p_type AS grp, zone FROM part JOIN brands ON p_brand = grp)",
-              placed_level("types", "type_deps"),
-              "report_deps AS (SELECT DISTINCT 'report' AS grp, zone FROM types)",
-              placed_level("reports", "report_deps"))}
-            SELECT grp, 1::INTEGER AS level, zone, score::BIGINT AS score FROM brands
-            UNION ALL SELECT grp, 2, zone, score FROM types
-            UNION ALL SELECT grp, 3, zone, score FROM reports""",
-        "assign_zone_quota": f"{with_ctes(*item_lists, QUOTA)} SELECT grp, item, zone, zone_ord, ord FROM quota",
+            WHERE zone IS NOT NULL OR NOT EXISTS (SELECT 1 FROM brand_deps o WHERE o.grp = b.grp AND o.zone IS NOT NULL)
+            UNION ALL SELECT DISTINCT p_type, NULL FROM part
+            UNION ALL SELECT DISTINCT 'report', NULL FROM part""",
+        "place_in_order": placed_in_order(),
+        "place_in_order_slots": placed_in_order(
+            f"zone IN (SELECT nation FROM suppliers WHERE s_acctbal > {FREE_BALANCE})"
+        ),
+        "assign_zone_quota": f"{with_ctes(*item_lists, QUOTA)} SELECT grp, item, quota, zone, zone_ord, ord FROM quota",
+        "assign_member_quota": f"""{with_ctes(*item_lists)}, lists AS (
+              SELECT grp, member, item, row_number() OVER (PARTITION BY grp, member ORDER BY item) - 1 AS ord,
+                     count(*) OVER (PARTITION BY grp, member) AS n_items,
+                     count(*) OVER (PARTITION BY grp, member) // {QUOTA_SHARE} AS quota
+              FROM items)
+            SELECT l.grp, l.member, l.item, l.quota, z.zone, z.zone_ord, l.ord
+            FROM lists l JOIN item_zones z ON l.grp = z.grp AND l.ord // nullif(l.quota, 0) = z.zone_ord
+            WHERE l.n_items >= z.n_zones * l.quota AND z.zone IN (SELECT region FROM suppliers)""",
+        "assign_even_by_date": f"""{with_ctes(*ZONE_TABLES, REGION_NATIONS)}, lists AS (
+              SELECT region AS grp, o_orderkey AS item, o_orderdate AS at,
+                     row_number() OVER (PARTITION BY region ORDER BY o_orderdate, o_orderkey) - 1 AS ord,
+                     count(*) OVER (PARTITION BY region) AS n_items
+              FROM orders JOIN customers ON o_custkey = c_custkey)
+            SELECT l.grp, l.item, l.at, z.zone, z.zone_ord, l.ord
+            FROM lists l JOIN region_nations z ON l.grp = z.grp
+            WHERE l.n_items // z.n_zones > 0 AND l.ord // (l.n_items // z.n_zones) = z.zone_ord""",
         "assign_zone_even": f"""{with_ctes(*item_lists)}
             SELECT r.grp, r.item, z.zone, z.zone_ord, r.ord
             FROM ranked r JOIN item_zones z ON r.grp = z.grp
@@ -239,8 +293,14 @@ def oracles() -> dict[str, str]:
                      count(*) OVER (PARTITION BY p_brand) AS n
               FROM part JOIN best ON p_brand = grp WHERE zone IS NOT NULL)
             SELECT i.item, i.grp, i.zone, s.slot FROM numbered i JOIN slots s ON i.zone = s.zone AND s.k = {position}""",
-        "unassigned": f"""{with_ctes(*item_lists, QUOTA)}
-            SELECT grp, item FROM items WHERE item NOT IN (SELECT item FROM quota)""",
+        "unassigned": f"""{with_ctes(*ZONE_TABLES, MEMBERS, REGION_NATIONS)}, lists AS (
+              SELECT zone AS grp, member AS item, row_number() OVER (PARTITION BY zone ORDER BY member) - 1 AS ord,
+                     count(*) OVER (PARTITION BY zone) AS n_items,
+                     count(*) OVER (PARTITION BY zone) // {QUOTA_SHARE} AS quota
+              FROM members)
+            SELECT grp, item FROM lists l WHERE NOT EXISTS (
+              SELECT 1 FROM region_nations z
+              WHERE z.grp = l.grp AND l.ord // nullif(l.quota, 0) = z.zone_ord AND l.n_items >= z.n_zones * l.quota)""",
         "spread_rest": f"""{with_ctes(*item_lists, QUOTA)}, every_slot AS (
               SELECT s_suppkey AS slot, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n_slots
               FROM supplier),
@@ -269,6 +329,14 @@ def oracles() -> dict[str, str]:
             SELECT zone, line_no, count(*) AS n_members,
                    zone || ';' || string_agg(member::VARCHAR, ',' ORDER BY member) AS line
             FROM numbered GROUP BY 1, 2""",
+        "zone_members_by_time": f"""{with_ctes(*ZONE_TABLES)}, timed AS (
+              SELECT region AS zone, l_suppkey AS member, min(o_orderdate) AS first_at
+              FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customers ON o_custkey = c_custkey GROUP BY 1, 2),
+            numbered AS (
+              SELECT zone, member, row_number() OVER (PARTITION BY zone ORDER BY first_at, member) - 1 AS ord FROM timed)
+            SELECT zone, ord // {LINE_MEMBERS} AS line_no, count(*) AS n_members,
+                   zone || ';' || string_agg(member::VARCHAR, ',' ORDER BY ord) AS line
+            FROM numbered GROUP BY 1, 2""",
         "zone_members_roundtrip": f"{with_ctes(*ZONE_TABLES, MEMBERS)} SELECT zone, member FROM members",
         "member_zone": f"{with_ctes(*ZONE_TABLES, MEMBERS)} SELECT member, max(zone) AS zone FROM members GROUP BY 1",
         "json_settings": """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 1::INTEGER AS per_zone
@@ -278,8 +346,14 @@ def oracles() -> dict[str, str]:
                      count(*) OVER (PARTITION BY grp, zone) AS n
               FROM quota),
             placed AS (
-              SELECT i.grp, i.item, i.zone, s.slot FROM numbered i JOIN slots s ON i.zone = s.zone AND s.k = {position})
-            SELECT 'slot' AS section, slot::VARCHAR AS name, count(*) AS n, NULL::VARCHAR AS zones FROM placed GROUP BY slot
-            UNION ALL
-            SELECT 'group', grp, count(DISTINCT zone), string_agg(DISTINCT zone, ',' ORDER BY zone) FROM placed GROUP BY grp""",
+              SELECT i.grp, i.item, i.zone, s.slot FROM numbered i JOIN slots s ON i.zone = s.zone AND s.k = {position}),
+            entries AS (
+              SELECT 'slot' AS section, slot::VARCHAR AS name, item::VARCHAR AS entry,
+                     row_number() OVER (PARTITION BY slot ORDER BY item) - 1 AS ord
+              FROM placed
+              UNION ALL
+              SELECT 'group', grp, zone, row_number() OVER (PARTITION BY grp ORDER BY zone) - 1
+              FROM (SELECT DISTINCT grp, zone FROM placed))
+            SELECT section, name, ord // {LINE_MEMBERS} AS line_no, count(*) AS n, string_agg(entry, ',' ORDER BY ord) AS entries
+            FROM entries GROUP BY 1, 2, 3""",
     }

@@ -24,10 +24,10 @@ KEYS = ["event_type"]
 WIDTH = "1 hour"
 # Rows this much older than the newest row are late.
 DELAY = "1 hour"
-# Items per zone in the quota query.
-PER_ZONE = 100
+# A zone's quota is one such part of a list's items; there are five regions.
+QUOTA_SHARE = 10
 SEED = 7
-# Members per line in the members query, so that zones take several lines at small scale too.
+# Entries per line in the queries on lines, so that zones and slots take several lines at small scale too.
 LINE_MEMBERS = 32
 
 REGISTRY: dict[str, Query] = {}
@@ -86,13 +86,28 @@ def stream_global_agg(spark, path):
     return plain_numbers(spark.read.schema(result.schema).parquet(f"{out}/table"))
 
 
+@register
+def stream_global_complete(spark, path):
+    """All windows over all zones: partial rows in a versioned table, compacted, then merged."""
+    events = v.with_zones(v.stream(spark, path, "events"), spark, path)
+    local = gz.stream_zone_local_agg(events, "zone", KEYS, MEASURES, "ts", WIDTH, DELAY)
+    rows = gz.stream_partial(local, ["zone", *KEYS], MEASURES)
+    out = scratch_path(spark, "stream-complete")
+    gz.start_versions(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    by = ["window_start", "window_end", "zone", *KEYS]
+    gz.compact_versions(spark, f"{out}/table", by)
+    versions = gz.latest_versions(spark, f"{out}/table", by, rows.schema)
+    return plain_numbers(gz.global_agg(gz.local_rows(versions), KEYS, MEASURES))
+
+
 # --- tagging and routing ----------------------------------------------------------------------------------
 
 
 @register
 def tag_zones(spark, path):
     events = v.table(spark, path, "events").select("event_id", F.col("event_type").alias("source"))
-    return gz.tag_zones(events, "source", v.source_zones(spark, path))
+    # The small side is a table first, so its size is known when the join is planned.
+    return gz.tag_zones(events, "source", written(v.source_zones(spark, path), "source-zones"))
 
 
 @register
@@ -116,20 +131,20 @@ def eligible_targets(spark, path):
 @register
 def route_by_key(spark, path):
     events = v.zoned_events(spark, path).select("event_id", "user_id", "event_type", "nation")
-    return gz.route_by_key(events, "nation", ["user_id", "event_type"], target_table(spark, path))
+    return gz.route_by_key(events, "nation", ["user_id", "event_type"], target_table(spark, path), hash="md5")
 
 
 @register
 def route_random(spark, path):
     events = v.zoned_events(spark, path).select("event_id", "nation")
-    return gz.route_random(events, "nation", ["event_id"], target_table(spark, path), SEED)
+    return gz.route_random(events, "nation", ["event_id"], target_table(spark, path), SEED, hash="md5")
 
 
 @register
 def stream_route(spark, path):
     events = v.with_zones(v.stream(spark, path, "events"), spark, path)
     events = events.select("event_id", "user_id", "event_type", "nation")
-    routed = gz.route_stream(events, "nation", target_table(spark, path), ["user_id", "event_type"])
+    routed = gz.route_stream(events, "nation", target_table(spark, path), ["user_id", "event_type"], hash="md5")
     out = scratch_path(spark, "stream-route")
     gz.start_append(routed, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(routed.schema).parquet(f"{out}/table")
@@ -148,6 +163,11 @@ def colocate(spark, path):
 # --- latencies and placement ------------------------------------------------------------------------------
 
 
+def latency_table(spark: SparkSession, path: str) -> DataFrame:
+    """The measured latencies as a written table: small, and read several times."""
+    return written(v.latency(spark, path), "latency")
+
+
 @register
 def observed_latency(spark, path):
     return v.latency(spark, path)
@@ -161,24 +181,33 @@ def zone_names(spark, path):
 @register
 def latency_of(spark, path):
     """Each lineitem's route; pending orders have no known destination yet."""
-    trips = v.trips(spark, path)
+    trips = written(v.trips(spark, path), "trips")
+    measured = gz.observed_latency(trips, "s_nationkey", "c_nationkey", "days")
+    latency = written(v.name_zones(measured, spark, path), "latency")
     nation = v.table(spark, path, "nation")
     start = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("from_zone"))
     end = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("to_nation"))
     to_zone = F.when(F.col("o_orderstatus") == "P", F.lit("UNKNOWN")).otherwise(F.col("to_nation"))
     routes = trips.join(start, "s_nationkey").join(end, "c_nationkey")
     routes = routes.select("l_orderkey", "l_linenumber", "from_zone", to_zone.alias("to_zone"))
-    return gz.latency_of(routes, v.latency(spark, path), "from_zone", "to_zone")
+    return gz.latency_of(routes, latency, "from_zone", "to_zone")
 
 
 @register
 def best_zone_minmax(spark, path):
-    return gz.best_zone(v.order_deps(spark, path), v.latency(spark, path), mode="minmax")
+    return gz.best_zone(v.order_deps(spark, path), latency_table(spark, path), mode="minmax")
 
 
 @register
 def best_zone_average(spark, path):
-    return gz.best_zone(v.order_deps(spark, path), v.latency(spark, path), mode="average")
+    return gz.best_zone(v.order_deps(spark, path), latency_table(spark, path), mode="average")
+
+
+@register
+def best_zone_by_snapshot(spark, path):
+    """Orders by status, each status with the latencies measured on its own orders."""
+    latency = written(v.latency_snapshots(spark, path), "latency")
+    return gz.best_zone(v.snapshot_deps(spark, path), latency, by=["snapshot"])
 
 
 @register
@@ -193,7 +222,7 @@ def classify_members(spark, path):
 
 @register
 def group_dependencies(spark, path):
-    members = v.pipeline_members(spark, path).filter(F.col("level") == 1).select("member", "grp")
+    members = v.pipeline_members(spark, path).select("member", "grp")
     return gz.group_dependencies(members, v.pipeline_inputs(spark, path), v.pipeline_zones(spark, path))
 
 
@@ -207,19 +236,50 @@ def place_in_order(spark, path):
     )
 
 
+@register
+def place_in_order_slots(spark, path):
+    """As above, where only nations with free slots can take a group."""
+    return gz.place_in_order(
+        v.pipeline_members(spark, path),
+        v.pipeline_inputs(spark, path),
+        v.pipeline_zones(spark, path),
+        v.latency(spark, path),
+        slots=v.free_slots(spark, path),
+    )
+
+
 # --- work lists -------------------------------------------------------------------------------------------
 
 
+def item_zones(spark: SparkSession, path: str) -> DataFrame:
+    return written(v.item_zones(spark, path), "item-zones")
+
+
 @register
 def assign_zone_quota(spark, path):
-    items = v.items(spark, path)
-    return gz.assign_zone_quota(items, v.item_zones(spark, path), PER_ZONE)
+    items = v.with_quota(v.items(spark, path).select("grp", "item"), ["grp"], QUOTA_SHARE)
+    return gz.assign_zone_quota(items, item_zones(spark, path), "quota")
+
+
+@register
+def assign_member_quota(spark, path):
+    """A list and a quota for each status of a segment; regions without suppliers take nothing."""
+    items = v.with_quota(v.items(spark, path), ["grp", "member"], QUOTA_SHARE)
+    slots = v.slots(spark, path)
+    return gz.assign_zone_quota(items, item_zones(spark, path), "quota", slots=slots, group=["grp", "member"])
 
 
 @register
 def assign_zone_even(spark, path):
-    items = v.items(spark, path)
-    return gz.assign_zone_even(items, v.item_zones(spark, path))
+    items = v.items(spark, path).select("grp", "item")
+    return gz.assign_zone_even(items, item_zones(spark, path))
+
+
+@register
+def assign_even_by_date(spark, path):
+    """The orders of a region, by date, to its nations in turn."""
+    zones = written(v.region_nations(spark, path), "region-nations")
+    return gz.assign_zone_even(v.dated_items(spark, path), zones, order=["at", "item"])
 
 
 @register
@@ -238,24 +298,28 @@ def assign_slots_few(spark, path):
 
 @register
 def assign_group(spark, path):
-    """Parts of a brand to the suppliers of the brand's best nation."""
-    members = v.pipeline_members(spark, path).filter(F.col("level") == 1).select("member", "grp")
+    """Parts of a brand to the suppliers of the brand's best nation; groups that are no brand have no items."""
+    members = v.pipeline_members(spark, path).select("member", "grp")
     deps = gz.group_dependencies(members, v.pipeline_inputs(spark, path), v.pipeline_zones(spark, path))
-    chosen = gz.best_zone(deps, v.latency(spark, path))
+    chosen = gz.best_zone(deps, latency_table(spark, path))
     items = v.table(spark, path, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("grp"))
     return gz.assign_group(items, chosen, v.slots(spark, path, "nation"), seed=SEED)
 
 
 @register
 def unassigned(spark, path):
-    items = v.items(spark, path)
-    return gz.unassigned(items, assign_zone_quota(spark, path))
+    """Suppliers as items of several regions: what is placed in one region may be left over in another."""
+    items = v.with_quota(v.member_items(spark, path), ["grp"], QUOTA_SHARE)
+    zones = written(v.region_nations(spark, path), "region-nations")
+    return gz.unassigned(items.select("grp", "item"), gz.assign_zone_quota(items, zones, "quota"))
 
 
 @register
 def spread_rest(spark, path):
-    items = v.items(spark, path)
-    return gz.spread_rest(items, assign_zone_quota(spark, path), v.slots(spark, path), seed=SEED)
+    # What is numbered is read three times, so it starts from tables.
+    items = written(v.items(spark, path).select("grp", "item"), "items")
+    placed = written(assign_zone_quota(spark, path).select("grp", "item"), "quota")
+    return gz.spread_rest(items, placed, v.slots(spark, path), seed=SEED)
 
 
 @register
@@ -296,6 +360,12 @@ def zone_members(spark, path):
     return gz.zone_members(v.members(spark, path), line_members=LINE_MEMBERS)
 
 
+@register
+def zone_members_by_time(spark, path):
+    """Members in the order of their first delivery."""
+    return gz.zone_members(v.timed_members(spark, path), order="at", line_members=LINE_MEMBERS)
+
+
 @register
 def zone_members_roundtrip(spark, path):
     out = scratch_path(spark, "zone-members")
@@ -319,6 +389,7 @@ def json_settings(spark, path):
 
 @register
 def placement_report(spark, path):
-    quota = assign_zone_quota(spark, path)
+    quota = written(assign_zone_quota(spark, path), "quota")
     placed = gz.assign_slots(quota.select("item", "grp", "zone"), v.slots(spark, path), ["grp", "zone"], seed=SEED)
-    return gz.placement_report(placed, placed.select("grp", "zone"))
+    placed = written(placed, "placed")
+    return gz.placement_report(placed, placed.select("grp", "zone"), line_entries=LINE_MEMBERS)

@@ -9,8 +9,8 @@ from geozone.operators.ordinal import ordinal
 from geozone.operators.placement import SOURCE, STEP
 from geozone.operators.tagging import observed_latency
 
-# Suppliers with at least this balance take routed work, so some nations have no target of their own.
-TARGET_BALANCE = 5000
+# Suppliers with more than this balance have free slots in the ordered placement with slots.
+FREE_BALANCE = 7000
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -63,8 +63,7 @@ def source_zones(spark: SparkSession, path: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, path: str) -> DataFrame:
-    able = table(spark, path, "supplier").filter(F.col("s_acctbal") >= TARGET_BALANCE)
-    return able.select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").alias("target_ord"))
+    return table(spark, path, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").alias("target_ord"))
 
 
 def supplier_nations(spark: SparkSession, path: str) -> DataFrame:
@@ -119,15 +118,62 @@ def order_deps(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def snapshot_deps(spark: SparkSession, path: str) -> DataFrame:
+    """As `order_deps`, with the order's status as snapshot."""
+    orders = table(spark, path, "orders").select("o_orderkey", F.col("o_orderstatus").alias("snapshot"))
+    deps = order_deps(spark, path)
+    return deps.join(orders, F.col("grp") == F.col("o_orderkey")).select("snapshot", "grp", "zone")
+
+
+def free_slots(spark: SparkSession, path: str) -> DataFrame:
+    """Suppliers with free slots, by nation."""
+    free = suppliers(spark, path).filter(F.col("s_acctbal") > FREE_BALANCE)
+    return free.select(F.col("nation").alias("zone"), F.col("s_suppkey").alias("slot"))
+
+
 def items(spark: SparkSession, path: str) -> DataFrame:
-    """Orders to hand out, per market segment."""
-    orders = table(spark, path, "orders").select("o_orderkey", "o_custkey")
+    """Orders to hand out, per market segment, with their status as member."""
+    orders = table(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customer = table(spark, path, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_mktsegment").alias("grp"), F.col("o_orderkey").alias("item")
+        F.col("c_mktsegment").alias("grp"), F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("member")
     )
 
 
+def with_quota(items: DataFrame, by: list[str], share: int) -> DataFrame:
+    """`items` with the column `quota`: one `share`-th of the number of items of the same list."""
+    sizes = items.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / share).alias("quota"))
+    return items.join(sizes, by)
+
+
+def dated_items(spark: SparkSession, path: str) -> DataFrame:
+    """Orders per region of their customer, with their date."""
+    orders = table(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.join(customers(spark, path), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("region").alias("grp"), F.col("o_orderkey").alias("item"), F.col("o_orderdate").alias("at")
+    )
+
+
+def region_nations(spark: SparkSession, path: str) -> DataFrame:
+    """The nations of each region, by name."""
+    pairs = nations(spark, path).select(F.col("region").alias("grp"), F.col("nation").alias("zone"))
+    return ordinal(pairs, ["grp"], ["zone"], out="zone_ord")
+
+
+def member_items(spark: SparkSession, path: str) -> DataFrame:
+    """Suppliers as items of the regions they deliver to; a supplier is an item of several groups."""
+    return members(spark, path).select(F.col("zone").alias("grp"), F.col("member").alias("item"))
+
+
+def timed_members(spark: SparkSession, path: str) -> DataFrame:
+    """Suppliers in the regions they deliver to, with the time of the first order."""
+    orders = table(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    bought = orders.join(customers(spark, path), F.col("o_custkey") == F.col("c_custkey"))
+    lineitem = table(spark, path, "lineitem").select("l_orderkey", "l_suppkey")
+    found = lineitem.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+    return found.groupBy(F.col("region").alias("zone"), F.col("l_suppkey").alias("member")).agg(F.min("o_orderdate").alias("at"))
+
+
 def zoned_items(spark: SparkSession, path: str) -> DataFrame:
     """Orders in the region of their customer, with month and day."""
     orders = table(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderdate")

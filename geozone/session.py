@@ -47,13 +47,30 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app_id]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """What this application has written to the shared folder: tables live as long as the caller wants."""
+    return f"{scratch_root(spark)}/geozone-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that `written` and `scratch_path` left behind in this application.
+
+    To be called when no result of the library is read any more: frames that read such tables fail afterwards.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, read often, and of a size Spark knows."""
+    """`df` as a table in the shared folder: computed once, read often, and of a size Spark knows.
+
+    The table belongs to the running application; `clear_scratch` removes all of them.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,38 +1,54 @@
-"""Report on a placement: how many items each slot got, and the zones of each group."""
+"""Report on a placement: the items of each slot, then the zones of each group, in lines of bounded length."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLOT_SECTION = "slot"
-GROUP_SECTION = "group"
+from geozone.operators.ordinal import ordinal
 
+# Sections in the order of the report.
+SECTIONS = ["slot", "group"]
+# Entries per line.
+LINE_ENTRIES = 10_000
 
-def placement_report(assigned: DataFrame, groups: DataFrame) -> DataFrame:
-    """`(section, name, n, zones)` from `assigned (slot, ...)` and `groups (grp, zone, ...)`.
 
-    Slot rows count items and have no zones; group rows count the group's zones and list them by name.
+def placement_report(
+    assigned: DataFrame, groups: DataFrame, item: str = "item", line_entries: int = LINE_ENTRIES
+) -> DataFrame:
+    """`(section, name, line_no, n, entries)` from `assigned (slot, item)` and `groups (grp, zone)`.
+
+    A slot's lines list its items in their order, a group's lines its distinct zones by name, `line_entries` at most in
+    each, `n` of them; so no task holds all items of a slot. Slots and groups without entries are absent.
     """
-    slots = assigned.groupBy(F.col("slot").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    slots = slots.select(F.lit(SLOT_SECTION).alias("section"), "name", "n", F.lit(None).cast("string").alias("zones"))
-    zones = groups.groupBy(F.col("grp").cast("string").alias("name")).agg(
-        F.sort_array(F.collect_set("zone")).alias("zones")
+    slots = assigned.select(F.col("slot").cast("string").alias("name"), F.col(item).alias("entry"))
+    zones = groups.select(F.col("grp").cast("string").alias("name"), F.col("zone").alias("entry")).distinct()
+    return _lines("slot", slots, line_entries).unionByName(_lines("group", zones, line_entries))
+
+
+def _lines(section: str, entries: DataFrame, line_entries: int) -> DataFrame:
+    numbered = ordinal(entries.filter(F.col("entry").isNotNull()), ["name"], ["entry"])
+    line_no = F.floor(F.col("ord") / line_entries).alias("line_no")
+    listed = F.sort_array(F.collect_list(F.struct("ord", F.col("entry").cast("string").alias("entry"))))
+    lines = numbered.groupBy("name", line_no).agg(F.count(F.lit(1)).alias("n"), listed.alias("listed"))
+    text = F.concat_ws(",", "listed.entry").alias("entries")
+    return lines.select(F.lit(section).alias("section"), "name", "line_no", "n", text)
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """The report as text lines in `value`, in order: a heading for each section, then `name<TAB>entries` lines."""
+    place = lambda c: F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), c)
+    headings = report.select("section").distinct().select(
+        place(F.col("section")).alias("at"), F.lit("").alias("name"), F.lit(-1).cast("bigint").alias("line_no"), _heading().alias("value")
     )
-    zones = zones.select(
-        F.lit(GROUP_SECTION).alias("section"),
-        "name",
-        F.size("zones").cast("bigint").alias("n"),
-        F.concat_ws(",", "zones").alias("zones"),
+    body = report.select(
+        place(F.col("section")).alias("at"), "name", "line_no", F.concat_ws("\t", "name", "entries").alias("value")
     )
-    return slots.unionByName(zones)
+    return headings.unionByName(body).orderBy("at", "name", "line_no").select("value")
 
 
-def report_lines(report: DataFrame) -> DataFrame:
-    """The report as text lines in `value`."""
-    slot = F.concat(F.col("n").cast("string"), F.lit(" items to slot: ["), "name", F.lit("]"))
-    group = F.concat("name", F.lit(": ["), F.regexp_replace("zones", ",", ", "), F.lit("]"))
-    return report.select(F.when(F.col("section") == SLOT_SECTION, slot).otherwise(group).alias("value"))
+def _heading() -> Column:
+    return F.concat(F.lit("# "), "section")
 
 
 def write_placement_report(report: DataFrame, path: str) -> None:

@@ -23,7 +23,7 @@ def zone_members(
     order: str | None = None,
     line_members: int = LINE_MEMBERS,
 ) -> DataFrame:
-    """Members per zone in the order of placement, as `(zone, line_no, n_members, line)`.
+    """Members per zone in the order of placement (`order`, then the member), as `(zone, line_no, n_members, line)`.
 
     Line number i of a zone holds its members `[i * line_members, (i + 1) * line_members)`. Zones without
     members are absent.
@@ -31,7 +31,7 @@ def zone_members(
     placed = df.filter(F.col(member).isNotNull()).select(
         F.col(zone).alias("zone"), F.col(member).alias("member"), F.col(order or member).alias("at")
     )
-    numbered = ordinal(placed, ["zone"], ["at"])
+    numbered = ordinal(placed, ["zone"], ["at", "member"] if order else ["at"])
     numbered = numbered.withColumn("line_no", F.floor(F.col("ord") / line_members))
     listed = F.sort_array(F.collect_list(F.struct("ord", F.col("member").cast("string").alias("member"))))
     lines = numbered.groupBy("zone", "line_no").agg(F.count(F.lit(1)).alias("n_members"), listed.alias("listed"))

@@ -2,7 +2,8 @@
 
 State is bounded by the watermark in both stages. A local stage may run in update mode into a versioned
 table, which also shows windows that are still open; the chained global stage runs in append mode and shows
-closed windows.
+closed windows. The complete global result, open windows included, comes from the newest versions of partial rows:
+`stream_partial`, `start_versions`, `latest_versions`, `local_rows`, `global_agg`.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from geozone.functions.measures import Measures, finished, merges
+from geozone.functions.measures import Measures, finished, merges, partial_names
 from geozone.operators.aggregate import WINDOW, zone_local_agg
-from geozone.session import require_utc
+from geozone.session import require_utc, written
 
 BATCH = "batch_id"
 
@@ -46,6 +48,14 @@ def stream_result(partial: DataFrame, keys: Sequence[str], measures: Measures) -
     return partial.select(*limits, *keys, *finished(measures))
 
 
+def stream_partial(partial: DataFrame, keys: Sequence[str], measures: Measures) -> DataFrame:
+    """Streaming partial rows as they are, to be merged later, window limits as zoneless timestamps."""
+    limits = [
+        F.col(f"{WINDOW}.{side}").cast("timestamp_ntz").alias(f"window_{side}") for side in ("start", "end")
+    ]
+    return partial.select(*limits, *keys, *partial_names(measures))
+
+
 def start_versions(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write the changed rows of each micro-batch (update mode) to `path/batch_id=n`.
 
@@ -59,12 +69,44 @@ def start_versions(df: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
     return writer.foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest_versions(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
-    """The newest version of each row of a table written by `start_versions`."""
-    versions = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+def latest_versions(spark: SparkSession, path: str, by: Sequence[str], schema: StructType | None = None) -> DataFrame:
+    """The newest version of each row of a table written by `start_versions`.
+
+    `schema` is that of the rows; with it no file is opened to find it out. `compact_versions` keeps the table small.
+    """
+    if schema is None:
+        versions = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    else:
+        with_batch = StructType([*schema.fields, StructField(BATCH, LongType())])
+        versions = spark.read.schema(with_batch).parquet(path)
+    return _newest(versions, by).drop(BATCH)
+
+
+def _newest(versions: DataFrame, by: Sequence[str]) -> DataFrame:
     values = [c for c in versions.columns if c not in (*by, BATCH)]
-    newest = versions.groupBy(*by).agg(F.max_by(F.struct(*values), F.col(BATCH)).alias("newest"))
-    return newest.select(*by, "newest.*")
+    newest = versions.groupBy(*by).agg(
+        F.max_by(F.struct(*values), F.col(BATCH)).alias("newest"), F.max(BATCH).alias(BATCH)
+    )
+    return newest.select(*by, "newest.*", BATCH)
+
+
+def compact_versions(spark: SparkSession, path: str, by: Sequence[str]) -> None:
+    """Rewrites a table of versions with the newest version of each row only.
+
+    All rows move to the newest batch's folder, so later batches still win. The rows are written to the shared folder
+    first and then take the place of the table. To be called while no stream writes to it.
+    """
+    versions = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    newest = _newest(versions, by)
+    last = versions.agg(F.max(BATCH)).scalar()
+    kept = written(newest.withColumn(BATCH, last), "compacted")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(path)
+
+
+def local_rows(versions: DataFrame) -> DataFrame:
+    """Rows of a versioned table of partial rows as `zone_local_agg` has them, for `global_agg`."""
+    window = F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")).alias(WINDOW)
+    return versions.select(window, *[c for c in versions.columns if c not in ("window_start", "window_end")])
 
 
 def start_append(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

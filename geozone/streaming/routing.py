@@ -16,7 +16,7 @@ def route_stream(
     key_cols: Sequence[str] | None = None,
     row_id: Sequence[str] | None = None,
     seed: int = 0,
-    hash: str = "md5",
+    hash: str = "xxhash64",
 ) -> DataFrame:
     """Route each streaming row by `key_cols`, or at random by `row_id`; append mode.
 

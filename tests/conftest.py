@@ -9,8 +9,8 @@ from geozone.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", "geozone-tests")
+def spark(tmp_path_factory):
+    session = local_session("8", "geozone-tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import geozone as gz
-from geozone.operators.aggregate import partial_columns
+from geozone.functions.measures import partial_names
 
 MEASURES = {"n": ("count", "*"), "n_v": ("count", "v"), "total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "mean": ("avg", "v")}
 
@@ -54,7 +54,7 @@ def test_global_merges_locals(events):
 def test_global_from_stored_locals(spark, events, tmp_path):
     path = str(tmp_path / "local")
     local = gz.zone_local_agg(events, "zone", ["key"], MEASURES, "ts", "1 hour")
-    assert set(partial_columns(MEASURES)) == set(local.columns) - {"window", "zone", "key"}
+    assert set(partial_names(MEASURES)) == set(local.columns) - {"window", "zone", "key"}
     local.write.parquet(path)
     merged = gz.global_agg(spark.read.parquet(path), ["key"], MEASURES)
     hourly = plain(events.withColumn("window_start", F.date_trunc("hour", "ts").cast("timestamp_ntz")), ["window_start", "key"])

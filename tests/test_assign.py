@@ -70,10 +70,16 @@ class TestQuota:
         assert gz.assign_zone_quota(items, zones_of(spark, {"g": ["a"]}), 0).count() == 0
         assert gz.assign_zone_quota(items, zones_of(spark, {"h": ["a"]}), 1).count() == 0
 
-    def test_first_rows_are_kept_before_the_shuffle(self, spark):
-        items = items_of(spark, {"g": 10, "h": 10})
-        plan = gz.assign_zone_quota(items, zones_of(spark, {"g": ["a", "b"]}), 3)
-        assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
+    def test_quota_per_member(self, spark):
+        rows = [("g", m, 10 * k + i, q) for k, (m, n, q) in enumerate((("x", 5, 2), ("y", 4, 1), ("z", 3, 2))) for i in range(n)]
+        items = spark.createDataFrame(rows, "grp string, member string, item bigint, quota int")
+        got = gz.assign_zone_quota(items, zones_of(spark, {"g": ["a", "b"]}), "quota", group=["grp", "member"]).collect()
+        # z has fewer items than both zones need together.
+        assert sorted((r.member, r.zone, r.item) for r in got) == [
+            ("x", "a", 0), ("x", "a", 1), ("x", "b", 2), ("x", "b", 3), ("y", "a", 10), ("y", "b", 11)
+        ]
+        with pytest.raises(ValueError, match="grp"):
+            gz.assign_zone_quota(items, zones_of(spark, {"g": ["a"]}), 1, group=["member"])
 
 
 def test_even_slices_leave_the_remainder(spark):
@@ -82,6 +88,17 @@ def test_even_slices_leave_the_remainder(spark):
     assert got == {("g", 0, "a"): [0, 1, 2], ("g", 1, "b"): [3, 4, 5], ("g", 2, "c"): [6, 7, 8]}
 
 
+def test_even_slices_by_hint_and_by_time(spark):
+    zones = zones_of(spark, {"g": ["a", "b", "c"]})
+    got = by_zone(gz.assign_zone_even(items_of(spark, {"g": 8}), zones, hint=6))
+    assert got == {("g", 0, "a"): [0, 1], ("g", 1, "b"): [2, 3], ("g", 2, "c"): [4, 5]}
+    got = by_zone(gz.assign_zone_even(items_of(spark, {"g": 8}), zones, hint=11))
+    assert got == {("g", 0, "a"): [0, 1, 2], ("g", 1, "b"): [3, 4, 5], ("g", 2, "c"): [6, 7]}
+    timed = items_of(spark, {"g": 6}).withColumn("at", F.date_sub(F.lit("2024-01-10").cast("date"), F.floor(F.col("item") / 2).cast("int")))
+    got = by_zone(gz.assign_zone_even(timed, zones, order=["at", "item"]))
+    assert got == {("g", 0, "a"): [4, 5], ("g", 1, "b"): [2, 3], ("g", 2, "c"): [0, 1]}
+
+
 class TestSlots:
     def assign(self, spark, sizes, slots, **options):
         rows = [(z, 1000 * k + i) for k, (z, n) in enumerate(sizes.items()) for i in range(n)]
@@ -158,6 +175,30 @@ def test_leftovers(spark):
     assert {r.item: r.slot for r in spread.collect()} == {6: 1, 7: 2, 8: 3, 9: 1}
 
 
+def test_leftovers_of_groups_that_share_item_ids(spark):
+    items = spark.createDataFrame([("a", 1), ("b", 1), (None, 1), ("b", None)], "grp string, item bigint")
+    placed = spark.createDataFrame([("a", 1), (None, 1)], "grp string, item bigint")
+    rest = gz.unassigned(items, placed)
+    assert sorted(map(str, rest.collect())) == ["Row(grp='b', item=1)", "Row(grp='b', item=None)"]
+    assert gz.unassigned(items, placed, keys=["item"]).count() == 1
+    spread = gz.spread_rest(items.filter("item = 1"), placed, slots_of(spark, {"z": [5, 6]}))
+    assert [(r.grp, r.item) for r in spread.collect()] == [("b", 1)]
+
+
+def test_names_as_items(spark):
+    items = spark.range(50).select(F.lit("g").alias("grp"), F.format_string("item-%03d", F.col("id")).alias("item"))
+    nothing = spark.createDataFrame([], "grp string, item string")
+    spread = gz.spread_rest(items, nothing, slots_of(spark, {"z": [7, 8, 9]})).collect()
+    assert {r.item: r.slot for r in spread} == {f"item-{k:03d}": 7 + k % 3 for k in range(50)}
+
+
+def test_wide_ranges_are_dealt_before_they_are_opened(spark):
+    df = spark.createDataFrame([("x", 0, 10**6)], "name string, a bigint, b bigint")
+    wide = gz.expand_ranges(df, "a", "b", chunk=100)
+    assert "REPARTITION" in wide._jdf.queryExecution().executedPlan().toString()
+    assert wide.agg(F.count("id"), F.countDistinct("id"), F.max("id")).first()[:] == (10**6 + 1, 10**6 + 1, 10**6)
+
+
 def test_eight_items_on_four_hosts(spark):
     """Four hosts of four slots, eight items: every item is placed."""
     items = spark.range(8).select(F.col("id").alias("item"))

@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from geozone.plans.oracles import oracles
+from geozone.plans.queries import REGISTRY
 
 DATA = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -35,10 +37,10 @@ def canonical(table):
     return names, sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, duck, name):
-    ours = entry.queries()[name](spark, DATA).toArrow()
-    theirs = duck.execute(entry.oracle_sql()[name]).to_arrow_table()
+    ours = REGISTRY[name](spark, DATA).toArrow()
+    theirs = duck.sql(oracles()[name]).to_arrow_table()
     our_names, our_rows = canonical(ours)
     their_names, their_rows = canonical(theirs)
     assert our_names == their_names
@@ -51,7 +53,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) == set(oracles())
+    assert set(REGISTRY) <= set(entry.queries()) and set(oracles()) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geozone.operators.ordinal import ordinal
+from geozone.operators.ordinal import INNER_ROWS, PIECE_ROWS, _pieces, ordinal
 
 
 def by_hand(rows):
@@ -19,16 +19,16 @@ def by_hand(rows):
 def skewed(n, spread, seed):
     """Half of all rows in one group; orders unique, negative ones too."""
     rng = random.Random(seed)
-    orders = rng.sample(range(-spread, spread), n)
+    orders = list({rng.randrange(-spread, spread) for _ in range(2 * n)})[:n]
     return [("hot" if rng.random() < 0.5 else f"g{rng.randrange(5)}", o) for o in orders]
 
 
-@pytest.mark.parametrize("bits", [3, 8, 22])
-@pytest.mark.parametrize("spread", [2_000, 2**40])
-def test_matches_count_by_hand(spark, bits, spread):
-    rows = skewed(1_500, spread, seed=bits)
+@pytest.mark.parametrize("piece_rows", [1, 50, 1 << 10])
+@pytest.mark.parametrize("spread", [2_000, 2**40, 2**63 - 1])
+def test_matches_count_by_hand(spark, piece_rows, spread):
+    rows = skewed(1_500, spread, seed=piece_rows)
     df = spark.createDataFrame(rows, "g string, o bigint")
-    out = ordinal(df, ["g"], ["o"], out="pos", total="size", piece_bits=bits)
+    out = ordinal(df, ["g"], ["o"], out="pos", total="size", piece_rows=piece_rows)
     assert out.columns == ["g", "o", "pos", "size"]
     got = {(r.g, r.o): (r.pos, r.size) for r in out.collect()}
     assert got == by_hand(rows)
@@ -36,29 +36,67 @@ def test_matches_count_by_hand(spark, bits, spread):
 
 def test_whole_table_as_one_group(spark):
     df = spark.range(1_000).select((F.col("id") * 7919 % 1_000).alias("o"))
-    out = ordinal(df, [], ["o"], piece_bits=4)
+    out = ordinal(df, [], ["o"], piece_rows=4)
     assert out.filter(F.col("ord") != F.col("o")).count() == 0
     assert out.count() == 1_000
 
 
-def test_int_and_date_orders(spark):
-    df = spark.range(400).select(
-        F.col("id").cast("int").alias("i"), F.date_add(F.lit("1969-06-01").cast("date"), F.col("id").cast("int")).alias("d")
-    )
-    for column in ("i", "d"):
-        out = ordinal(df, [], [column], piece_bits=3)
-        assert out.filter(F.col("ord") != F.col("i")).count() == 0
+KINDS = {
+    "date": lambda: F.date_add(F.lit("1969-06-01").cast("date"), F.col("id").cast("int")),
+    "timestamp": lambda: F.timestamp_micros(F.col("id") * 123_456_789 - 10**11),
+    "timestamp_ntz": lambda: F.timestamp_micros(F.col("id") * 3_600_000_000).cast("timestamp_ntz"),
+    "name": lambda: F.format_string("Customer#%09d", F.col("id")),
+    "varied": lambda: F.concat(F.chr((F.col("id") / 100 + 65).cast("int")), F.format_string("é%05d", F.col("id"))),
+    "binary": lambda: F.unhex(F.format_string("00ff%08x", F.col("id"))),
+    "double": lambda: F.when(F.col("id") == 0, F.lit(float("-inf"))).when(F.col("id") == 9_999, F.lit(float("nan"))).otherwise(F.col("id") * 1e300 / 1e4 - 5e299),
+    "decimal": lambda: (F.col("id") - 500).cast("decimal(12,3)"),
+    "wide decimal": lambda: (F.col("id").cast("decimal(38,10)") - 500),
+    "small": lambda: F.col("id").cast("int"),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_every_kind_of_order_is_cut(spark, kind):
+    """A hot group is numbered in several pieces, with default settings, whatever it is ordered by."""
+    df = spark.range(10_000).select("id", F.lit("hot").alias("g"), KINDS[kind]().alias("o"))
+    out = ordinal(df, ["g"], ["o"])
+    assert out.filter(F.col("ord") != F.col("id")).count() == 0
+    pieces = _pieces(df, ["o"], PIECE_ROWS, INNER_ROWS)
+    assert df.select(pieces[0].alias("p")).distinct().count() >= 5
+
+
+def test_hashed_ids_have_few_pieces(spark):
+    df = spark.range(50_000).select(F.lit("g").alias("g"), F.xxhash64("id").alias("o"))
+    assert df.select(_pieces(df, ["o"], PIECE_ROWS, INNER_ROWS)[0].alias("p")).distinct().count() <= 50
+    got = [r.ord for r in ordinal(df, ["g"], ["o"]).orderBy("o").collect()]
+    assert got == list(range(50_000))
+
+
+def test_a_hot_value_is_cut_by_the_next_order_column(spark):
+    """Nearly all rows of one day: their ids cut them."""
+    day = F.when(F.col("id") < 4_000, F.lit("2024-03-01")).otherwise(F.lit("2024-03-02")).cast("date")
+    df = spark.range(4_100).select(day.alias("day"), F.col("id").alias("o"))
+    pieces = _pieces(df, ["day", "o"], 1_000, 500)
+    assert df.filter("day = '2024-03-01'").select(pieces[1].alias("p")).distinct().count() >= 5
+    out = ordinal(df, [], ["day", "o"], piece_rows=1_000, inner_rows=500)
+    assert out.filter(F.col("ord") != F.col("o")).count() == 0
+
+
+def test_orders_without_pieces_are_refused(spark):
+    with pytest.raises(ValueError, match="array"):
+        ordinal(spark.createDataFrame([(["a"],)], "name array<string>"), [], ["name"])
 
 
 def test_names_are_numbered_too(spark):
-    df = spark.createDataFrame([("a", "z"), ("a", "b"), ("c", "q")], "g string, name string")
-    got = {(r.g, r.name): r.ord for r in ordinal(df, ["g"], ["name"]).collect()}
-    assert got == {("a", "b"): 0, ("a", "z"): 1, ("c", "q"): 0}
+    rows = [("a", "z"), ("a", "b"), ("c", "q"), ("a", ""), ("a", None), ("a", "b\u0000")]
+    df = spark.createDataFrame(rows, "g string, name string")
+    got = {(r.g, r.name): r.ord for r in ordinal(df, ["g"], ["name"], piece_rows=1).collect()}
+    assert got == {("a", None): 0, ("a", ""): 1, ("a", "b"): 2, ("a", "b\u0000"): 3, ("a", "z"): 4, ("c", "q"): 0}
 
 
 def test_null_group_is_left_out_and_null_order_comes_first(spark):
     df = spark.createDataFrame([(None, 1), ("a", None), ("a", -5), ("a", 3)], "g string, o bigint")
-    got = {(r.g, r.o): r.ord for r in ordinal(df, ["g"], ["o"], piece_bits=2).collect()}
+    got = {(r.g, r.o): r.ord for r in ordinal(df, ["g"], ["o"], piece_rows=1).collect()}
     assert got == {("a", None): 0, ("a", -5): 1, ("a", 3): 2}
 
 
@@ -70,9 +108,9 @@ def test_given_pieces(spark):
     assert {r["size"] for r in out} == {12}
 
 
-def test_whole_table_by_names_is_refused(spark):
-    with pytest.raises(ValueError):
-        ordinal(spark.createDataFrame([("a",)], "name string"), [], ["name"])
+def test_empty_tables(spark):
+    for kind in ("bigint", "string", "double", "date"):
+        assert ordinal(spark.createDataFrame([], f"g string, o {kind}"), ["g"], ["o"]).collect() == []
 
 
 def test_no_job_runs_ahead(spark):

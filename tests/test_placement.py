@@ -114,6 +114,44 @@ def test_group_dependencies(spark):
     assert got == [("g", "east"), ("g", "north"), ("h", "")]
 
 
+def test_repeated_pairs_count_once(spark):
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 9)]
+    repeated = spark.createDataFrame(rows, "from_zone string, to_zone string, latency bigint")
+    assert best(spark, repeated, {"g": ["a"]}) == {"g": ("x", 2)}
+    assert best(spark, repeated, {"g": ["a"]}, mode="average") == {"g": ("x", 2.0)}
+
+
+def test_snapshots_are_kept_apart(spark):
+    rows = [("s", "a", "x", 1), ("s", "a", "y", 9), ("t", "a", "x", 9), ("t", "a", "y", 1)]
+    latency = spark.createDataFrame(rows, "snapshot string, from_zone string, to_zone string, latency bigint")
+    deps = spark.createDataFrame([("s", "g", "a"), ("t", "g", "a"), ("t", "h", None)], "snapshot string, grp string, zone string")
+    got = sorted(tuple(r) for r in gz.best_zone(deps, latency, by=["snapshot"]).collect())
+    assert got == [("s", "g", "x", 1), ("t", "g", "y", 1), ("t", "h", "a", 0)]
+
+
+def test_no_job_runs_ahead(spark):
+    broken = F.raise_error(F.lit("read")).cast("bigint")
+    latency = spark.range(3).select(F.lit("a").alias("from_zone"), F.lit("b").alias("to_zone"), broken.alias("latency"))
+    deps = spark.createDataFrame([("g", "a")], "grp string, zone string")
+    gz.best_zone(deps, latency)
+    gz.best_zone_overall(latency)
+    items = spark.range(3).select(F.lit("g").alias("grp"), broken.alias("item"))
+    zones = spark.createDataFrame([("g", "a", 0)], "grp string, zone string, zone_ord int")
+    placed = gz.assign_zone_quota(items, zones, 1)
+    gz.spread_rest(items, placed, spark.createDataFrame([("a", 1, 1)], "zone string, slot bigint, slot_ord int"))
+
+
+def test_plans_do_not_grow_with_the_zones(spark):
+    few, many = (
+        spark.range(n).select(F.concat(F.lit("z"), "id").alias("from_zone"), F.lit("z1").alias("to_zone"), F.lit(1).alias("latency"))
+        for n in (3, 2_000)
+    )
+    deps = spark.range(10).select("id", F.lit("z1").alias("zone")).withColumnRenamed("id", "grp")
+    plans = [gz.best_zone(deps, f)._jdf.queryExecution().optimizedPlan().toString().count("\n") for f in (few, many)]
+    assert plans[0] == plans[1]
+    assert gz.best_zone(deps, many).filter("zone = 'z1'").count() == 10
+
+
 class TestPlaceInOrder:
     def place(self, spark, latency, members, inputs, **options):
         zones = spark.createDataFrame([("s1", "north"), ("s2", "south"), ("s3", "east")], "member string, zone string")
@@ -151,6 +189,18 @@ class TestPlaceInOrder:
         got = {r.grp: r.zone for r in gz.place_in_order(members, inputs, zones, latency).collect()}
         assert got == {"g": None, "h": "east"}
 
+    def test_a_zone_without_slots_is_not_passed_on(self, spark, latency):
+        members = [("a", "first", 1), ("b", "second", 2)]
+        inputs = [("a", "s1"), ("b", "a"), ("b", "s3")]
+        slots = spark.createDataFrame([("hub", 1), ("hub", 2), ("east", 1)], "zone string, slot bigint")
+        got = self.place(spark, latency, members, inputs, slots=slots)
+        # first wants north, which has no slots; second then reads east only.
+        assert got == {"first": (1, None), "second": (2, "east")}
+
+    def test_a_group_with_two_levels_is_refused(self, spark, latency):
+        with pytest.raises(ValueError, match="two levels"):
+            self.place(spark, latency, [("a", "g", 1), ("b", "g", 2)], [("a", "s1")])
+
     def test_nothing_to_place(self, spark, latency):
         with pytest.raises(ValueError):
             self.place(spark, latency, [], [("a", "s1")])

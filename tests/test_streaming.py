@@ -61,6 +61,38 @@ def test_local_versions_equal_batch_after_restart(spark, tmp_path):
     assert table(gz.latest_versions(spark, out, BY), columns) == table(hourly(spark.read.schema(SCHEMA).parquet(src)), columns)
 
 
+def test_complete_global_result_and_compaction(spark, tmp_path):
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+
+    def once():
+        local = gz.stream_zone_local_agg(stream_of(spark, src), "zone", ["key"], MEASURES, "ts", "1 hour", "1 hour")
+        rows = gz.stream_partial(local, ["zone", "key"], MEASURES)
+        run(gz.start_versions(rows, out, check))
+        return rows.schema
+
+    for seed in range(3):
+        add_file(spark, src, rows_of(seed, 2 * seed, 4, 200, start_id=1000 * seed))
+        schema = once()
+    raw = spark.read.schema(SCHEMA).parquet(src)
+    want = gz.global_agg(gz.zone_local_agg(raw, "zone", ["key"], MEASURES, "ts", "1 hour"), ["key"], MEASURES)
+    columns = ["window_start", "window_end", "key", *MEASURES]
+
+    def have():
+        versions = gz.latest_versions(spark, out, BY, schema)
+        return table(gz.global_agg(gz.local_rows(versions), ["key"], MEASURES), columns)
+
+    assert have() == table(want, columns)
+    files = lambda: [p for p in (tmp_path / "out").rglob("*.parquet")]
+    before = len(files())
+    gz.compact_versions(spark, out, BY)
+    assert have() == table(want, columns) and len(files()) < before
+    add_file(spark, src, rows_of(9, 6, 2, 50, start_id=9000))
+    once()
+    raw = spark.read.schema(SCHEMA).parquet(src)
+    want = gz.global_agg(gz.zone_local_agg(raw, "zone", ["key"], MEASURES, "ts", "1 hour"), ["key"], MEASURES)
+    assert have() == table(want, columns)
+
+
 def test_late_rows_are_dropped_only_behind_the_watermark(spark, tmp_path):
     src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
     one = dt.timedelta(hours=1)

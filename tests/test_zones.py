@@ -135,6 +135,8 @@ class TestZoneMembers:
     def test_order_of_placement(self, spark):
         df = spark.createDataFrame([("a", 1, 30), ("a", 2, 10), ("a", 3, 20)], "zone string, member bigint, at int")
         assert gz.zone_members(df, order="at").first().line == "a;2,3,1"
+        tied = spark.createDataFrame([("a", m, "day") for m in (3, 1, 2)], "zone string, member bigint, at string")
+        assert gz.zone_members(tied, order="at").first().line == "a;1,2,3"
 
     def test_roundtrip_and_append(self, spark, tmp_path):
         df = spark.range(500).select(F.concat(F.lit("z"), (F.col("id") % 3).cast("string")).alias("zone"), F.col("id").alias("member"))
@@ -200,6 +202,13 @@ class TestTagging:
         got = {(r.f, r.t): r.latency for r in gz.latency_of(df, latency, "f", "t").collect()}
         assert got == {("a", "b"): 5, ("b", "a"): 7, ("a", "mars"): -1, (None, "a"): -1}
 
+    def test_unmeasured_and_repeated_pairs(self, spark):
+        latency = spark.createDataFrame([("a", "b", 5), ("a", "b", 3), ("c", "a", 1)], "from_zone string, to_zone string, latency int")
+        df = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "b"), ("a", "x")], "f string, t string")
+        got = sorted((r.f, r.t, r.latency) for r in gz.latency_of(df, latency, "f", "t", missing=0).collect())
+        assert got == [("a", "b", 5), ("a", "c", 0), ("a", "x", -1), ("b", "b", 0)]
+        assert gz.latency_of(df, latency, "f", "t").filter("latency is null").count() == 2
+
     def test_observed_latency(self, spark):
         df = spark.createDataFrame([("a", "b", 1), ("a", "b", 2), ("b", "a", 9)], "f string, t string, v int")
         got = {(r.from_zone, r.to_zone): r.latency for r in gz.observed_latency(df, "f", "t", "v").collect()}
@@ -215,8 +224,11 @@ class TestTagging:
         groups = spark.createDataFrame([("g", "b"), ("g", "a"), ("g", "a")], "grp string, zone string")
         report = gz.placement_report(placed, groups)
         got = sorted(tuple(r) for r in report.collect())
-        assert got == [("group", "g", 2, "a,b"), ("slot", "10", 2, None), ("slot", "11", 1, None)]
+        assert got == [("group", "g", 0, 2, "a,b"), ("slot", "10", 0, 2, "1,2"), ("slot", "11", 0, 1, "3")]
+        lines = ["# slot", "10\t1,2", "11\t3", "# group", "g\ta,b"]
+        assert [r.value for r in gz.report_lines(report).collect()] == lines
         for _ in range(2):
             gz.write_placement_report(report, str(tmp_path / "report"))
-        lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
-        assert sorted(lines) == sorted(["1 items to slot: [11]", "2 items to slot: [10]", "g: [a, b]"] * 2)
+        assert sorted(r.value for r in spark.read.text(str(tmp_path / "report")).collect()) == sorted(lines * 2)
+        cut = gz.placement_report(placed, groups, line_entries=1).filter("name = '10'")
+        assert sorted(tuple(r) for r in cut.collect()) == [("slot", "10", 0, 1, "1"), ("slot", "10", 1, 1, "2")]
