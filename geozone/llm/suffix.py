@@ -236,22 +236,21 @@ def _send_pieces(parts: int, length: int):
         own = Slice(rows, length)
         got = zip(answers.column("part").to_pylist(), answers.column("body").to_pylist(), strict=True)
         at, part = _wanted(own, [(p, _from_five(unpack(b, "u1")[0])) for p, b in got], parts)
-        least: dict[int, dict[bytes, int]] = {}
-        anchors: dict[int, np.ndarray] = {}
+        out = []
         for p in np.unique(part).tolist():
             some = at[part == p]
-            anchors[p] = np.unique(own.key[some])
-            known = least.setdefault(p, {})
-            for piece, k in zip(own.pieces(some), own.doc[some].tolist(), strict=True):
+            known: dict[tuple[int, bytes], int] = {}
+            low = (own.key[some] & LOW).tolist()
+            for anchor, piece, k in zip(low, own.pieces(some), own.doc[some].tolist(), strict=True):
                 doc_id = own.ids[k]
-                if known.setdefault(piece, doc_id) > doc_id:
-                    known[piece] = doc_id
-        out = []
-        for p, known in least.items():
+                if known.setdefault((anchor, piece), doc_id) > doc_id:
+                    known[anchor, piece] = doc_id
             pieces = sorted(known)
-            size = np.fromiter(map(len, pieces), np.uint16, len(pieces))
+            anchors, each = np.unique(np.fromiter((a for a, _ in pieces), np.uint64, len(pieces)), return_counts=True)
+            size = np.fromiter((len(x) for _, x in pieces), np.uint16, len(pieces))
             docs = np.fromiter((known[x] for x in pieces), np.int64, len(pieces))
-            out.append((key[0].as_py(), p, pack(_to_five(anchors[p]), size, docs, b"".join(pieces))))
+            body = pack(_to_five(anchors), each.astype(np.uint32), size, docs, b"".join([x for _, x in pieces]))
+            out.append((key[0].as_py(), p, body))
         return _messages(out)
 
     return run
@@ -294,30 +293,39 @@ class Family:
 
 def _smallest(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        """For each piece of a part, the smallest document of each of its strings."""
+        """For each piece of a part, the smallest document of each of its strings.
+
+        Equal strings have the same anchor. So if all pieces around an anchor are equal, their strings start nowhere else, and
+        only pieces around anchors with different pieces go through the index family.
+        """
         slices, bodies = rows.column("slice").to_pylist(), rows.column("body").to_pylist()
         part = rows.column("part")[0].as_py()
         index: dict[bytes, int] = {}
         docs: list[int] = []
+        around: list[int] = []
         sent = []
         for body in bodies:
-            anchors, size, least, raw = unpack(body, "u1", "<u2", "<i8", "u1")
+            anchors, each, size, least, raw = unpack(body, "u1", "<u4", "<u2", "<i8", "u1")
             raw, ends, own = raw.tobytes(), np.cumsum(size, dtype=np.int64).tolist(), []
-            for start, end, doc_id in zip([0, *ends[:-1]], ends, least.tolist(), strict=True):
+            anchor_of = np.repeat(_from_five(anchors), each).tolist()
+            for start, end, doc_id, anchor in zip([0, *ends[:-1]], ends, least.tolist(), anchor_of, strict=True):
                 at = index.setdefault(raw[start:end], len(docs))
                 if at == len(docs):
                     docs.append(doc_id)
+                    around.append(anchor)
                 elif doc_id < docs[at]:
                     docs[at] = doc_id
                 own.append(at)
             sent.append((anchors, own))
         pieces, least = list(index), np.array(docs, np.int64)
         counts = np.fromiter(map(len, pieces), np.int64, len(pieces)) - (length - 1)
-        answers: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+        answers = np.split(np.repeat(least, counts), np.cumsum(counts)[:-1])
+        _, place, different = np.unique(np.array(around, np.uint64), return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(different[place] > 1)
         family = Family()
-        order = np.argsort(least, kind="stable")
+        order = mixed[np.argsort(least[mixed], kind="stable")]
         cuts = np.flatnonzero(np.diff(np.cumsum(counts[order]) // BATCH, prepend=-1))
-        for start, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for start, end in zip(cuts, [*cuts[1:], len(order)], strict=False):
             some = order[start:end]
             windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(pieces[k], np.uint8), length) for k in some])
             found = family.add(windows.view(f"S{length}").ravel(), np.repeat(least[some], counts[some]))
@@ -339,9 +347,9 @@ def _remove(parts: int, length: int, names: list[str], texts: bool):
         at, part = _wanted(own, [(p, _from_five(x[0])) for p, x in got.items()], parts)
         for p in np.unique(part).tolist():
             some = at[part == p]
-            pieces = own.pieces(some)
+            pieces = list(zip((own.key[some] & LOW).tolist(), own.pieces(some), strict=True))
             ordered = sorted(set(pieces))
-            begin = np.concatenate([[0], np.cumsum([len(x) - length + 1 for x in ordered])])
+            begin = np.concatenate([[0], np.cumsum([len(x) - length + 1 for _, x in ordered])])
             place = {x: k for k, x in enumerate(ordered)}
             where = begin[np.fromiter((place[x] for x in pieces), np.int64, len(pieces))]
             size, smallest = own.size[some], got[p][1]
