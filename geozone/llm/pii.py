@@ -57,7 +57,7 @@ def base_spans(text: str) -> list[Span]:
     out = list(emails(text))
     for found in NUMBERS.finditer(text):
         parts = found[0].split(".")
-        if len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+        if len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts):
             out.append(("ip", *found.span()))
     for found in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", found[0])

@@ -46,6 +46,7 @@ def test_base_spans_are_those_of_the_stated_patterns():
 def test_long_runs_are_linear():
     for text in ("a" * 200_000, "1" * 200_000, "a@" * 50_000, "1." * 100_000, "+1" + ")" * 200_000, "1 " * 100_000):
         assert len(D.base_spans(text)) >= 0
+    assert D.base_spans("0" * 6_000 + ".1.2.3") == [("ip", 0, 6_006)]
 
 
 @pytest.fixture(scope="module")
