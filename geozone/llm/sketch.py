@@ -33,12 +33,11 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 # --- digests ------------------------------------------------------------------------------------------------
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+def mixed(x: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
     """A well mixed 64-bit function of each number, another for each salt."""
-    with np.errstate(over="ignore"):
-        x = x + _STEP * np.uint64(salt + 1)
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
+    x = x + np.asarray(salt, np.uint64).reshape(-1) * _STEP + _STEP
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
 
 
@@ -75,95 +74,136 @@ def digests(text: str) -> np.ndarray:
 # --- tables -------------------------------------------------------------------------------------------------
 
 
-class Sketch:
-    """Cells with a count, the sum (exclusive or) of digests and the sum of their check values."""
+class Sketches:
+    """Many sketches side by side in one table. A cell has a count, the sum (exclusive or) of its digests and of their check values.
 
-    def __init__(self, cells: int):
-        self.cells = cells
-        self.count = np.zeros(cells, np.int32)
-        self.key = np.zeros(cells, np.uint64)
-        self.check = np.zeros(cells, np.uint32)
-
-    @classmethod
-    def of(cls, keys: np.ndarray, cells: int) -> Sketch:
-        out = cls(cells)
-        out.add(keys, np.ones(len(keys), np.int32))
-        return out
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        size = self.cells // PARTS
-        return np.concatenate([mixed(keys, 16 * self.cells + k) % np.uint64(size) + np.uint64(k * size) for k in range(PARTS)]).astype(np.int64)
-
-    def add(self, keys: np.ndarray, signs: np.ndarray) -> None:
-        at = self.places(keys)
-        np.add.at(self.count, at, np.tile(signs, PARTS))
-        np.bitwise_xor.at(self.key, at, np.tile(keys, PARTS))
-        np.bitwise_xor.at(self.check, at, np.tile(mixed(keys, 3).astype(np.uint32), PARTS))
+    Sketch i has cells[i] cells; a digest goes into one cell of each of its PARTS parts.
+    """
 
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(self.cells)
-        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
+    def __init__(self, cells: np.ndarray):
+        self.cells = np.asarray(cells, np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.cells)])
+        self.count = np.zeros(self.start[-1], np.int64)
+        self.key = np.zeros(self.start[-1], np.uint64)
+        self.check = np.zeros(self.start[-1], np.uint32)
+
+    def places(self, owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The cells of each digest of a sketch, a row for each part."""
+        size = self.cells[owner] // PARTS
+        spread = mixed(keys, self.cells[owner])
+        parts = [(mixed(spread, k) % size.astype(np.uint64)).astype(np.int64) + k * size for k in range(PARTS)]
+        return self.start[owner] + np.stack(parts)
+
+    def add(self, owner: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> None:
+        for at in self.places(owner, keys):
+            np.add.at(self.count, at, signs)
+            np.bitwise_xor.at(self.key, at, keys)
+            np.bitwise_xor.at(self.check, at, mixed(keys, 3).astype(np.uint32))
+
+    def minus(self, other: Sketches, mine: np.ndarray, theirs: np.ndarray) -> Sketches:
+        """Differences of pairs of sketches of one size."""
+        size = int(self.cells[0]) if len(mine) else PARTS
+        out = Sketches(np.full(len(mine), size))
+        rows = lambda x, at: x.reshape(-1, size)[at].ravel()
+        out.count = rows(self.count, mine) - rows(other.count, theirs)
+        out.key = rows(self.key, mine) ^ rows(other.key, theirs)
+        out.check = rows(self.check, mine) ^ rows(other.check, theirs)
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Digests only in the first and only in the second of two subtracted sketches, None if cells are left over.
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of subtracted sketches: owner, digest and sign (1: only in the first) of what was recovered, and for each sketch whether that
+        was all.
 
-        A cell with a count of 1 or -1 and a matching check value holds one digest, which is taken out of all its cells.
+        A cell with a count of 1 or -1 and a matching check value holds one digest, which is taken out of all its cells; in each
+        round all such cells of all sketches.
         """
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        owner_of = np.repeat(np.arange(len(self.cells)), self.cells)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while True:
             pure = np.flatnonzero(np.abs(self.count) == 1)
             pure = pure[mixed(self.key[pure], 3).astype(np.uint32) == self.check[pure]]
             if not len(pure):
                 break
-            keys, at = np.unique(self.key[pure], return_index=True)
-            signs = self.count[pure[at]]
-            found.append((keys, signs))
-            self.add(keys, -signs)
-        if self.count.any() or self.key.any() or self.check.any():
-            return None
-        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in found)])
-        signs = np.concatenate([np.zeros(0, np.int32), *(s for _, s in found)])
-        return keys[signs > 0], keys[signs < 0]
-
-    def text(self, n: int) -> str:
-        raw = b"".join(x.astype(x.dtype.newbyteorder("<")).tobytes() for x in (self.count, self.key, self.check))
+            owner, keys = owner_of[pure], self.key[pure]
+            # A digest that is alone in several cells is taken from the first of them.
+            single = np.zeros(len(self.count), bool)
+            single[pure] = True
+            first = np.full(len(pure), len(self.count))
+            for at in self.places(owner, keys):
+                first = np.where(single[at] & (self.key[at] == keys), np.minimum(first, at), first)
+            own = first == pure
+            owner, keys, signs = owner[own], keys[own], self.count[pure[own]]
+            if not len(keys):
+                break
+            found.append((owner, keys, signs))
+            self.add(owner, keys, -signs)
+        left = (self.count != 0) | (self.key != 0) | (self.check != 0)
+        whole = np.bincount(owner_of[left], minlength=len(self.cells)) == 0
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return (*(np.concatenate(x) for x in zip(empty, *found, strict=True)), whole)
+
+    def text(self, i: int, n: int) -> str:
+        """A fingerprint: the number of paragraphs and the cells."""
+        at = slice(self.start[i], self.start[i + 1])
+        raw = self.count[at].astype("<i4").tobytes() + self.key[at].astype("<u8").tobytes() + self.check[at].astype("<u4").tobytes()
         return f"{n}:{base64.b64encode(raw).decode()}"
 
-    @classmethod
-    def read(cls, text: str) -> tuple[int, Sketch]:
-        """The number of paragraphs and the sketch of a fingerprint."""
-        n, _, body = text.partition(":")
-        raw = base64.b64decode(body)
-        out = cls(len(raw) // 16)
-        c = out.cells
-        out.count = np.frombuffer(raw, "<i4", c).copy()
-        out.key = np.frombuffer(raw, "<u8", c, 4 * c).copy()
-        out.check = np.frombuffer(raw, "<u4", c, 12 * c).copy()
-        return int(n), out
 
+def sketches(versions: list[np.ndarray], cells: int | np.ndarray = CELLS) -> Sketches:
+    """A sketch of each list of digests."""
+    out = Sketches(np.broadcast_to(cells, len(versions)))
+    owner = np.repeat(np.arange(len(versions)), [len(v) for v in versions])
+    keys = np.concatenate([np.zeros(0, np.uint64), *versions])
+    out.add(owner, keys, np.ones(len(keys), np.int64))
+    return out
 
-def fingerprint(keys: np.ndarray, cells: int = CELLS) -> str:
-    return Sketch.of(keys, cells).text(len(keys))
 
+def read_fingerprint(text: str) -> tuple[int, Sketches]:
+    """The number of paragraphs and the sketch of a fingerprint."""
+    n, _, body = text.partition(":")
+    raw = base64.b64decode(body)
+    out = Sketches(np.array([len(raw) // 16]))
+    c = len(raw) // 16
+    out.count = np.frombuffer(raw, "<i4", c).astype(np.int64)
+    out.key = np.frombuffer(raw, "<u8", c, 4 * c).astype(np.uint64)
+    out.check = np.frombuffer(raw, "<u4", c, 12 * c).astype(np.uint32)
+    return int(n), out
 
-def differing(one: np.ndarray, other: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """Digests only in one version and only in the other: by subtraction and peeling, with larger sketches until that works."""
-    while True:
-        if 2 * cells > abs(len(one) - len(other)):  # else too small for certain
-            got = Sketch.of(one, cells).minus(Sketch.of(other, cells)).peel()
-            if got is not None:
-                return got
-        cells *= GROW
 
+def differing(
+    versions: list[np.ndarray], one: np.ndarray, other: np.ndarray, small: Sketches | None = None
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For pairs of versions (by place in the list): the digests only in the first and only in the second.
 
-def likeness(one: np.ndarray, other: np.ndarray) -> float:
+    The small sketches are subtracted and peeled first; pairs that cannot be peeled get sketches of GROW times the cells, and so on until
+    every pair has been. All pairs are peeled side by side.
+    """
+    small = small or sketches(versions)
+    diff = small.minus(small, one, other)
+    todo, cells = np.arange(len(one)), CELLS
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64),) * 2] * len(one)
+    while len(todo):
+        owner, keys, signs, whole = diff.peel()
+        order = np.argsort(owner, kind="stable")
+        owner, keys, signs = owner[order], keys[order], signs[order]
+        cuts = np.searchsorted(owner, np.arange(len(todo) + 1))
+        for k in np.flatnonzero(whole).tolist():
+            at = slice(cuts[k], cuts[k + 1])
+            out[todo[k]] = keys[at][signs[at] > 0], keys[at][signs[at] < 0]
+        todo, cells = todo[~whole], cells * GROW
+        if len(todo):
+            mine = sketches([versions[k] for k in one[todo]], cells)
+            diff = mine.minus(sketches([versions[k] for k in other[todo]], cells), np.arange(len(todo)), np.arange(len(todo)))
+    return out
+
+
+def likenesses(versions: list[np.ndarray], one: np.ndarray, other: np.ndarray, small: Sketches | None = None) -> list[float]:
     """Twice the number of common paragraphs over the number in both, 1 for two texts without any."""
-    total = len(one) + len(other)
-    if not total:
-        return 1.0
-    only, rest = differing(one, other)
-    return round((total - len(only) - len(rest)) / total, 9)
+    out = []
+    for a, b, (only, rest) in zip(one.tolist(), other.tolist(), differing(versions, one, other, small), strict=True):
+        total = len(versions[a]) + len(versions[b])
+        out.append(round((total - len(only) - len(rest)) / total, 9) if total else 1.0)
+    return out
 
 
 # --- neighbours ---------------------------------------------------------------------------------------------
@@ -224,21 +264,37 @@ def _results(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in RESULT.split(", ")]
     kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
     held: tuple | None = None  # the document that waits for the next one: run, id, text, digests
-    for batch in slices(batches):
-        out = []
+    for batch in slices(batches, limit=4 << 20):
+        versions: list[np.ndarray] = []
+        rows: list[tuple] = []  # id, text, edited text, and where the digests of the text, the edited and the next text are
+        if held is not None:
+            versions.append(held[3])
         for run, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("run", "tail", "doc_id", "text")), strict=True):
-            text = text or ""
-            keys = digests(text)
+            versions.append(digests(text))
             if held is not None and held[0] == run:
-                _, own_id, own, own_keys = held
-                edited = edited_text(own, text)
-                edited_keys = digests(edited)
-                sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                prints = fingerprint(own_keys), fingerprint(edited_keys)
-                out.append((own_id, len(own), sha, *prints, likeness(own_keys, edited_keys), likeness(own_keys, keys)))
-            held = None if tail else (run, doc_id, text, keys)
-        if out:
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                edited = edited_text(held[2], text)
+                versions.append(digests(edited))
+                rows.append((held[1], held[2], edited, held[4], len(versions) - 1, len(versions) - 2))
+                at = len(versions) - 2
+            else:
+                at = len(versions) - 1
+            held = None if tail else (run, doc_id, text, versions[at], at)
+        if rows:
+            own, new, following = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+            small = sketches(versions)
+            near = likenesses(versions, np.concatenate([own, own]), np.concatenate([new, following]), small)
+            columns = [
+                [r[0] for r in rows],
+                [len(r[1]) for r in rows],
+                [hashlib.sha256(r[2].encode("utf-8", "surrogatepass")).hexdigest() for r in rows],
+                [small.text(k, len(versions[k])) for k in own.tolist()],
+                [small.text(k, len(versions[k])) for k in new.tolist()],
+                near[: len(rows)],
+                near[len(rows) :],
+            ]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        if held is not None:
+            held = (*held[:4], 0)
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:

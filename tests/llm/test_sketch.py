@@ -57,16 +57,23 @@ def test_few_rows(spark, docs_of):
 
 def test_peeling_recovers_the_difference():
     rng = np.random.default_rng(0)
+    versions, wanted = [], []
     for size in (0, 1, 5, 50, 3_000):
         both = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
         one, other = (rng.integers(0, 1 << 63, size, dtype=np.uint64) for _ in range(2))
-        only, rest = K.differing(np.concatenate([both, one]), np.concatenate([other, both]))
-        assert set(only) == set(one) and set(rest) == set(other)
+        versions += [np.concatenate([both, one]), np.concatenate([other, both])]
+        wanted.append((set(one), set(other)))
+    versions.append(np.zeros(0, np.uint64))
+    at = np.arange(5)
+    got = K.differing(versions, np.append(2 * at, [0, 10]), np.append(2 * at + 1, [10, 10]))
+    assert [(set(a), set(b)) for a, b in got[:5]] == wanted
+    assert (set(got[5][0]), len(got[5][1]), len(got[6][0])) == (set(versions[0]), 0, 0)
 
 
 def test_fingerprints_can_be_read_back():
     keys = K.digests("one line\nanother line\none line")
-    n, sketch = K.Sketch.read(K.fingerprint(keys))
+    n, sketch = K.read_fingerprint(K.sketches([keys]).text(0, len(keys)))
     assert n == 3
-    only, rest = sketch.minus(K.Sketch.of(keys[:2], K.CELLS)).peel()
-    assert set(only) == set(keys[2:]) and not len(rest)
+    other = K.sketches([keys[:2]])
+    owner, found, signs, whole = sketch.minus(other, np.array([0]), np.array([0])).peel()
+    assert set(found) == set(keys[2:]) and set(signs) == {1} and whole.all()
