@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from geozone.llm.common import slices
 
 # Nodes of a trie, and words whose counts are remembered, before a task starts anew.
 NODES = 400_000
-WORDS = 400_000
+WORDS = 1_000_000
 # Words longer than this share no prefixes worth keeping; they are counted without nodes.
 LONG = 128
 # The mark of a word's start, as in the vocabulary.
@@ -48,12 +49,18 @@ class Forward:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0) - 1
+        # Sizes of the pieces that end with two letters.
+        sizes: dict[str, set[int]] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                sizes.setdefault(piece[-2:], set()).add(len(piece))
+        self.sizes = {k: sorted(v) for k, v in sizes.items()}
+        self.known: dict[str, int] = {}
         self.start()
 
     def start(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.state: list[tuple[int, int]] = [(0, 0)]
-        self.known: dict[str, int] = {}
 
     def step(self, word: str, end: int, before: list[tuple[int, int]]) -> tuple[int, int]:
         """State of word[:end]; `before` ends with the states of the `longest` prefixes before it, as (score, -count)."""
@@ -65,20 +72,27 @@ class Forward:
             best = (score + size * self.byte, count - size)
         else:
             best = (score + own, count - 1)
-        for size in range(2, min(self.longest, end) + 1):
+        for size in self.sizes.get(word[end - 2 : end], ()) if end > 1 else ():
+            if size > end:
+                break
             own = self.scores.get(word[end - size : end])
             if own is not None:
                 score, count = before[-size]
                 best = max(best, (score + own, count - 1))
         return best
 
+    def total(self, words: list[str]) -> int:
+        """Tokens of all the words, each behind a start mark. Words that were counted before are looked up."""
+        if len(self.known) > WORDS:
+            self.known.clear()
+        for word in set(words).difference(self.known):
+            self.known[word] = self.count(START + word)
+        return sum(map(self.known.__getitem__, words))
+
     def count(self, word: str) -> int:
-        found = self.known.get(word)
-        if found is not None:
-            return found
         if len(word) > LONG:
             return self.plain(word)
-        if len(self.children) > NODES or len(self.known) > WORDS:
+        if len(self.children) > NODES:
             self.start()
         node, before = 0, [self.state[0]]
         for end, letter in enumerate(word, 1):
@@ -89,8 +103,7 @@ class Forward:
                 self.state.append(self.step(word, end, before))
             node = following
             before.append(self.state[node])
-        self.known[word] = found = -self.state[node][1]
-        return found
+        return -self.state[node][1]
 
     def plain(self, word: str) -> int:
         before = [(0, 0)]
@@ -101,24 +114,35 @@ class Forward:
         return -before[-1][1]
 
 
+_kept: dict[str, Forward] = {}
+
+
+def kept_forward(name: str, scores: dict[str, int]) -> Forward:
+    """The state of an earlier task of the same query on this Python worker, if there was one: words counted once stay counted."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Forward(scores)
+    return _kept[name]
+
+
 def token_counts(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row of `docs` (doc_id, text; other columns are not read).
 
     Pre-tokens are the runs between white space with a start mark; each is cut into the pieces with the highest sum of
-    `scores`. Within a task the distinct pre-tokens go into a trie, whose nodes hold the state of their prefix, so a prefix is
-    scored once however many words begin with it, and a repeated word is looked up. No shuffle; memory is bounded by
-    NODES and WORDS. Null and empty texts count 0. Nothing is cut short: long words only skip the trie.
+    `scores`. Within a Python worker the distinct pre-tokens go into a trie, whose nodes hold the state of their prefix, so a
+    prefix is scored once however many words begin with it, and a repeated word is looked up. No shuffle; memory is bounded
+    by NODES and WORDS. Null and empty texts count 0. Nothing is cut short: long words only skip the trie.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(scores)
+    shared, name = docs.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward = Forward(shared.value)
+        forward = kept_forward(name, shared.value)
         for batch in slices(batches):
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
-                found = [START + w for w in (text or "").split()]
+                found = (text or "").split()
                 words.append(len(found))
-                tokens.append(sum(map(forward.count, found)))
+                tokens.append(forward.total(found))
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
                 names=["doc_id", "n_words", "n_tokens"],
