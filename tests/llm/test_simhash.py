@@ -110,3 +110,15 @@ def test_near_copies_join_only_similar_texts(spark, docs_of):
         least.setdefault(g, i)
     assert got == {i: least[g] for i, g in enumerate(groups)}
     assert S.near_copies(docs_of([])).collect() == []
+
+
+def test_near_copies_with_a_line_repeated_in_one_of_them(spark, docs_of):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(10):
+        base = " ".join(f"t{x}" for x in rng.integers(0, 50_000, 304))
+        line = " ".join(f"l{x}" for x in rng.integers(0, 50_000, 6))
+        rows += [base, base + f"\n{line}" * 40]
+    assert all(S.similarity(rows[i], rows[i + 1], 5) > 0.9 for i in range(0, len(rows), 2))
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs_of(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(rows))}
