@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +18,10 @@ from geozone.session import written
 SEED = 42
 # Fingerprints of one bucket that are compared in one tile; larger buckets are dealt over several tiles.
 TILE = 4096
+# Bits of a set's parity; texts that the order of shingles is taken from, and common shingles that it knows.
+PARITY = 1024
+SAMPLE = 8_192
+COMMON = 20_000
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BELOW = np.array([(1 << k) - 1 for k in range(65)], dtype=np.uint64)
 
@@ -40,28 +44,29 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)]
 
 
-def fingerprint(text: str | None, words: int, lanes: int = 1, repeats: bool = True) -> bytes:
+def fingerprint(text: str | None, words: int, lanes: int = 1) -> bytes:
     """`lanes` x 64 bits, little-endian; bit k of a lane is set if it is set in over half of the shingles' hashes.
 
-    Lane i hashes with XXH64 and seed 42 + i. A text without words has the fingerprint zero. Without `repeats` each
-    distinct shingle votes once, as a comparison of sets of shingles wants it.
+    Lane i hashes with XXH64 and seed 42 + i. A text without words has the fingerprint zero.
     """
     runs = shingles(text, words)
-    if not repeats:
-        runs = list(dict.fromkeys(runs))
-    out = []
-    for lane in range(lanes):
-        votes = np.zeros(64, np.int64)
-        for at in range(0, len(runs), 16384):
-            part = runs[at : at + 16384]
-            hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED + lane) for s in part), np.uint64, len(part))
-            votes += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * votes > len(runs), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, fp binary) for every row of `docs` (doc_id, text). Null texts count as empty; `repeats` as in `fingerprint`."""
+    return b"".join(majority(hashed(runs, lane)) for lane in range(lanes))
+
+
+def hashed(runs: list[bytes], lane: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED + lane) for s in runs), np.uint64, len(runs))
+
+
+def majority(hashes: np.ndarray) -> bytes:
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 16384):
+        part = hashes[at : at + 16384]
+        votes += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1) -> DataFrame:
+    """(doc_id, fp binary) for every row of `docs` (doc_id, text). Null texts count as empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -69,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1, repeats: bool
             out = []
             for text in batch.column("text").to_pylist():
                 if text not in known:
-                    known[text] = fingerprint(text, words, lanes, repeats)
+                    known[text] = fingerprint(text, words, lanes)
                 out.append(known[text])
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "fp"])
 
@@ -166,8 +171,14 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _bucket_links(batches: Iterable[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Links inside buckets; the input is sorted by bucket. A bucket has at most about two tiles of rows."""
+Compare = Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]
+
+
+def _bucket_links(batches: Iterable[pa.RecordBatch], compare: Compare) -> Iterator[pa.RecordBatch]:
+    """Links inside buckets; the input is sorted by bucket. A bucket has at most about two tiles of rows.
+
+    `compare` gets whole buckets and, for each row, the end of its bucket.
+    """
     rest: pa.Table | None = None
     stream = gathered(batches, 200_000)
     held = next(stream, None)
@@ -181,7 +192,7 @@ def _bucket_links(batches: Iterable[pa.RecordBatch], radius: int, nearest: bool)
         held = upcoming
         if cut:
             bounds = np.append(change[change < cut], cut)
-            yield from _compare(part, np.repeat(bounds, np.diff(bounds, prepend=0)), radius, nearest)
+            yield from compare(part, np.repeat(bounds, np.diff(bounds, prepend=0)))
 
 
 def _compare(part: pa.Table, ends: np.ndarray, radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
@@ -261,17 +272,140 @@ def candidate_links(
     """
     keyed = bucketed(nodes, tables)
     large = keyed.groupBy("key").count().filter(F.col("count") > tile)
+    together = _dealt(keyed.join(large, "key", "left"), "fp", tile, ["node", "fp"], ["node"])
+    run = lambda batches: _bucket_links(batches, lambda part, ends: _compare(part, ends, radius, nearest))
+    return together.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _dealt(keyed: DataFrame, by: str, tile: int, columns: list[str], order: list[str]) -> DataFrame:
+    """`keyed` (key, count, columns) as tiles (key, lo, hi) of pairs of parts: any two rows of a key share a tile."""
     parts = F.coalesce(F.ceil(F.col("count") / tile), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(by), F.col("parts")).cast("int")
     dealt = (
-        keyed.join(large, "key", "left")
-        .withColumn("parts", parts)
+        keyed.withColumn("parts", parts)
         .withColumn("own", F.when(F.col("parts") > 1, own).otherwise(0))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "fp")
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns)
     )
-    run = lambda batches: _bucket_links(batches, radius, nearest)
-    together = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", *order)
+
+
+# --- sets of shingles ---------------------------------------------------------------------------------------
+
+
+def rare_part(hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's distinct hashes, in an order that all sets share: rare before `common`, then by value.
+
+    Two sets with a similarity of `least` or more share one of these: if all that they share came later, the set whose
+    first part ends earlier could share no more than ceil(least * size) - 1. The empty set has the single hash 0.
+    """
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    known, count = common
+    times = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        times = np.where(known[at] == hashes, count[at], 0)
+    keep = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, times))[:keep]]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """PARITY bits of a set: bit k tells if an odd number of hashes is k modulo PARITY. Two sets that are not the same
+    in d hashes differ in d bits at most."""
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles met in several of about SAMPLE texts of (doc_id, text), and how often. The order of `rare_part`
+    is made from them, so they change how many candidates there are, not which pairs are found."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for text in batch.column("text").to_pylist():
+                hashes = np.unique(hashed(list(set(shingles(text, words)))))
+                yield pa.record_batch([pa.array(hashes.view(np.int64))], names=["hash"])
+
+    share = max(1, texts.count() // SAMPLE)
+    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    counts = some.mapInArrow(run, "hash bigint").groupBy("hash").count().filter("count > 2")
+    found = counts.orderBy(F.desc("count"), "hash").limit(COMMON).collect()
+    known = np.array([r["hash"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    return known[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
+def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFrame:
+    """(node, fp, size, parity, rare) of the set of shingles of each of `texts` (doc_id, text)."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps, sizes, odd, rare = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                runs = list(dict.fromkeys(shingles(text, words)))
+                first = hashed(runs)
+                fps.append(b"".join([majority(first), *(majority(hashed(runs, lane)) for lane in range(1, lanes))]))
+                first = np.unique(first)
+                sizes.append(len(first))
+                odd.append(parity(first))
+                rare.append(rare_part(first, least, common.value).view(np.int64))
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            made = [pa.array(c, kind) for c, kind in zip([fps, sizes, odd, rare], kinds, strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), *made], names=["node", "fp", "size", "parity", "rare"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, fp binary, size bigint, parity binary, rare array<bigint>")
+
+
+def _sharing(part: pa.Table, ends: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that sizes and parities leave open; the rows of a bucket are sorted by group, and pairs inside a
+    group need no link."""
+    node, group, size = (part.column(c).to_numpy() for c in ("node", "grp", "size"))
+    odd = fixed_words(part.column("parity"))
+    last = np.append(np.flatnonzero((np.diff(group) != 0) | (np.diff(ends) != 0)) + 1, len(group))
+    beyond = np.repeat(last, np.diff(last, prepend=0))
+    row, off, held, n = np.arange(len(node)), 0, [], 0
+    while True:
+        row = row[beyond[row] + off < ends[row]]
+        if not len(row):
+            break
+        for at in range(0, len(row), 65_536):
+            i = row[at : at + 65_536]
+            j = beyond[i] + off
+            open_ = np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-9
+            i, j = i[open_], j[open_]
+            apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            open_ = (1 + least) * apart <= (1 - least) * (size[i] + size[j]) + 1e-6
+            held.append((node[i[open_]], node[j[open_]]))
+            n += len(held[-1][0])
+            if n > 100_000 or len(held) > 10_000:
+                yield _link_rows(held)
+                held, n = [], 0
+        off += 1
+    if n:
+        yield _link_rows(held)
+
+
+def _link_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+    return pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+
+def sharing_links(prints: DataFrame, roots: DataFrame, least: float, tile: int = TILE) -> DataFrame:
+    """(a, b): all pairs of `prints` (see `set_prints`) that may have a similarity of `least` and are in different groups of
+    `roots` (node, root), and others besides.
+
+    Pairs meet in the buckets of the hashes of `rare_part`, so none is lost. Buckets of a single group are left out before
+    any row is moved, and large ones are dealt over tiles.
+    """
+    grouped = prints.select("node", "rare").join(roots, "node", "left")
+    marks = grouped.select("node", F.coalesce("root", "node").alias("grp"), F.explode("rare").alias("key"))
+    met = marks.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("count"))
+    met = written(met.filter("low < high").select("key", "count"), "near-shared")
+    rows = marks.join(met, "key").join(prints.select("node", "size", "parity"), "node")
+    together = _dealt(rows, "node", tile, ["node", "grp", "size", "parity"], ["grp", "node"])
+    run = lambda batches: _bucket_links(batches, lambda part, ends: _sharing(part, ends, least))
     return together.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -333,12 +467,12 @@ def near_copies(
     """(doc_id, text_digest, component_id) for every distinct (doc_id, text) of `docs` with a doc_id.
 
     Documents are one group where a chain of pairs with a Jaccard similarity of `least` or more over shingles of
-    `words` words joins them. Equal texts are one node. Candidates come from wide fingerprints (`lanes` x 64 bits) of
-    the distinct shingles, so a line repeated in one of two copies weighs no more there than in the similarity:
-    at a similarity of 0.8 about 39 of 256 bits differ (5.7 either way), so `radius` 52 passes 99 % of such pairs,
-    and they share one of the sampled `tables` with probability 1 - (1 - 0.85 ** key_bits) ** tables = 0.97; the
-    closer a pair, the surer. Each document is linked to its closest smaller one in every bucket, and each link is then
-    checked on the whole texts, so nothing below `least` is ever joined.
+    `words` words joins them; no such pair is lost. Equal texts are one node. Groups are first drawn together by wide
+    fingerprints (`lanes` x 64 bits) of the distinct shingles, so a line repeated in one of two copies weighs no more there
+    than in the similarity: each document is linked to its closest smaller one within `radius` in every bucket of the
+    sampled `tables`. That finds most pairs, not all. Then all pairs of different groups that share one of their rare
+    shingles (`sharing_links`) and whose sizes and parities allow `least` are candidates, whatever their fingerprints.
+    Every link is checked on the whole texts, so nothing below `least` is ever joined.
 
     Null and empty texts are equal texts. Rows with a null doc_id are left out. Rows with the same doc_id and
     different texts are one document, compared by the text with the smallest digest. No rows give no rows.
@@ -350,12 +484,19 @@ def near_copies(
     prints = docs.select("doc_id", "text", text_digest().alias("text_digest"))
     firsts = first.groupBy(F.col("node").alias("doc_id")).agg(F.min("text_digest").alias("text_digest"))
     whole = written(prints.join(firsts, ["doc_id", "text_digest"]).dropDuplicates(["doc_id", "text_digest"]), "near-texts")
-    nodes = written(fingerprints(whole, words, lanes, repeats=False).withColumnRenamed("doc_id", "node"), "near-prints")
-    found = candidate_links(nodes, radius, sampled_tables(tables, key_bits, 64 * lanes), nearest=True)
-    return _verified(ids, first, whole, written(found, "near-links"), words, least)
+    prints = written(set_prints(whole, words, lanes, least), "near-prints")
+    found = candidate_links(prints.select("node", "fp"), radius, sampled_tables(tables, key_bits, 64 * lanes), nearest=True)
+    roots = components(_verified(whole, written(found, "near-links"), words, least), "near-groups")
+    more = written(sharing_links(prints, roots, least), "near-more")
+    links = roots.toDF("a", "b").unionByName(_verified(whole, more, words, least))
+    roots = components(links, "near-groups")
+    placed = ids.join(first, "text_digest").join(roots, "node", "left")
+    return placed.select("doc_id", "text_digest", F.coalesce("root", "node").alias("component_id"))
+
 
+def _verified(whole: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
+    """The links whose texts have a similarity of `least` or more."""
 
-def _verified(ids: DataFrame, first: DataFrame, whole: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a"):
             pairs = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
@@ -364,7 +505,4 @@ def _verified(ids: DataFrame, first: DataFrame, whole: DataFrame, links: DataFra
 
     texts = whole.select("doc_id", "text")
     pairs = links.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    checked = pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
-    roots = components(checked, "near-groups")
-    placed = ids.join(first, "text_digest").join(roots, "node", "left")
-    return placed.select("doc_id", "text_digest", F.coalesce("root", "node").alias("component_id"))
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")

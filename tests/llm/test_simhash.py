@@ -122,3 +122,21 @@ def test_near_copies_with_a_line_repeated_in_one_of_them(spark, docs_of):
     assert all(S.similarity(rows[i], rows[i + 1], 5) > 0.9 for i in range(0, len(rows), 2))
     got = {r.doc_id: r.component_id for r in S.near_copies(docs_of(rows)).collect()}
     assert got == {i: i - i % 2 for i in range(len(rows))}
+
+
+def test_near_copies_beside_closer_looking_texts(spark, docs_of):
+    rng = np.random.default_rng(10)
+    rows, want = [], {}
+    for _ in range(15):
+        base = [f"t{x}" for x in rng.integers(0, 1_000_000, 204)]
+        first = len(rows)
+        for size in [16] + [26] * 60:
+            at = rng.integers(5, 199 - size)
+            new = [f"n{x}" for x in rng.integers(0, 1_000_000, size)]
+            rows.append(" ".join([*base[:at], *new, *base[at + size :]]))
+        rows.append(" ".join(base))
+        alike = [S.similarity(r, rows[-1], 5) for r in rows[first:-1]]
+        assert alike[0] > 0.8 > max(alike[1:])
+        want[len(rows) - 1] = first
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs_of(rows)).collect()}
+    assert {i: got[i] for i in want} == want
