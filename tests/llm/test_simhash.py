@@ -124,6 +124,33 @@ def test_near_copies_with_a_line_repeated_in_one_of_them(spark, docs_of):
     assert got == {i: i - i % 2 for i in range(len(rows))}
 
 
+def brute_near(rows, least=0.8):
+    """Smallest reachable position of each text over pairs of a similarity of `least`."""
+    sets = [set(S.shingles(t, 5)) for t in rows]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    return dict(enumerate(label))
+
+
+def test_near_copies_lose_no_pair_at_the_limit(spark, docs_of):
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in (8, 8, 8, 8, 8, 8, 8, 8, 13, 13, 13, 13, 58, 58, 58, 58, 204, 204, 204, 204, 504, 504, 504, 504):
+        base = [f"t{x}" for x in rng.integers(0, 1_000_000, n)]
+        more = (n - 4) // 4  # new words at the end: of 5/4 of the shingles 4/5 are shared
+        rows += [" ".join(base), " ".join([*base, *(f"m{x}" for x in rng.integers(0, 1_000_000, more))])]
+    assert all(S.similarity(rows[i], rows[i + 1], 5) >= 0.8 for i in range(0, len(rows), 2))
+    got = {r.doc_id: r.component_id for r in S.near_copies(docs_of(rows)).collect()}
+    assert got == brute_near(rows) == {i: i - i % 2 for i in range(len(rows))}
+
+
 def test_near_copies_beside_closer_looking_texts(spark, docs_of):
     rng = np.random.default_rng(10)
     rows, want = [], {}
