@@ -23,6 +23,13 @@ WINDOWS_PER_DOC = 6
 STEPS = 220
 BATCH = 256
 SEED = 11
+# A text is in no learned language if its score and its share of agreeing positions are both below these, or below what
+# all but the share LOW of clean rows reach: held-out rows whose label was found, about CHECKED at most and LEAST_CHECKED at least.
+SCORE = 0.5
+AGREEING = 0.5
+LOW = 0.01
+CHECKED = 6_000
+LEAST_CHECKED = 100
 _LETTER = regex.compile(r"\p{L}")
 
 Params = dict[str, np.ndarray]
@@ -279,6 +286,26 @@ def with_language(docs: DataFrame, p: Params, languages: list[str], keep_text: b
     return docs.mapInArrow(run, schema)
 
 
+def lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(_LETTER.pattern), F.lit(False))
+
+
+def thresholds(docs: DataFrame, p: Params, languages: list[str]) -> tuple[float, float]:
+    """The score and the share of agreeing positions below which, both together, a text is in no learned language.
+
+    Zero, so that nothing is, where fewer than two languages are learned or too few labelled rows are held out to tell.
+    """
+    rows = docs.filter(held_out() & F.col("lang").isin(languages) & lettered()).select("doc_id", "text", "lang")
+    n = rows.count() if len(languages) > 1 else 0
+    if n < LEAST_CHECKED:
+        return 0.0, 0.0
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // CHECKED))) == 0)
+    right = with_language(some, p, languages, keep_text=False).filter(F.col("lang") == F.col("lang_pred"))
+    low = [F.percentile(c, F.lit(LOW)) for c in ("score", "agreeing")]
+    found, score, agreeing = right.agg(F.count(F.lit(1)), *low).first()
+    return (min(SCORE, score), min(AGREEING, agreeing)) if found >= LEAST_CHECKED else (0.0, 0.0)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, agreeing) for every row of `docs` (doc_id, text, lang; other columns are not read).
 

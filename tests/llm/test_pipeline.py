@@ -1,5 +1,7 @@
 """The stages on planted cases, each on its own input, and the whole run on the smallest tables."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -38,6 +40,22 @@ def test_language_rejects_only_texts_without_letters(spark):
     assert got.keys() == {1, 4, 5} and got[1] == "en" and got[4] == "fr" and got[5] in ("en", "fr")
 
 
+def test_language_rejects_letter_noise_and_keeps_clean_texts(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect()
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"))
+    label = lambda i: "en" if zlib.crc32(str(i).encode()) % 3 == 1 else None  # held out: noise is labelled, but not learned from
+    noise = [(i, "".join(rng.choice(letters[: 26 if i % 2 else 64], 8000)), label(i)) for i in range(100_000, 100_040)]
+    got = {r.doc_id for r in C.language(spark, docs_of(spark, [tuple(r) for r in clean] + noise), SF).collect()}
+    assert got == {r.doc_id for r in clean}
+
+
+def test_language_rejects_nothing_for_want_of_labels(spark):
+    rows = [(k, f"some words of text {k}", None) for k in range(30)] + [(40, "12345", None), (41, None, None), (42, "\u0434\u0430", None)]
+    got = {r.doc_id: r.lang for r in C.language(spark, docs_of(spark, rows), SF).collect()}
+    assert got == dict.fromkeys([*range(30), 42], "und")
+
+
 def test_near_duplicates_keeps_one_of_each_group(spark):
     base = prose(1, 400)
     near = base.replace(base.split()[200], "edit")
