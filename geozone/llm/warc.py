@@ -29,8 +29,6 @@ MEMBER_BYTES = 8 << 20
 # Bytes of a file that one task scans, and bytes read at a time.
 RANGE_BYTES = 4 << 20
 READ_BYTES = 256 << 10
-# A record's header lines end within so many bytes.
-HEADER_BYTES = 64 << 10
 
 
 def digest(payload: bytes) -> str:
@@ -109,7 +107,7 @@ def _open(path: str):
 
 
 class Bytes:
-    """A file's bytes from an offset on, read piece by piece; what is behind is let go."""
+    """A file's bytes from an offset on, read piece by piece; what is behind is let go, and read again if asked for."""
 
     def __init__(self, file, size: int, at: int):
         self.file, self.size, self.base, self.held = file, size, at, b""
@@ -117,6 +115,8 @@ class Bytes:
     def get(self, at: int, n: int) -> bytes:
         """Up to n bytes at an offset."""
         end = min(at + n, self.size)
+        if at < self.base:
+            self.held, self.base = b"", at
         if at > self.base:
             self.held, self.base = self.held[at - self.base :], at
         if end > self.base + len(self.held):
@@ -172,11 +172,13 @@ def _record_at(source: Bytes, at: int) -> tuple[dict[str, str], bytes, int] | No
     try:
         data = b""
         while b"\r\n\r\n" not in data:
-            if len(data) > HEADER_BYTES or len(data) >= 5 and not data.startswith(b"WARC/"):
+            if len(data) >= 5 and not data.startswith(b"WARC/"):
                 return None
-            more = part.read(4096)
+            more = part.read(max(4096, len(data)))
             if not more:
-                return None
+                if source.get(part.end, 4) != LATER_MEMBER[:4]:
+                    return None
+                part = Member(source, part.end)  # the header lines go on in the next member
             data += more
         head, _, block = data.partition(b"\r\n\r\n")
         fields = header_fields(head)

@@ -98,3 +98,11 @@ def test_foreign_archives(spark, tmp_path):
     (tmp_path / "a" / "x.warc.gz").write_bytes(body)
     got = W.read_archives(spark, str(tmp_path / "a"), range_bytes=64).select("payload_bytes", F.length("payload").alias("n")).collect()
     assert sorted((r.payload_bytes, r.n) for r in got) == [(50 * k, 50 * k) for k in range(4)]
+
+
+def test_header_lines_of_any_length(spark):
+    rng = np.random.default_rng(4)
+    urls = ["http://a.example/" + "".join(map(str, rng.integers(0, 10, n))) for n in (10, 200_000, 900_000, 9_000_000, 20)]
+    rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
+    got = W.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(i, 8, "response") for i in range(5)]
