@@ -1,36 +1,33 @@
 """Positions of rows inside their group, without one task per group.
 
-`row_number()` over a window puts a whole group in one task, and one group may hold a third of all rows. So the
-order is cut into pieces: rows are numbered inside (group, piece), and a prefix sum over the counts of the pieces
-gives each piece its offset.
-
-Pieces are equal ranges of the first order column, of whatever type, between its least and largest value: about
-one for every PIECE_ROWS rows of the table and less in a very large one, so there is never a list of pieces as long
-as the table. The range, like
-the count, is a scalar subquery: nothing is sampled, no job runs ahead of the query, and a repeated task cuts the rows
-in the same way. Where a piece is one single value (all rows of a day, say), it is cut again by the next order column.
+`row_number()` over a window puts a whole group in one task, and one group may hold a third of all rows. So the rows are
+dealt by range over group and order columns together, with Spark's own sampled bounds, and sorted inside each range. The
+bounds follow the data, whatever its type: an outlier, a common beginning of all texts or a value that most rows share
+does not fill a range, since the later columns cut inside it. The sorted rows are written once, each with its place; a
+position is that place, less the group's first place in the range, plus the rows of the group in the ranges before. The
+sample only decides how even the ranges are; written once, they are the same for every reader and for a repeated task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Rows of the table for each piece of the first order column, up to so many pieces; 64 times the rows beyond.
-PIECE_ROWS = 1 << 10
-FINE_PIECES = 1 << 16
-# Rows of the table for each piece of a later order column, inside one value of those before.
-INNER_ROWS = 1 << 22
-# Bytes of a text that count, behind what all texts begin with.
-TEXT_BYTES = 7
+from geozone.session import written
+
+# Rows of a range, and how many ranges there are at most for each partition of a shuffle.
+PIECE_ROWS = 1 << 12
+MOST_PIECES = 16
 
 _COUNT = "__n"
 _OFFSET = "__offset"
 _WITHIN = "__within"
+_AT = "__at"
+_PIECE = "__piece"
+# Bits below the partition number in `monotonically_increasing_id` (fixed value).
+_PLACE_BITS = 33
 
 
 def ordinal(
@@ -41,26 +38,46 @@ def ordinal(
     total: str | None = None,
     bucket: Sequence[str] | None = None,
     piece_rows: int = PIECE_ROWS,
-    inner_rows: int = INNER_ROWS,
 ) -> DataFrame:
     """Add `out`, the 0-based BIGINT position of each row in its group by `order`, and `total`, the group size.
 
-    Rows with a null group column belong to no group and are left out. `order` should be unique in a group. Its
-    columns may be numbers, texts, binaries, booleans, dates or timestamps; nulls come first. Groups may have any
-    size. Three parts of the plan read the input: the range and the counts read group and order columns only.
+    Rows with a null group column belong to no group and are left out. `order` should be unique in a group: rows that
+    are equal in it share a range and come in any sequence. Its columns may be of any type that can be sorted; nulls come first.
+    Groups may have any size; an empty table gives no rows.
+
+    This runs jobs: `df` is counted, sampled and sorted into a table in the shared folder, so it is read three times; write
+    it to a table first if it is costly. The result reads the sorted table.
 
     `bucket` names columns that already cut the rows into bounded pieces in the sequence of the order, coarse
-    to fine, such as file and block of a line.
+    to fine, such as file and block of a line; then nothing is written and no job runs.
     """
     group, order = list(group), list(order)
     for name in group:
         df = df.filter(F.col(name).isNotNull())
     if bucket is not None:
         return _by_piece(df, group, order, out, total, list(bucket))
-    pieces = _pieces(df, order, piece_rows, inner_rows)
-    names = [f"__piece{i}" for i in range(len(pieces))]
-    cut = df.withColumns(dict(zip(names, pieces, strict=True)))
-    return _by_piece(cut, group, order, out, total, names).drop(*names)
+    placed = in_ranges(df, [*group, *order], piece_rows).withColumn(_PIECE, F.shiftright(_AT, _PLACE_BITS))
+    counts = placed.groupBy(*group, _PIECE).agg(F.count(F.lit(1)).alias(_COUNT), F.min(_AT).alias("__first"))
+    scope = _partition(group)
+    before = F.sum(_COUNT).over(scope.orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1))
+    size = [F.sum(_COUNT).over(scope).alias(total)] if total else []
+    shift = (F.coalesce(before, F.lit(0)) - F.col("__first")).alias(_OFFSET)
+    position = (F.col(_AT) + F.col(_OFFSET)).alias(out)
+    found = placed.join(counts.select(*group, _PIECE, shift, *size), [*group, _PIECE])
+    return found.select(*df.columns, position, *([total] if total else []))
+
+
+def in_ranges(df: DataFrame, order: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """`df` as a table sorted by `order` in even ranges; `__at` holds the range above the place inside it."""
+    pieces = min(df.count() // piece_rows + 1, MOST_PIECES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = df.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+    return written(ranges.withColumn(_AT, F.monotonically_increasing_id()), "ranges")
+
+
+def short_ordinal(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "ord") -> DataFrame:
+    """As `ordinal`, lazily and in one task per group: for lists whose length does not grow with the data."""
+    number = F.row_number().over(_partition(list(group)).orderBy(*order)).cast("bigint") - 1
+    return df.dropna("any", subset=list(group)).withColumn(out, number) if group else df.withColumn(out, number)
 
 
 def list_sizes(numbered: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
@@ -68,109 +85,7 @@ def list_sizes(numbered: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     return numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
-# --- pieces -------------------------------------------------------------------------------------------------
-
-
-class _Cut(NamedTuple):
-    """Piece number of a row by one order column, and whether each piece holds a single value."""
-
-    piece: Column
-    single: Column
-
-
-def _pieces(df: DataFrame, order: list[str], piece_rows: int, inner_rows: int) -> list[Column]:
-    """Order-preserving piece numbers, coarse to fine. A later order column cuts only what is one value so far."""
-    values = [_value(df, name) for name in order]
-    ends = [f(v).alias(f"{name}{i}") for i, v in enumerate(values) for name, f in (("lo", F.min), ("hi", F.max))]
-    ranges = [_range(df, name, f"lo{i}", f"hi{i}").alias(f"c{i}") for i, name in enumerate(order)]
-    stats = df.agg(F.count(F.lit(1)).alias("n"), *ends).select(F.struct("n", *ranges)).scalar()
-    out: list[Column] = []
-    single: Column | None = None
-    for i, (name, value) in enumerate(zip(order, values, strict=True)):
-        # How many pieces there should be.
-        fine = F.floor(stats["n"] / (inner_rows if i else piece_rows)) + 1
-        parts = F.least(fine, F.greatest(F.lit(FINE_PIECES), F.floor(fine / 64)))
-        cut = _cut(df, name, value, stats[f"c{i}"], parts)
-        piece = cut.piece if single is None else F.when(single, cut.piece).otherwise(F.lit(0).cast("bigint"))
-        # Null sorts first, as in the window.
-        piece = F.coalesce(piece, F.lit(-1).cast("bigint"))
-        out.append(piece)
-        single = cut.single if single is None else single & cut.single
-    return out
-
-
-def _value(df: DataFrame, name: str) -> Column:
-    """The column as a bigint, a finite double or a binary, in the same order."""
-    kind, column = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return column.cast("binary")
-    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
-        return (column * F.lit(10**kind.scale)).cast("bigint")
-    if isinstance(kind, (T.FractionalType,)):
-        value = column.cast("double")
-        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    if isinstance(kind, T.DateType):
-        return F.unix_date(column).cast("bigint")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column)
-    if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column)
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return column.cast("bigint")
-    raise ValueError(f"rows cannot be numbered by {name}: {kind.simpleString()} has no pieces")
-
-
-def _range(df: DataFrame, name: str, lo: str, hi: str) -> Column:
-    """What is kept of a column's least and largest value; of texts also how many bytes they have in common."""
-    if not isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType)):
-        return F.struct(F.col(lo).alias("lo"), F.col(hi).alias("hi"))
-    one, other = F.hex(lo), F.hex(hi)
-    both = F.least(F.length(one), F.length(other))
-    places = F.sequence(F.lit(1), F.greatest(both, F.lit(1)))
-    apart = F.filter(places, lambda k: F.substring(one, k, 1) != F.substring(other, k, 1))
-    common = F.floor((F.coalesce(F.get(apart, F.lit(0)), both + 1) - 1) / 2).cast("int")
-    return F.struct(one.alias("lo"), other.alias("hi"), common.alias("common"))
-
-
-def _cut(df: DataFrame, name: str, value: Column, ends: Column, parts: Column) -> _Cut:
-    kind, lo, hi = df.schema[name].dataType, ends["lo"], ends["hi"]
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return _cut_text(F.hex(value), lo, hi, ends["common"], parts)
-    if isinstance(kind, T.FractionalType) and not (isinstance(kind, T.DecimalType) and kind.precision <= 18):
-        return _cut_double(F.col(name).cast("double"), lo, hi, parts)
-    return _cut_whole(value, lo, hi, parts)
-
-
-def _cut_whole(number: Column, lo: Column, hi: Column, parts: Column) -> _Cut:
-    # A range beyond a bigint is halved before it is taken, so that nothing overflows.
-    wide = hi.cast("double") - lo.cast("double") > float(1 << 62)
-    span = F.when(wide, F.shiftright(hi, 1) - F.shiftright(lo, 1)).otherwise(hi - lo)
-    from_low = F.when(wide, F.shiftright(number, 1) - F.shiftright(lo, 1)).otherwise(number - lo)
-    width = F.floor(span / parts).cast("bigint") + 1
-    return _Cut(F.floor(from_low / width).cast("bigint"), (width == 1) & ~wide & (span < 1 << 50))
-
-
-def _cut_double(value: Column, lo: Column, hi: Column, parts: Column) -> _Cut:
-    """Finite values by range; infinities and NaN at the ends, where they sort."""
-    # Halves, so that the range of two very large values is still finite.
-    share = (value / 2 - lo / 2) / F.when(hi > lo, hi / 2 - lo / 2)
-    inside = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * parts).cast("bigint"), parts - 1)
-    piece = F.when(F.isnan(value), parts + 1).when(value == float("inf"), parts).when(value == float("-inf"), 0)
-    return _Cut(F.when(value.isNotNull(), piece.otherwise(inside)), F.lit(False))
-
-
-def _cut_text(value: Column, lo: Column, hi: Column, common: Column, parts: Column) -> _Cut:
-    """By the bytes behind the common beginning of the least and the largest text, which is that of all; in hexadecimal digits."""
-
-    def key(digits: Column) -> Column:
-        behind = F.rpad(F.substring(digits, 2 * common + 1, F.lit(2 * TEXT_BYTES)), 2 * TEXT_BYTES, "0")
-        return F.conv(behind, 16, 10).cast("bigint")
-
-    width = F.floor((key(hi) - key(lo)) / parts).cast("bigint") + 1
-    return _Cut(F.floor((key(value) - key(lo)) / width).cast("bigint"), F.lit(False))
-
-
-# --- numbering ----------------------------------------------------------------------------------------------
+# --- pieces that are given ------------------------------------------------------------------------------------
 
 
 def _by_piece(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geozone.operators.ordinal import ordinal
+from geozone.operators.ordinal import short_ordinal
 from geozone.operators.placement import SOURCE, STEP
 from geozone.operators.tagging import observed_latency
 
@@ -58,7 +58,7 @@ def zoned_events(spark: SparkSession, path: str) -> DataFrame:
 
 def source_zones(spark: SparkSession, path: str) -> DataFrame:
     pairs = zoned_events(spark, path).select(F.col("event_type").alias("source"), "zone").distinct()
-    numbered = ordinal(pairs, ["source"], ["zone"], out="zone_ord")
+    numbered = short_ordinal(pairs, ["source"], ["zone"], out="zone_ord")
     return numbered.select("source", "zone", F.col("zone_ord").cast("int").alias("zone_ord"))
 
 
@@ -157,7 +157,7 @@ def dated_items(spark: SparkSession, path: str) -> DataFrame:
 def region_nations(spark: SparkSession, path: str) -> DataFrame:
     """The nations of each region, by name."""
     pairs = nations(spark, path).select(F.col("region").alias("grp"), F.col("nation").alias("zone"))
-    return ordinal(pairs, ["grp"], ["zone"], out="zone_ord")
+    return short_ordinal(pairs, ["grp"], ["zone"], out="zone_ord")
 
 
 def member_items(spark: SparkSession, path: str) -> DataFrame:
@@ -188,7 +188,7 @@ def zoned_items(spark: SparkSession, path: str) -> DataFrame:
 def item_zones(spark: SparkSession, path: str) -> DataFrame:
     """The regions in which a market segment has customers, by name."""
     pairs = customers(spark, path).select(F.col("c_mktsegment").alias("grp"), F.col("region").alias("zone"))
-    return ordinal(pairs.distinct(), ["grp"], ["zone"], out="zone_ord")
+    return short_ordinal(pairs.distinct(), ["grp"], ["zone"], out="zone_ord")
 
 
 def slots(spark: SparkSession, path: str, zone: str = "region") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geozone.operators.ordinal import INNER_ROWS, PIECE_ROWS, _pieces, ordinal
+from geozone.operators.ordinal import in_ranges, ordinal, short_ordinal
 
 
 def by_hand(rows):
@@ -55,36 +55,60 @@ KINDS = {
 }
 
 
+def largest_range(df, order):
+    """Rows of the largest range with default settings."""
+    ranges = in_ranges(df, order).groupBy(F.shiftright("__at", 33).alias("piece")).count()
+    return ranges.agg(F.max("count")).first()[0]
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_every_kind_of_order_is_cut(spark, kind):
-    """A hot group is numbered in several pieces, with default settings, whatever it is ordered by."""
+    """A hot group is numbered in several ranges, with default settings, whatever it is ordered by."""
     df = spark.range(10_000).select("id", F.lit("hot").alias("g"), KINDS[kind]().alias("o"))
     out = ordinal(df, ["g"], ["o"])
     assert out.filter(F.col("ord") != F.col("id")).count() == 0
-    pieces = _pieces(df, ["o"], PIECE_ROWS, INNER_ROWS)
-    assert df.select(pieces[0].alias("p")).distinct().count() >= 5
+    assert largest_range(df, ["g", "o"]) <= 8_192
+
+
+ROWS = 200_000
+# Order columns as SQL, each case with one row, number ROWS, that stands apart.
+HOT = {
+    "common beginning": [f"if(id = {ROWS}, 'a', format_string('customer:%09d', id))"],
+    "one text": [f"if(id = {ROWS}, 'b', 'a')", "id"],
+    "one double": [f"if(id = {ROWS}, 2.5d, 1.5d)", "id"],
+    "outlier": [f"if(id = {ROWS}, {1 << 61}, id)"],
+    "far time": [f"if(id = {ROWS}, timestamp'9999-12-31', timestamp_micros(id * 1000000))"],
+    "one null": [f"if(id = {ROWS}, 1, null)", "id"],
+    "plain ids": ["id"],
+}
 
 
-def test_hashed_ids_have_few_pieces(spark):
-    df = spark.range(50_000).select(F.lit("g").alias("g"), F.xxhash64("id").alias("o"))
-    assert df.select(_pieces(df, ["o"], PIECE_ROWS, INNER_ROWS)[0].alias("p")).distinct().count() <= 50
-    got = [r.ord for r in ordinal(df, ["g"], ["o"]).orderBy("o").collect()]
-    assert got == list(range(50_000))
+@pytest.mark.parametrize("case", HOT)
+def test_ranges_follow_the_data(spark, case):
+    """With default settings the largest range of a hot group stays small, and positions are right."""
+    names = [f"o{i}" for i in range(len(HOT[case]))]
+    df = spark.range(ROWS + 1).select("id", F.lit("hot").alias("g"), *[F.expr(c).alias(n) for c, n in zip(HOT[case], names, strict=True)])
+    assert largest_range(df, ["g", *names]) <= 8_192
+    out = ordinal(df, ["g"], names, total="size")
+    want = F.when(F.col("id") == ROWS, F.lit(0)).otherwise(F.col("id") + 1) if case == "common beginning" else F.col("id")
+    assert out.filter((F.col("ord") != want) | (F.col("size") != ROWS + 1)).count() == 0
+    assert out.count() == ROWS + 1
 
 
-def test_a_hot_value_is_cut_by_the_next_order_column(spark):
-    """Nearly all rows of one day: their ids cut them."""
-    day = F.when(F.col("id") < 4_000, F.lit("2024-03-01")).otherwise(F.lit("2024-03-02")).cast("date")
-    df = spark.range(4_100).select(day.alias("day"), F.col("id").alias("o"))
-    pieces = _pieces(df, ["day", "o"], 1_000, 500)
-    assert df.filter("day = '2024-03-01'").select(pieces[1].alias("p")).distinct().count() >= 5
-    out = ordinal(df, [], ["day", "o"], piece_rows=1_000, inner_rows=500)
-    assert out.filter(F.col("ord") != F.col("o")).count() == 0
+def test_equal_orders_keep_every_row(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), ("b", 1), ("a", 0)], "g string, o int")
+    got = sorted((r.g, r.ord) for r in ordinal(df, ["g"], ["o"], piece_rows=1).collect())
+    assert got == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]
 
 
-def test_orders_without_pieces_are_refused(spark):
-    with pytest.raises(ValueError, match="array"):
-        ordinal(spark.createDataFrame([(["a"],)], "name array<string>"), [], ["name"])
+def test_short_lists(spark):
+    df = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z"), (None, "w")], "g string, o string")
+    assert {(r.g, r.o, r.ord) for r in short_ordinal(df, ["g"], ["o"]).collect()} == {("a", "x", 0), ("a", "y", 1), ("b", "z", 0)}
+
+
+def test_lists_may_be_ordered_too(spark):
+    df = spark.createDataFrame([(["b"],), (["a", "c"],), (["a"],)], "name array<string>")
+    assert {tuple(r.name): r.ord for r in ordinal(df, [], ["name"]).collect()} == {("a",): 0, ("a", "c"): 1, ("b",): 2}
 
 
 def test_names_are_numbered_too(spark):
@@ -113,7 +137,14 @@ def test_empty_tables(spark):
         assert ordinal(spark.createDataFrame([], f"g string, o {kind}"), ["g"], ["o"]).collect() == []
 
 
-def test_no_job_runs_ahead(spark):
-    """Building the plan reads nothing: a failing row only fails when the result is read."""
+def test_the_plan_reads_the_sorted_table_only(spark):
+    """However deep the input, what comes back reads one table, for the rows and for the counts."""
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("g"))
+    deep = df.join(df.groupBy("g").count(), "g").join(spark.range(50), "id")
+    text = ordinal(deep, ["g"], ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 2 and "Range (" not in text
+
+
+def test_given_pieces_run_no_job(spark):
     df = spark.range(10).select("id", F.raise_error(F.lit("read")).cast("bigint").alias("o"))
-    ordinal(df, ["id"], ["o"])
+    ordinal(df, ["id"], ["o"], bucket=["o"])
