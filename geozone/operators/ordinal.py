@@ -46,7 +46,7 @@ def ordinal(
     Groups may have any size; an empty table gives no rows.
 
     This runs jobs: `df` is counted, sampled and sorted into a table in the shared folder, so it is read three times; write
-    it to a table first if it is costly. The result reads the sorted table.
+    it to a table first if it is costly. The result reads the sorted table; up to `piece_rows` rows in all are numbered as they are.
 
     `bucket` names columns that already cut the rows into bounded pieces in the sequence of the order, coarse
     to fine, such as file and block of a line; then nothing is written and no job runs.
@@ -56,7 +56,12 @@ def ordinal(
         df = df.filter(F.col(name).isNotNull())
     if bucket is not None:
         return _by_piece(df, group, order, out, total, list(bucket))
-    placed = in_ranges(df, [*group, *order], piece_rows).withColumn(_PIECE, F.shiftright(_AT, _PLACE_BITS))
+    n_rows = df.count()
+    if n_rows <= piece_rows:
+        # One range at most, so the window over a group is no larger than a range.
+        size = [F.count(F.lit(1)).over(_partition(group)).alias(total)] if total else []
+        return short_ordinal(df, group, order, out).select(*df.columns, out, *size)
+    placed = in_ranges(df, [*group, *order], n_rows, piece_rows).withColumn(_PIECE, F.shiftright(_AT, _PLACE_BITS))
     counts = placed.groupBy(*group, _PIECE).agg(F.count(F.lit(1)).alias(_COUNT), F.min(_AT).alias("__first"))
     scope = _partition(group)
     before = F.sum(_COUNT).over(scope.orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1))
@@ -67,9 +72,9 @@ def ordinal(
     return found.select(*df.columns, position, *([total] if total else []))
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
-    """`df` as a table sorted by `order` in even ranges; `__at` holds the range above the place inside it."""
-    pieces = min(df.count() // piece_rows + 1, MOST_PIECES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def in_ranges(df: DataFrame, order: Sequence[str], n_rows: int, piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """`df`, of `n_rows` rows, as a table sorted by `order` in even ranges; `__at` holds the range above the place inside it."""
+    pieces = min(n_rows // piece_rows + 1, MOST_PIECES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranges = df.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
     return written(ranges.withColumn(_AT, F.monotonically_increasing_id()), "ranges")
 
