@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geozone.llm import bpe, counts, langid, packing, pii, simhash, sketch, suffix, topk, warc
+from geozone.llm import bpe, counts, langid, manifest, packing, pii, simhash, sketch, suffix, topk, warc
 from geozone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,61 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return packing.pack(op5_token_counts(spark, sf_dir, vocabulary).select("doc_id", "n_tokens"))
+
+
+@register
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.check_documents(table(spark, sf_dir, "documents"), manifest.tampered_ids())
+
+
+ORACLES["op13_manifest"] = """
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS f1,
+    coalesce(strlen(source) || ':' || source, '-') AS f2,
+    coalesce(strlen(lang) || ':' || lang, '-') AS f3,
+    coalesce(strlen(text) || ':' || text, '-') AS f5, n_chars,
+    -- The checksum bit by bit: each byte is mixed in, then come eight steps.
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda d: [ord(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+  FROM documents
+), leaves AS (
+  SELECT rid, doc_id, lang,
+    sha256(f1 || f2 || f3 || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || f5) AS leaf,
+    sha256(f1 || f2 || f3 || coalesce(strlen((n_chars + t)::VARCHAR) || ':' || (n_chars + t), '-') || f5) AS tampered
+  FROM (SELECT *, CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END AS t FROM given)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves
+), tree AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1
+  GROUP BY lang, level, pos // 2, n
+), subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 2, n
+), climb AS (
+  SELECT p.rid, p.lang, 0 AS level, p.pos, p.n, '' AS proof, p.tampered AS h FROM placed p
+  UNION ALL
+  SELECT c.rid, c.lang, c.level + 1, c.pos // 2, (c.n + 1) // 2, c.proof || coalesce(t.h, ''),
+    sha256(CASE WHEN t.h IS NULL THEN c.h WHEN c.pos % 2 = 0 THEN c.h || t.h ELSE t.h || c.h END)
+  FROM climb c LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM c.lang AND t.level = c.level AND t.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+), above AS (
+  SELECT c.rid, 0 AS level, s.pos, s.n, c.proof, c.h FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.rid, c.level + 1, c.pos // 2, (c.n + 1) // 2, c.proof || coalesce(t.h, ''),
+    sha256(CASE WHEN t.h IS NULL THEN c.h WHEN c.pos % 2 = 0 THEN c.h || t.h ELSE t.h || c.h END)
+  FROM above c LEFT JOIN upper t ON t.level = c.level AND t.pos = xor(c.pos, 1)
+  WHERE c.n > 1
+)
+SELECT p.doc_id, p.leaf, s.subroot, r.h AS root, sha256(a.proof) AS proof_sha256, a.h AS folded_root, a.h = r.h AS verified
+FROM placed p JOIN above a ON a.rid = p.rid AND a.n = 1 JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+CROSS JOIN (SELECT h FROM upper WHERE n = 1) r
+"""
