@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geozone.llm import bpe, counts, langid, manifest, packing, pii, simhash, sketch, suffix, topk, warc
+from geozone.llm import bpe, byte_bpe, counts, langid, manifest, packing, pii, simhash, sketch, suffix, topk, warc
 from geozone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,12 @@ def op10_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None
     return packing.pack(op5_token_counts(spark, sf_dir, vocabulary).select("doc_id", "n_tokens"))
 
 
+@register
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(path), public_tokenizers.PATTERN)
+
+
 @register
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.check_documents(table(spark, sf_dir, "documents"), manifest.tampered_ids())
