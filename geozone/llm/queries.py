@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geozone.llm import bpe, byte_bpe, counts, langid, manifest, packing, pii, simhash, sketch, suffix, topk, warc
+from geozone.llm import bpe, byte_bpe, counts, langid, manifest, packing, pii, resample, simhash, sketch, suffix, topk, warc
 from geozone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,58 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(path), public_tokenizers.PATTERN)
 
 
+@register
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_resample"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM documents
+), wanted AS (
+  SELECT list_filter(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+  FROM benchmark
+), runs AS (
+  SELECT rid, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM (SELECT rid, w FROM words UNION ALL SELECT -1, w FROM wanted)
+), counted AS (
+  SELECT rid, f, count(*) AS n FROM runs GROUP BY rid, f
+), known AS (
+  -- The checksum bit by bit: each byte is mixed in, then come eight steps.
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      regexp_extract_all(hex(encode(f)), '..'), lambda h: [('0x' || h)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted)
+), hashed AS (
+  SELECT rid, bucket, n FROM counted JOIN known USING (f)
+), totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (rid > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (rid = -1), 0)::DOUBLE AS t
+  FROM hashed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * ((SELECT sum(s) FROM totals) + 10000)) / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000)))) AS gain
+  FROM totals
+), weights AS (
+  SELECT rid, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM hashed JOIN gains USING (bucket) WHERE rid > 0 GROUP BY rid
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) +
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (rid)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN n_words >= 20 AND place <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
 @register
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.check_documents(table(spark, sf_dir, "documents"), manifest.tampered_ids())
