@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -16,10 +17,14 @@ from pyspark.sql import functions as F
 
 from geozone.llm.common import slices
 
-# Words and bytes of words whose ids a Python worker remembers before it starts anew; longer words are not kept.
-WORDS = 500_000
-KEPT_BYTES = 32 << 20
-LONG = 256
+# Words and bytes of words whose ids a Python worker remembers before it starts anew. Longer words are not kept, and merged one by one.
+WORDS = 300_000
+KEPT_BYTES = 24 << 20
+LONG = 128
+# Text bytes that are split at a time, words that are merged side by side, and ids that are decoded at a time.
+TEXT_BYTES = 2 << 20
+SIDE_BY_SIDE = 20_000
+IDS = 500_000
 # A rank beyond all others: no such pair.
 NONE = 1 << 62
 # White space of the regular expressions that the rank files' library uses: the Unicode property, spelled out, since the
@@ -112,11 +117,74 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Forest:
+    """The same trees for many words side by side, a row each: leaves and nodes are columns, a merge of every word is one step."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.rank_of = np.array([pairs[k] for k in self.pairs.tolist()] or [0], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def key(self, left: np.ndarray, right: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Rank and position of pairs as one number; NONE where the two tokens make no token."""
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == wanted if len(self.pairs) else np.zeros(len(wanted), bool)
+        return np.where(known, self.rank_of[at] << 8 | pos, NONE)
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of at most LONG bytes in a row, and how many each word has."""
+        n = np.array([len(w) for w in words], np.int64)
+        size = 1 << max(int(n.max()) - 1, 1).bit_length()
+        rows, places = np.arange(len(words)), np.arange(size)
+        live = places < n[:, None]
+        token = np.zeros((len(words), size), np.int64)
+        token[live] = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        after = np.broadcast_to(places + 1, token.shape).astype(np.int16)
+        before = np.broadcast_to(places - 1, token.shape).astype(np.int16)
+        tree = np.full((len(words), 2 * size), NONE, np.int64)
+        row, pos = np.nonzero(live[:, 1:])
+        tree[row, size + pos] = self.key(token[row, pos], token[row, pos + 1], pos)
+        for first in (size >> k for k in range(1, size.bit_length())):
+            below = tree[:, 2 * first : 4 * first]
+            tree[:, first : 2 * first] = np.minimum(below[:, ::2], below[:, 1::2])
+        while len(rows := rows[tree[rows, 1] != NONE]):
+            least = tree[rows, 1]
+            pos = least & 255
+            gone = after[rows, pos].astype(np.int64)
+            follow = after[rows, gone].astype(np.int64)
+            previous = before[rows, pos].astype(np.int64)
+            token[rows, pos] = least >> 8
+            live[rows, gone] = False
+            after[rows, pos] = follow
+            inner, front = follow < n[rows], previous >= 0
+            before[rows[inner], follow[inner]] = pos[inner]
+            tree[rows, size + gone] = NONE
+            tree[rows, size + pos] = NONE
+            r, p = rows[inner], pos[inner]
+            tree[r, size + p] = self.key(token[r, p], token[r, follow[inner]], p)
+            r, p = rows[front], previous[front]
+            tree[r, size + p] = self.key(token[r, p], token[r, pos[front]], p)
+            # Up from the three leaves, level by level.
+            nodes = [size + gone, size + pos, size + np.maximum(previous, 0)]
+            for _ in range(size.bit_length() - 1):
+                nodes = [node >> 1 for node in nodes]
+                for node in nodes:
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+        return token[live], live.sum(axis=1)
+
+
 class Encoder:
     """Ids of texts; the ids of a word are found once for as long as it is remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, compiled(pattern).findall
+        self.ranks, self.forest, self.find = ranks, Forest(ranks), compiled(pattern).findall
         self.start()
 
     def start(self) -> None:
@@ -126,21 +194,47 @@ class Encoder:
         self.ids = array("i")
         self.starts = array("q", [0])
 
+    def learn(self, words: set[str]) -> dict[str, int]:
+        """Finds the ids of new words; gives the places of those that are too long to be kept, which come last."""
+        by_height: dict[int, list[str]] = {}
+        long: list[str] = []
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            if len(raw) > LONG:
+                long.append(word)
+                continue
+            if raw in self.ranks:
+                self.known[word] = len(self.starts) - 1
+                self._add([self.ranks[raw]])
+            else:
+                by_height.setdefault((len(raw) - 1).bit_length(), []).append(word)
+            self.kept += len(raw) + 64
+        for alike in by_height.values():
+            for at in range(0, len(alike), SIDE_BY_SIDE):
+                some = alike[at : at + SIDE_BY_SIDE]
+                ids, sizes = self.forest.merged([w.encode("utf-8", "surrogatepass") for w in some])
+                first = len(self.starts) - 1
+                self.known.update(zip(some, range(first, first + len(some)), strict=True))
+                self.starts.frombytes((len(self.ids) + np.cumsum(sizes)).astype(np.int64).tobytes())
+                self.ids.frombytes(ids.astype(np.int32).tobytes())
+        places = {}
+        for word in long:
+            places[word] = len(self.starts) - 1
+            self._add(merged(word.encode("utf-8", "surrogatepass"), self.ranks))
+        return places
+
+    def _add(self, ids: list[int]) -> None:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
         found = [self.find(t) if t else [] for t in texts]
         if len(self.known) > WORDS or self.kept > KEPT_BYTES:
             self.start()
         known = self.known
-        alone: dict[str, int] = {}
-        for word in {w for words in found for w in words if w not in known}:
-            raw = word.encode("utf-8", "surrogatepass")
-            place = known if len(raw) <= LONG else alone
-            place[word] = len(self.starts) - 1
-            self.ids.extend(merged(raw, self.ranks))
-            self.starts.append(len(self.ids))
-            self.kept += len(raw) + 64
-        look = known.__getitem__ if not alone else (known | alone).__getitem__
+        long = self.learn({w for words in found for w in words if w not in known})
+        look = known.__getitem__ if not long else (known | long).__getitem__
         codes = np.fromiter((c for words in found for c in map(look, words)), np.int64)
         starts, ids = np.array(self.starts), np.array(self.ids)
         sizes = starts[codes + 1] - starts[codes]
@@ -148,8 +242,9 @@ class Encoder:
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[codes] - ends + sizes, sizes)
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(words) for words in found], dtype=np.int64)])]
-        if alone:
-            self.start()
+        if long:
+            first = min(long.values())
+            del self.ids[self.starts[first] :], self.starts[first + 1 :]
         return ids[at], np.diff(edges)
 
 
@@ -182,7 +277,7 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks.value, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             ids, sizes = encoder.encode(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), _lists(ids, sizes)], names=["doc_id", "ids"])
 
@@ -190,6 +285,17 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that each has about IDS ids."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes.astype(np.int64)) // IDS
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 _pieces: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -212,7 +318,7 @@ def decode(encoded: DataFrame, ranks: Broadcast) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, starts = _piece_table(ranks.value)
-        for batch in batches:
+        for batch in _cut(batches):
             column = batch.column("ids")
             ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             if len(ids) and (ids.min() < 0 or ids.max() >= len(starts) - 1):

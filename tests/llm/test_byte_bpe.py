@@ -98,6 +98,10 @@ def test_merges_like_a_plain_search(seed):
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         assert byte_bpe.merged(word, ranks) == ([ranks[word]] if word in ranks else [ranks[p] for p in parts])
+        if word not in ranks:
+            ids, sizes = byte_bpe.Forest(ranks).merged([word, b"ab", word])
+            want = [ranks[p] for p in parts]
+            assert ids.tolist()[: sizes[0]] == want == ids.tolist()[-sizes[2] :]
 
 
 def test_decoding(spark):
