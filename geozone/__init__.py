@@ -30,9 +30,11 @@ from geozone.sources.source_zones import parse_source_zones, read_source_zones,
 from geozone.sources.zone_members import parse_zone_members, read_zone_members, write_zone_members, zone_members
 from geozone.streaming.aggregate import (
     compact_versions,
+    corrected_rows,
     latest_versions,
     local_rows,
     start_append,
+    start_corrected,
     start_versions,
     stream_global_agg,
     stream_partial,

@@ -26,19 +26,19 @@ def zone_local_agg(
 ) -> DataFrame:
     """Partial rows per (window,) zone and keys. `local_result` turns them into finished values."""
     by = [F.window(ts, width).alias(WINDOW)] if ts else []
-    return df.groupBy(*by, zone, *keys).agg(*partials(measures))
+    return df.groupBy(*by, zone, *keys).agg(*partials(measures, df))
 
 
 def local_result(local: DataFrame, zone: str, keys: Sequence[str], measures: Measures) -> DataFrame:
     """Finished values of local partial rows."""
-    return local.select(*_window_columns(local), zone, *keys, *finished(measures))
+    return local.select(*_window_columns(local), zone, *keys, *finished(measures, local.columns))
 
 
 def global_agg(local: DataFrame, keys: Sequence[str], measures: Measures) -> DataFrame:
     """Merge local partial rows over all zones and finish the values."""
     by = [WINDOW] if WINDOW in local.columns else []
-    merged = local.groupBy(*by, *keys).agg(*merges(measures))
-    return merged.select(*_window_columns(merged), *keys, *finished(measures))
+    merged = local.groupBy(*by, *keys).agg(*merges(measures, local.columns))
+    return merged.select(*_window_columns(merged), *keys, *finished(measures, local.columns))
 
 
 def local_and_global(
@@ -59,8 +59,8 @@ def local_and_global(
         [[F.col(zone), *[F.col(c) for c in by]], [F.col(c) for c in by]],
         F.col(zone),
         *[F.col(c) for c in by],
-    ).agg(F.when(F.grouping(zone) == 1, F.lit("global")).otherwise(F.lit("local")).alias("scope"), *merges(measures))
-    return both.select("scope", *_window_columns(both), zone, *keys, *finished(measures))
+    ).agg(F.when(F.grouping(zone) == 1, F.lit("global")).otherwise(F.lit("local")).alias("scope"), *merges(measures, local.columns))
+    return both.select("scope", *_window_columns(both), zone, *keys, *finished(measures, local.columns))
 
 
 def _window_columns(df: DataFrame) -> list:

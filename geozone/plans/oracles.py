@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from geozone.plans.queries import LINE_MEMBERS, QUOTA_SHARE, SEED
-from geozone.plans.views import FREE_BALANCE
+from geozone.plans.views import ARRIVALS, FREE_BALANCE, LATE_DAYS, LATE_SHARE, RUN_DAYS
 
 
 def with_ctes(*ctes: str) -> str:
@@ -200,6 +200,24 @@ def oracles() -> dict[str, str]:
             WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM zoned) - INTERVAL 1 HOUR
             GROUP BY 1, 2, 3""",
         "stream_global_complete": f"{events} SELECT {HOUR}, event_type, {MEASURES} FROM zoned GROUP BY 1, 2, 3",
+        "stream_late_complete": f"""{events}, arrived AS (
+              SELECT *, least((day(ts) + CASE WHEN event_id % {LATE_SHARE} = 0 THEN {LATE_DAYS} ELSE 0 END) // {RUN_DAYS}, {ARRIVALS - 1}) AS run
+              FROM zoned),
+            marks AS (
+              SELECT r.run, max(a.ts) - INTERVAL 1 HOUR AS mark FROM (SELECT DISTINCT run FROM arrived) r JOIN arrived a ON a.run < r.run GROUP BY 1)
+            SELECT {HOUR}, event_type, {MEASURES},
+                   count(*) FILTER (mark IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark) AS n_late
+            FROM arrived LEFT JOIN marks USING (run) GROUP BY 1, 2, 3""",
+        "global_variance": f"""{events}, days AS (
+              SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n_events,
+                     sum((value * 100)::HUGEINT) AS s, sum((value * 100)::HUGEINT * (value * 100)::HUGEINT) AS squares
+              FROM zoned GROUP BY 1, 2),
+            found AS (SELECT *, (n_events * squares - s * s)::DOUBLE / 10000 / (n_events::DOUBLE * n_events) AS variance FROM days)
+            SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, event_type, n_events, variance, sqrt(variance) AS stddev FROM found""",
+        "zone_distinct": f"""{events} SELECT 'local' AS scope, zone, event_type, count(DISTINCT user_id) AS n_users, true AS within
+            FROM zoned GROUP BY 2, 3
+            UNION ALL SELECT 'global', NULL, event_type, count(DISTINCT user_id), true FROM zoned GROUP BY 3""",
+        "global_quantiles": f"{events} SELECT event_type, count(*) AS n_events, true AS p50, true AS p90 FROM zoned GROUP BY 1",
         "tag_zones": f"""{with_ctes(NATIONS, CUSTOMERS, ZONED, SOURCE_ZONES)}
             SELECT e.event_id, s.source, s.zone FROM events e JOIN source_zones s ON e.event_type = s.source""",
         "target_lists": f"{with_ctes(*ZONE_TABLES, TARGET_LISTS)} SELECT list, k, target FROM target_lists",

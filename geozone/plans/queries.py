@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import geozone as gz
+from geozone.functions.measures import DISTINCT_ERROR, QUANTILE_ERROR
 from geozone.plans import views as v
 from geozone.session import scratch_path, written
 
@@ -100,6 +101,57 @@ def stream_global_complete(spark, path):
     return plain_numbers(gz.global_agg(gz.local_rows(versions), KEYS, MEASURES))
 
 
+@register
+def stream_late_complete(spark, path):
+    """Events that arrive in three runs, some of them days late: all windows, and how many rows of each came late."""
+    source, out = scratch_path(spark, "arrivals"), scratch_path(spark, "stream-late")
+    raw = v.table(spark, path, "events")
+    for run in range(v.ARRIVALS):
+        raw.filter(v.arrival() == run).write.mode("append").parquet(source)
+        events = v.with_zones(spark.readStream.schema(raw.schema).parquet(source), spark, path)
+        query = gz.start_corrected(events, "zone", KEYS, MEASURES, "ts", WIDTH, DELAY, f"{out}/table", f"{out}/checkpoint")
+        query.awaitTermination()
+    rows = gz.corrected_rows(spark, f"{out}/table")
+    return plain_numbers(gz.global_agg(rows, KEYS, {**MEASURES, "n_late": ("sum", "n_late")}))
+
+
+@register
+def global_variance(spark, path):
+    measures = {"n_events": ("count", "*"), "variance": ("variance", "value"), "stddev": ("stddev", "value")}
+    local = gz.zone_local_agg(v.zoned_events(spark, path), "zone", KEYS, measures, "ts", "1 day")
+    return gz.global_agg(local, KEYS, measures)
+
+
+@register
+def zone_distinct(spark, path):
+    """Users per event type, in each zone and in all: the exact number, and whether the sketch's estimate is within four standard errors."""
+    events = v.zoned_events(spark, path)
+    estimates = gz.local_and_global(events, "zone", KEYS, {"estimate": ("distinct", "user_id")})
+    # Distinct users first, so that the exact count is one more plain count.
+    users = events.select("zone", "event_type", "user_id").distinct()
+    exact = gz.local_and_global(users, "zone", KEYS, {"n_users": ("count", "*")}).filter("scope = 'local'")
+    whole = users.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count(F.lit(1)).alias("n_users"))
+    exact = exact.unionByName(whole.select(F.lit("global").alias("scope"), F.lit(None).cast("string").alias("zone"), "event_type", "n_users"))
+    same = [estimates[c].eqNullSafe(exact[c]) for c in ("scope", "zone", "event_type")]
+    near = F.abs(F.col("estimate") - F.col("n_users")) <= 4 * DISTINCT_ERROR * F.col("n_users")
+    return estimates.join(exact, same).select(exact.scope, exact.zone, exact.event_type, "n_users", near.alias("within"))
+
+
+@register
+def global_quantiles(spark, path):
+    """The middle and the ninth tenth of the values of each event type: whether their ranks are within twice the stated error."""
+    ranks = {"p50": 0.5, "p90": 0.9}
+    events = v.zoned_events(spark, path)
+    measures = {name: ("quantile", "value", rank) for name, rank in ranks.items()}
+    found = gz.global_agg(gz.zone_local_agg(events, "zone", KEYS, measures), KEYS, measures)
+    value = F.col("value").cast("double")
+    counts = [f(F.when(c, 1)).alias(f"{name}_{side}") for name in ranks for side, c, f in (("below", value < F.col(name), F.count), ("upto", value <= F.col(name), F.count))]
+    met = events.join(found, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), *counts)
+    slack = 2 * QUANTILE_ERROR * F.col("n_events")
+    near = [((F.col(f"{name}_below") - slack <= rank * F.col("n_events")) & (rank * F.col("n_events") <= F.col(f"{name}_upto") + slack)).alias(name) for name, rank in ranks.items()]
+    return met.select("event_type", "n_events", *near)
+
+
 # --- tagging and routing ----------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geozone.operators.ordinal import short_ordinal
@@ -11,12 +11,23 @@ from geozone.operators.tagging import observed_latency
 
 # Suppliers with more than this balance have free slots in the ordered placement with slots.
 FREE_BALANCE = 7000
+# Events arrive in so many runs, by the day of the month; one in LATE_SHARE comes LATE_DAYS later.
+ARRIVALS = 3
+RUN_DAYS = 14
+LATE_SHARE = 50
+LATE_DAYS = 10
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def arrival() -> Column:
+    """The run in which an event arrives."""
+    late = F.when(F.col("event_id") % LATE_SHARE == 0, F.lit(LATE_DAYS)).otherwise(F.lit(0))
+    return F.least(F.floor((F.day("ts") + late) / RUN_DAYS), F.lit(ARRIVALS - 1))
+
+
 def stream(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The table as a stream of its files; the pattern matches a single file as well as a folder of files."""
     schema = table(spark, path, name).schema

@@ -13,13 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampNTZType
 
 from geozone.functions.measures import Measures, finished, merges, partial_names
 from geozone.operators.aggregate import WINDOW, zone_local_agg
-from geozone.session import require_utc, written
+from geozone.session import require_utc
 
 BATCH = "batch_id"
+# The batch that a compacted row comes from.
+VERSION = "version__"
+# Late rows of a window, and the newest time of a partial row.
+LATE = "n_late"
+_NEWEST = "newest__"
 
 
 def stream_zone_local_agg(
@@ -36,7 +41,7 @@ def stream_zone_local_agg(
 
 def stream_global_agg(local: DataFrame, keys: Sequence[str], measures: Measures, width: str) -> DataFrame:
     """Merge streaming local rows over all zones, chained in the same query (append mode)."""
-    merged = local.groupBy(F.window(F.window_time(WINDOW), width).alias(WINDOW), *keys).agg(*merges(measures))
+    merged = local.groupBy(F.window(F.window_time(WINDOW), width).alias(WINDOW), *keys).agg(*merges(measures, local.columns))
     return stream_result(merged, keys, measures)
 
 
@@ -45,7 +50,7 @@ def stream_result(partial: DataFrame, keys: Sequence[str], measures: Measures) -
     limits = [
         F.col(f"{WINDOW}.{side}").cast("timestamp_ntz").alias(f"window_{side}") for side in ("start", "end")
     ]
-    return partial.select(*limits, *keys, *finished(measures))
+    return partial.select(*limits, *keys, *finished(measures, partial.columns))
 
 
 def stream_partial(partial: DataFrame, keys: Sequence[str], measures: Measures) -> DataFrame:
@@ -53,7 +58,7 @@ def stream_partial(partial: DataFrame, keys: Sequence[str], measures: Measures)
     limits = [
         F.col(f"{WINDOW}.{side}").cast("timestamp_ntz").alias(f"window_{side}") for side in ("start", "end")
     ]
-    return partial.select(*limits, *keys, *partial_names(measures))
+    return partial.select(*limits, *keys, *partial_names(measures, partial.columns))
 
 
 def start_versions(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -75,32 +80,45 @@ def latest_versions(spark: SparkSession, path: str, by: Sequence[str], schema: S
     `schema` is that of the rows; with it no file is opened to find it out. `compact_versions` keeps the table small.
     """
     if schema is None:
-        versions = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+        reader = spark.read.option("basePath", path).option("mergeSchema", "true")
+        versions = reader.parquet(f"{path}/{BATCH}=*")
     else:
-        with_batch = StructType([*schema.fields, StructField(BATCH, LongType())])
-        versions = spark.read.schema(with_batch).parquet(path)
-    return _newest(versions, by).drop(BATCH)
+        added = [StructField(VERSION, LongType()), StructField(BATCH, LongType())]
+        versions = spark.read.schema(StructType([*schema.fields, *added])).parquet(path)
+    return _newest(versions, by).drop(VERSION)
 
 
 def _newest(versions: DataFrame, by: Sequence[str]) -> DataFrame:
-    values = [c for c in versions.columns if c not in (*by, BATCH)]
-    newest = versions.groupBy(*by).agg(
-        F.max_by(F.struct(*values), F.col(BATCH)).alias("newest"), F.max(BATCH).alias(BATCH)
+    """The newest version of each row, its number in VERSION. Compacted rows carry it, others are in the folder of their batch."""
+    values = [c for c in versions.columns if c not in (*by, BATCH, VERSION)]
+    version = F.coalesce(VERSION, BATCH) if VERSION in versions.columns else F.col(BATCH)
+    newest = versions.withColumn(VERSION, version.cast("bigint")).groupBy(*by).agg(
+        # A batch that was repeated after a compaction comes before its compacted rows.
+        F.max_by(F.struct(*values), F.struct(VERSION, BATCH)).alias("newest"), F.max(VERSION).alias(VERSION)
     )
-    return newest.select(*by, "newest.*", BATCH)
+    return newest.select(*by, "newest.*", VERSION)
 
 
 def compact_versions(spark: SparkSession, path: str, by: Sequence[str]) -> None:
     """Rewrites a table of versions with the newest version of each row only.
 
-    All rows move to the newest batch's folder, so later batches still win. The rows are written to the shared folder
-    first and then take the place of the table. To be called while no stream writes to it.
+    The rows go to a folder of their own, numbered below all batches, and keep the number of the batch they come from. The
+    folders they were read from are removed only when it is complete; where that is cut short, both are there, and the
+    newest version of each row is the same. So nothing is lost at any point, and a batch that the stream repeats afterwards
+    finds its place as before. Batches written meanwhile stay. Not for two compactions at a time.
     """
-    versions = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
-    newest = _newest(versions, by)
-    last = versions.agg(F.max(BATCH)).scalar()
-    kept = written(newest.withColumn(BATCH, last), "compacted")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BATCH).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in files.listStatus(folder) if entry.isDirectory()]
+    names = [name for name in names if name.startswith(f"{BATCH}=")]
+    if not names:
+        return
+    reader = spark.read.option("basePath", path).option("mergeSchema", "true")
+    versions = reader.parquet(*[f"{path}/{name}" for name in names])
+    number = min(0, *[int(name.split("=")[1]) for name in names]) - 1
+    _newest(versions, by).write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+    for name in names:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
 
 
 def local_rows(versions: DataFrame) -> DataFrame:
@@ -113,3 +131,38 @@ def start_append(df: DataFrame, path: str, checkpoint: str, **trigger) -> Stream
     """Write a stream to parquet files in append mode."""
     writer = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start(path)
+
+
+def start_corrected(
+    events: DataFrame, zone: str, keys: Sequence[str], measures: Measures, ts: str, width: str, delay: str, path: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Write the local partial rows of each micro-batch to `path/batch_id=n`, late ones too, with the number of late rows in `n_late`.
+
+    A row is late if its window ended more than `delay` before the newest row of the batches before; the rows of a window are late
+    together. Where a watermark would drop them uncounted, they are corrections here: partial rows are merged, not
+    replaced, so a row may come at any time and the query keeps no state. A repeated micro-batch overwrites its own
+    folder and looks at earlier folders only. `corrected_rows` reads the table.
+    """
+    require_utc(events.sparkSession)
+    added = {LATE: ("count", "*"), _NEWEST: ("max", ts)}
+    seen = StructType([StructField(_NEWEST, TimestampNTZType()), StructField(BATCH, LongType())])
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        timed = rows.withColumn(ts, F.col(ts).cast("timestamp").cast("timestamp_ntz"))
+        local = zone_local_agg(timed, zone, keys, {**measures, **added}, ts, width)
+        mark = None
+        if batch_id > 0:
+            before = spark.read.schema(seen).parquet(path).filter(F.col(BATCH) < batch_id)
+            mark = before.agg((F.max(_NEWEST) - F.expr(f"interval {delay}")).alias("mark")).first().mark
+        late = F.col(f"{WINDOW}.end") <= F.lit(mark).cast("timestamp_ntz")
+        local = local.withColumn(LATE, F.when(late, F.col(LATE)).otherwise(F.lit(0).cast("bigint")))
+        local.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def corrected_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Local partial rows of `start_corrected`, corrections included, for `global_agg`; `n_late` is a measure `("sum", "n_late")`."""
+    return spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*").drop(_NEWEST, BATCH)

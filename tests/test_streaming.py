@@ -171,3 +171,64 @@ def test_other_time_zones_are_refused(spark):
             require_utc(spark)
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_batch_repeated_after_compaction_loses_nothing(spark, tmp_path):
+    """Compaction, then the last batch again, as after a crash between the sink and the commit log; and a compaction cut short."""
+    path, by = str(tmp_path / "table"), ["k"]
+    batches = [[("a", 1), ("b", 1)], [("b", 2), ("c", 2)]]
+
+    def write(number):
+        spark.createDataFrame(batches[number], "k string, v int").write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+
+    def have(schema=None):
+        return {r.k: r.v for r in gz.latest_versions(spark, path, by, schema).collect()}
+
+    want = {"a": 1, "b": 2, "c": 2}
+    write(0), write(1)
+    kept = [(p, p.read_bytes()) for p in (tmp_path / "table").rglob("*.parquet")]
+    gz.compact_versions(spark, path, by)
+    rows = spark.createDataFrame(batches[0], "k string, v int").schema
+    assert have() == have(rows) == want
+    write(1)
+    assert have() == have(rows) == want
+    # Stopped before the old folders were removed: they are still there.
+    for file, content in kept:
+        file.parent.mkdir(exist_ok=True)
+        file.write_bytes(content)
+    assert have() == want
+    batches.append([("a", 3)])
+    write(2)
+    gz.compact_versions(spark, path, by)
+    assert have() == have(rows) == want | {"a": 3}
+    assert [p.name for p in (tmp_path / "table").iterdir()] == ["batch_id=-2"]
+
+
+def test_late_rows_correct_the_result(spark, tmp_path):
+    """Rows a day late are counted and merged, also when a batch is repeated and after restarts."""
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+    measures = {**MEASURES, "keys": ("distinct", "key")}
+
+    def once(name):
+        query = gz.start_corrected(stream_of(spark, src), "zone", ["key"], measures, "ts", "1 hour", "1 hour", out, name)
+        run(query)
+
+    add_file(spark, src, rows_of(1, 24, 3, 200))
+    once(check)
+    late = rows_of(2, 0, 3, 50, start_id=1000)
+    add_file(spark, src, late + rows_of(3, 26, 3, 100, start_id=2000))
+    once(check)
+    raw = spark.read.schema(SCHEMA).parquet(src)
+    columns = ["window_start", "key", *measures]
+    want = table(gz.global_agg(gz.zone_local_agg(raw, "zone", ["key"], measures, "ts", "1 hour"), ["key"], measures), columns)
+
+    def check_all():
+        rows = gz.corrected_rows(spark, out)
+        got = gz.global_agg(rows, ["key"], {**measures, "n_late": ("sum", "n_late")})
+        assert table(got, columns) == want
+        assert got.agg(F.sum("n_late")).first()[0] == len(late)
+
+    check_all()
+    # All batches again, as if no commit had been kept.
+    once(str(tmp_path / "check-2"))
+    check_all()
