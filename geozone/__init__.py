@@ -16,11 +16,19 @@ from geozone.operators.placement import (
     best_zone,
     best_zone_overall,
     classify_members,
+    find_levels,
     group_dependencies,
     place_in_order,
 )
-from geozone.operators.routing import colocate, eligible_targets, route_by_key, route_random, target_lists
-from geozone.operators.tagging import latency_of, member_zone, observed_latency, tag_zones, zone_names
+from geozone.operators.routing import (
+    colocate,
+    colocate_zones,
+    eligible_targets,
+    route_by_key,
+    route_random,
+    target_lists,
+)
+from geozone.operators.tagging import latency_as_of, latency_of, member_zone, observed_latency, tag_zones, zone_names
 from geozone.session import clear_scratch
 from geozone.sources.latency_matrix import parse_latency_matrix, read_latency_matrices, write_latency_matrix
 from geozone.sources.lines import as_lines, read_lines
@@ -41,6 +49,6 @@ from geozone.streaming.aggregate import (
     stream_result,
     stream_zone_local_agg,
 )
-from geozone.streaming.routing import route_stream
+from geozone.streaming.routing import newest_lists, publish_lists, read_lists, route_stream, routed_rows, start_route_live
 
 __all__ = [name for name in dir() if not name.startswith("_")]

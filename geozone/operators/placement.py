@@ -129,6 +129,38 @@ def group_dependencies(members: DataFrame, inputs: DataFrame, member_zones: Data
     return found.select("grp", F.explode_outer("zones").alias("zone"))
 
 
+def find_levels(members: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The level of each group, `(grp, level)`, from what its members read: 1 without inputs from other groups, else one more than the
+    highest level among the groups it reads.
+
+    `members` has `(member, grp)`, `inputs` has `(member, input)`; inputs that are no members, and those of the own group, do not
+    count. Groups that read each other in a circle are refused. Rows with a null group are left out.
+
+    This operator runs jobs: a round per level takes the groups that wait for none and strikes them from what others wait for.
+    Every round writes what is left to the shared folder and starts from there, so its plan does not grow with the
+    rounds, and what is left gets smaller. Only the number of rows left comes to the driver.
+    """
+    members = members.filter(F.col("grp").isNotNull()).select("member", "grp").distinct()
+    owners = members.select(F.col("member").alias("input"), F.col("grp").alias("needs"))
+    needs = members.join(inputs, "member").join(owners, "input").filter("grp <> needs").select("grp", "needs").distinct()
+    # One row without a need stands for each group, so that a group is there until it is placed.
+    alone = members.select("grp", F.lit(None).cast(members.schema["grp"].dataType).alias("needs")).distinct()
+    waiting = written(needs.unionByName(alone), "waiting")
+    found, level = None, 0
+    while (left := waiting.count()) or found is None:
+        level += 1
+        ready = waiting.groupBy("grp").agg(F.count("needs").alias("n")).filter("n = 0").select("grp", F.lit(level).alias("level"))
+        ready = written(ready, "level")
+        if left and not ready.count():
+            some = [r.grp for r in waiting.select("grp").distinct().orderBy("grp").limit(5).collect()]
+            raise ValueError(f"groups read each other in a circle, or read such groups: {some}")
+        found = ready if found is None else found.unionByName(ready)
+        done = ready.select(F.col("grp").alias("__done"))
+        rest = waiting.join(done, F.col("grp") == F.col("__done"), "left_anti")
+        waiting = written(rest.join(done, F.col("needs") == F.col("__done"), "left_anti"), "waiting")
+    return found
+
+
 def place_in_order(
     members: DataFrame,
     inputs: DataFrame,
@@ -141,7 +173,8 @@ def place_in_order(
 ) -> DataFrame:
     """Place groups level after level; a later level sees the zones of members placed before.
 
-    `members` has `(member, grp, level)` with one level per group; a group with two is refused. Inputs of the same
+    `members` has `(member, grp, level)` with one level per group; a group with two is refused. Without the column `level`
+    levels are found from the inputs (`find_levels`). Inputs of the same
     or a later level do not count. All groups of a level are placed together, so there are as many rounds as levels,
     not groups. Returns `(grp, level, zone, score)`. With `slots` (a table with the column `zone`), a group
     whose zone has no slots is not placed: it comes back with a null zone, and later levels do not see it.
@@ -152,6 +185,8 @@ def place_in_order(
     """
     _check_mode(mode)
     spark = members.sparkSession
+    if "level" not in members.columns:
+        members = members.join(find_levels(members, inputs), "grp").select("member", "grp", "level")
     one = members.groupBy("grp").agg(F.min("level").alias("lo"), F.max("level").alias("hi"))
     found = one.agg(F.collect_set("lo").alias("levels"), F.bool_or(F.col("lo") != F.col("hi")).alias("mixed")).first()
     if found.mixed:

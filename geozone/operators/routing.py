@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geozone.functions.hashing import stable_hash
 from geozone.operators.ordinal import list_sizes, ordinal
 from geozone.operators.tagging import member_zone
+from geozone.session import written
 
 # Names of the lists: one per zone, and the fallback list of all targets (fixed values).
 ZONE_LIST_PREFIX = "zone:"
@@ -84,6 +85,41 @@ def colocate(df: DataFrame, zone_col: str, key_cols: Sequence[str], strict: bool
     return df.hint("rebalance", *[F.col(c) for c in [zone_col, *key_cols]])
 
 
+def colocate_zones(
+    df: DataFrame, zone_col: str, key_cols: Sequence[str], n_partitions: int | None = None, spread: float | None = None
+) -> DataFrame:
+    """Deal rows so that each task has rows of one zone only, and the rows of one key of a zone are in one of its zone's tasks.
+
+    A zone owns a block of partitions, at least one and otherwise as many of `n_partitions` (by default those of a shuffle) as it has of
+    the rows; null is a zone too. Inside its block a row goes by the hash of its key. With `spread`, a key with more than that
+    many times the rows of an even partition is dealt over its zone's whole block instead, by a hash of the whole row;
+    rows that are equal stay together.
+
+    This runs a job: the rows of each zone (with `spread` also of each key) are counted; the blocks stay a table of a row per zone.
+    """
+    spark = df.sparkSession
+    wanted = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(F.col(zone_col).alias("__zone")).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = F.sum("__rows").over(Window.partitionBy(F.lit(0)))
+    sizes = counts.withColumn("__size", F.greatest(F.lit(1), F.floor(F.col("__rows") * wanted / rows)).cast("int"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__zone").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)).cast("int"))
+    blocks = written(blocks, "zone-blocks")
+    total, n_rows = blocks.agg(F.coalesce(F.sum("__size"), F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
+
+    keyed = df.join(blocks, F.col(zone_col).eqNullSafe(F.col("__zone")))
+    hashed = stable_hash([F.col(c) for c in key_cols], "xxhash64")
+    if spread is not None:
+        least = spread * n_rows / wanted
+        hot = df.groupBy(zone_col, *[c for c in key_cols if c != zone_col]).count().filter(F.col("count") > least)
+        hot = hot.select(*[F.col(c).alias(f"__hot{i}") for i, c in enumerate([zone_col, *key_cols])], F.lit(True).alias("__hot"))
+        same = [F.col(c).eqNullSafe(F.col(f"__hot{i}")) for i, c in enumerate([zone_col, *key_cols])]
+        keyed = keyed.join(written(hot, "hot-keys"), same, "left")
+        hashed = F.when(F.col("__hot"), stable_hash([F.col(c) for c in df.columns], "xxhash64")).otherwise(hashed)
+    place = (F.col("__start") + F.pmod(hashed, F.col("__size"))).cast("int")
+    return keyed.select(*df.columns, place.alias("__place")).repartitionById(int(total), "__place").drop("__place")
+
+
 def _with_list(df: DataFrame, zone_col: str, lists: DataFrame) -> DataFrame:
     sizes = list_sizes(lists, ["list"], "n_targets")
     all_targets = sizes.filter(F.col("list") == ALL_TARGETS).select("n_targets")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Seconds of a piece of time in `latency_as_of`.
+PIECE_SECONDS = 30 * 24 * 3600
 # Returned for a pair with an unknown zone (fixed value).
 UNKNOWN_LATENCY = -1
 
@@ -57,6 +59,57 @@ def latency_of(
     return found.select(*[df[c] for c in df.columns], value.alias(out))
 
 
+def latency_as_of(
+    df: DataFrame,
+    snapshots: DataFrame,
+    from_col: str,
+    to_col: str,
+    at_col: str,
+    out: str = "latency",
+    missing: int | None = None,
+    piece_seconds: int = PIECE_SECONDS,
+) -> DataFrame:
+    """Directed lookup of the latency that was valid at each row's time: the last one measured at `at_col` or before.
+
+    `snapshots` has `(from_zone, to_zone, at, latency)`; of repeated measurements of a pair at one time the largest counts. A
+    measurement is valid until the next of its pair. -1 where either zone is in no snapshot, `missing` (null) where both
+    are but the pair was not measured yet, or the row has no time. `at` and `at_col` are dates or timestamps.
+
+    Time is cut into pieces of `piece_seconds`. A measurement is listed in each piece in which it is valid, up to the newest row's,
+    so rows meet the list of their pair and piece by an equi join and take the last entry that is old enough: no range join, no
+    sort of the rows, and a pair with a third of all rows is dealt by time (and split further by adaptive skew handling, since the
+    lists are short). There are about as many lists as pairs times pieces; a list has the measurements of one piece
+    and one more. The rows' times are read once more, for the newest.
+    """
+    kind = snapshots.schema["latency"].dataType
+    width = piece_seconds * 1_000_000
+    piece = lambda micros: F.floor(micros / F.lit(width)).cast("bigint")
+    known = snapshots.filter(F.col("at").isNotNull()).groupBy("from_zone", "to_zone", _micros("at").alias("at"))
+    measured = known.agg(F.max("latency").alias("latency"))
+    pair = Window.partitionBy("from_zone", "to_zone").orderBy("at")
+    newest = df.agg(F.max(_micros(at_col))).scalar()
+    until = F.least(F.coalesce(F.lead("at").over(pair) - 1, newest), newest)
+    valid = measured.withColumn("until", until).filter(F.col("until") >= F.col("at"))
+    listed = valid.withColumn("__piece", F.explode(F.sequence(piece(F.col("at")), piece(F.col("until")))))
+    entries = F.collect_list(F.struct("at", "latency")).alias("__entries")
+    lists = listed.groupBy(F.col("from_zone").alias("__from"), F.col("to_zone").alias("__to"), "__piece").agg(entries)
+
+    rows = df.withColumn("__at", _micros(at_col)).withColumn("__of", piece(F.col("__at")))
+    same = (F.col(from_col) == F.col("__from")) & (F.col(to_col) == F.col("__to")) & (F.col("__of") == F.col("__piece"))
+    old_enough = F.filter("__entries", lambda e: e["at"] <= F.col("__at"))
+    found = rows.join(lists, same, "left").withColumn("__latency", F.array_max(old_enough)["latency"])
+    names = zone_names(snapshots)
+    start, end = names.toDF("__start"), names.toDF("__end")
+    found = found.join(start, F.col(from_col) == F.col("__start"), "left").join(end, F.col(to_col) == F.col("__end"), "left")
+    unknown = F.col("__start").isNull() | F.col("__end").isNull()
+    value = F.when(unknown, F.lit(UNKNOWN_LATENCY).cast(kind)).otherwise(F.coalesce("__latency", F.lit(missing).cast(kind)))
+    return found.select(*df.columns, value.alias(out))
+
+
+def _micros(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
 def observed_latency(
     df: DataFrame, from_col: str, to_col: str, value: str | Column, scale: int = 1000, by: Sequence[str] = ()
 ) -> DataFrame:

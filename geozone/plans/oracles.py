@@ -231,6 +231,35 @@ def oracles() -> dict[str, str]:
             columns="event_id, nation", number=md5_number(joined_keys(str(SEED), "event_id"))
         ),
         "colocate": f"{events} SELECT zone, user_id, count(*) AS n_rows, 1::BIGINT AS n_tasks FROM zoned GROUP BY 1, 2",
+        "stream_route_live": f"""{routing}, arrived AS (
+              SELECT *, least((day(ts) + CASE WHEN event_id % {LATE_SHARE} = 0 THEN {LATE_DAYS} ELSE 0 END) // {RUN_DAYS}, {ARRIVALS - 1}) AS run
+              FROM zoned),
+            lists AS (
+              SELECT run, list, target, row_number() OVER (PARTITION BY run, list ORDER BY target) - 1 AS k, count(*) OVER (PARTITION BY run, list) AS n
+              FROM target_lists CROSS JOIN (SELECT unnest(range({ARRIVALS})) AS run) WHERE target % {ARRIVALS} <> run),
+            routed AS (
+              SELECT z.*, coalesce(l.list, 'all') AS list, l.list IS NOT NULL AS is_local, coalesce(l.n, w.n) AS n
+              FROM arrived z LEFT JOIN (SELECT DISTINCT run, list, n FROM lists) l ON 'zone:' || z.nation = l.list AND z.run = l.run
+              LEFT JOIN (SELECT DISTINCT run, n FROM lists WHERE list = 'all') w ON w.run = z.run)
+            SELECT event_id, user_id, event_type, nation, t.target, r.is_local, r.run + 1 AS list_version
+            FROM routed r LEFT JOIN lists t ON r.run = t.run AND r.list = t.list
+              AND t.k = {md5_number(joined_keys("user_id", "event_type"))} % r.n""",
+        "zone_tasks": f"{events} SELECT zone, count(*) AS n_rows, 1::BIGINT AS n_zones, true AS keys_whole FROM zoned GROUP BY 1",
+        "latency_as_of": f"""WITH {TRIPS}, dated AS (
+              SELECT t.*, o_orderdate::DATE AS day, (date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH)::DATE AS known
+              FROM trips t JOIN orders ON l_orderkey = o_orderkey),
+            snapshots AS (
+              SELECT known, a.n_name AS from_zone, b.n_name AS to_zone, round(sum(days)::DOUBLE / count(days) * 1000)::BIGINT AS latency
+              FROM dated JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey GROUP BY 1, 2, 3),
+            names AS (SELECT from_zone AS zone FROM snapshots UNION SELECT to_zone FROM snapshots),
+            routes AS (
+              SELECT l_orderkey, l_linenumber, day, a.n_name AS from_zone, CASE WHEN o_orderstatus = 'P' THEN 'UNKNOWN' ELSE b.n_name END AS to_zone
+              FROM dated JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey)
+            SELECT r.l_orderkey, r.l_linenumber, r.day, r.from_zone, r.to_zone,
+                   CASE WHEN r.from_zone NOT IN (SELECT zone FROM names) OR r.to_zone NOT IN (SELECT zone FROM names) THEN -1 ELSE s.latency END AS latency
+            FROM routes r ASOF LEFT JOIN snapshots s ON r.from_zone = s.from_zone AND r.to_zone = s.to_zone AND r.day >= s.known""",
+        "pipeline_levels": """SELECT DISTINCT p_brand AS grp, 1::INTEGER AS level FROM part
+            UNION ALL SELECT DISTINCT p_type, 2 FROM part UNION ALL SELECT DISTINCT 'report', 3 FROM part""",
         "observed_latency": f"{latency} SELECT from_zone, to_zone, latency FROM latency",
         "zone_names": f"{latency} SELECT from_zone AS zone FROM latency UNION SELECT to_zone FROM latency",
         "latency_of": f"""{latency}, names AS (SELECT from_zone AS zone FROM latency UNION SELECT to_zone FROM latency), routes AS (

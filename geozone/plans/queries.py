@@ -28,6 +28,8 @@ DELAY = "1 hour"
 # A zone's quota is one such part of a list's items; there are five regions.
 QUOTA_SHARE = 10
 SEED = 7
+# Partitions for each zone on average in the query on tasks of zones.
+ZONE_PARTITIONS = 5
 # Entries per line in the queries on lines, so that zones and slots take several lines at small scale too.
 LINE_MEMBERS = 32
 
@@ -202,6 +204,35 @@ def stream_route(spark, path):
     return spark.read.schema(routed.schema).parquet(f"{out}/table")
 
 
+@register
+def stream_route_live(spark, path):
+    """Events that arrive in three runs; before each run other suppliers are away, and the lists are published anew."""
+    source, out = scratch_path(spark, "arrivals"), scratch_path(spark, "route-live")
+    raw = v.table(spark, path, "events")
+    for run in range(v.ARRIVALS):
+        lists = gz.target_lists(v.remaining_targets(spark, path, run), v.supplier_nations(spark, path))
+        gz.publish_lists(lists, f"{out}/lists")
+        raw.filter(v.arrival() == run).write.mode("append").parquet(source)
+        events = v.with_zones(spark.readStream.schema(raw.schema).parquet(source), spark, path)
+        events = events.select("event_id", "user_id", "event_type", "nation")
+        how = {"key_cols": ["user_id", "event_type"], "hash": "md5"}
+        gz.start_route_live(events, "nation", f"{out}/lists", f"{out}/table", f"{out}/checkpoint", **how).awaitTermination()
+    return gz.routed_rows(spark, f"{out}/table")
+
+
+@register
+def zone_tasks(spark, path):
+    """Per zone its rows, the zones that share a task with it, and whether each of its keys is in one task."""
+    events = v.zoned_events(spark, path).select("zone", "user_id")
+    dealt = gz.colocate_zones(events, "zone", ["user_id"], 4 * ZONE_PARTITIONS).withColumn("task", F.spark_partition_id())
+    landed = written(dealt.groupBy("task", "zone", "user_id").agg(F.count(F.lit(1)).alias("n")), "landed")
+    shared = landed.groupBy("task").agg(F.countDistinct("zone").alias("n_zones"))
+    keys = landed.groupBy("zone", "user_id").agg(F.count(F.lit(1)).alias("n_tasks"))
+    whole = keys.groupBy("zone").agg(F.bool_and(F.col("n_tasks") == 1).alias("keys_whole"))
+    zones = landed.join(shared, "task").groupBy("zone").agg(F.sum("n").alias("n_rows"), F.max("n_zones").alias("n_zones"))
+    return zones.join(whole, "zone")
+
+
 @register
 def colocate(spark, path):
     """Per zone and key: its rows, and in how many tasks they landed."""
@@ -245,6 +276,20 @@ def latency_of(spark, path):
     return gz.latency_of(routes, latency, "from_zone", "to_zone")
 
 
+@register
+def latency_as_of(spark, path):
+    """Each lineitem's route with the latency that was known on the day of the order; pending orders have no known destination."""
+    trips = written(v.dated_trips(spark, path), "dated-trips")
+    snapshots = written(v.name_zones(v.quarterly_latency(trips), spark, path), "snapshots")
+    nation = v.table(spark, path, "nation")
+    start = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("from_zone"))
+    end = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("to_nation"))
+    to_zone = F.when(F.col("o_orderstatus") == "P", F.lit("UNKNOWN")).otherwise(F.col("to_nation"))
+    routes = trips.join(start, "s_nationkey").join(end, "c_nationkey")
+    routes = routes.select("l_orderkey", "l_linenumber", "day", "from_zone", to_zone.alias("to_zone"))
+    return gz.latency_as_of(routes, snapshots, "from_zone", "to_zone", "day")
+
+
 @register
 def best_zone_minmax(spark, path):
     return gz.best_zone(v.order_deps(spark, path), latency_table(spark, path), mode="minmax")
@@ -264,7 +309,7 @@ def best_zone_by_snapshot(spark, path):
 
 @register
 def best_zone_overall(spark, path):
-    return gz.best_zone_overall(v.latency(spark, path))
+    return gz.best_zone_overall(latency_table(spark, path))
 
 
 @register
@@ -278,6 +323,13 @@ def group_dependencies(spark, path):
     return gz.group_dependencies(members, v.pipeline_inputs(spark, path), v.pipeline_zones(spark, path))
 
 
+@register
+def pipeline_levels(spark, path):
+    """Brands, types and the report in the order in which they can be placed, found from what their members read."""
+    members = v.pipeline_members(spark, path).select("member", "grp")
+    return gz.find_levels(members, v.pipeline_inputs(spark, path))
+
+
 @register
 def place_in_order(spark, path):
     return gz.place_in_order(

@@ -81,6 +81,11 @@ def supplier_nations(spark: SparkSession, path: str) -> DataFrame:
     return suppliers(spark, path).select(F.col("nation").alias("zone"), F.col("s_suppkey").alias("member"))
 
 
+def remaining_targets(spark: SparkSession, path: str, run: int) -> DataFrame:
+    """The targets that are there in a run of arrivals: in each, other suppliers are away."""
+    return targets(spark, path).filter(F.col("target") % ARRIVALS != run)
+
+
 def trips(spark: SparkSession, path: str) -> DataFrame:
     """One row per lineitem: supplier and customer nation keys and the days between order and shipping."""
     customer = table(spark, path, "customer").select("c_custkey", "c_nationkey")
@@ -100,6 +105,18 @@ def trips(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def dated_trips(spark: SparkSession, path: str) -> DataFrame:
+    """As `trips`, with the day of the order."""
+    orders = table(spark, path, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    return trips(spark, path).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+
+
+def quarterly_latency(trips: DataFrame) -> DataFrame:
+    """Latencies measured in each quarter, known from the first day of the next, on nation keys."""
+    known = F.add_months(F.trunc("day", "quarter"), 3)
+    return observed_latency(trips.withColumn("at", known), "s_nationkey", "c_nationkey", "days", by=["at"])
+
+
 def name_zones(latency: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Nation names for a latency table on nation keys."""
     nation = table(spark, path, "nation")

@@ -216,3 +216,46 @@ def test_more_zones_than_bits_in_one_number(spark):
     assert got.pop("free") == ("z000", 0) and got.pop("lost") == (None, None)
     for g, choice in got.items():
         assert choice == min((max(lat[d, c] for d in deps[g]), c) for c in zones)[::-1]
+
+
+def graph(spark, edges, alone=()):
+    """One member per group; `edges` are (group, group it reads)."""
+    groups = sorted({g for e in edges for g in e} | set(alone))
+    members = spark.createDataFrame([(f"m-{g}", g) for g in groups], "member string, grp string")
+    inputs = spark.createDataFrame([(f"m-{a}", f"m-{b}") for a, b in edges] or [("x", "y")], "member string, input string")
+    return members, inputs
+
+
+def test_levels_are_found(spark):
+    edges = [("b", "a"), ("c", "b"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "c"), ("f", "d")]
+    members, inputs = graph(spark, edges, alone=["z"])
+    extra = spark.createDataFrame([("m-a", "no member"), ("no member", "m-a"), ("m-b", None)], "member string, input string")
+    lost = spark.createDataFrame([("m-lost", None)], "member string, grp string")
+    got = {r.grp: r.level for r in gz.find_levels(members.unionByName(lost), inputs.unionByName(extra)).collect()}
+    assert got == {"a": 1, "b": 2, "c": 3, "d": 2, "e": 1, "f": 4, "z": 1}
+    assert gz.find_levels(members.filter("grp = '?'"), inputs).collect() == []
+
+
+def test_circles_are_refused(spark):
+    members, inputs = graph(spark, [("b", "a"), ("c", "b"), ("b", "d"), ("d", "c"), ("e", "d")])
+    with pytest.raises(ValueError, match=r"circle.*'b', 'c', 'd', 'e'"):
+        gz.find_levels(members, inputs)
+
+
+def test_a_long_chain_needs_no_deep_plan(spark):
+    n = 25
+    members, inputs = graph(spark, [(f"g{i:03}", f"g{i - 1:03}") for i in range(1, n)])
+    found = gz.find_levels(members, inputs)
+    assert {r.grp: r.level for r in found.collect()} == {f"g{i:03}": i + 1 for i in range(n)}
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and text.count("Relation [") == n
+
+
+def test_placing_finds_the_levels(spark, latency):
+    members = spark.createDataFrame([("m1", "first"), ("m2", "second")], "member string, grp string")
+    inputs = spark.createDataFrame([("m1", "s1"), ("m1", "s2"), ("m2", "m1"), ("m2", "s1")], "member string, input string")
+    zones = spark.createDataFrame([("s1", "north"), ("s2", "south")], "member string, zone string")
+    given = members.withColumn("level", F.when(F.col("grp") == "first", 1).otherwise(2))
+    found = {tuple(r) for r in gz.place_in_order(members, inputs, zones, latency).collect()}
+    assert found == {tuple(r) for r in gz.place_in_order(given, inputs, zones, latency).collect()}
+    assert {(r[0], r[1]) for r in found} == {("first", 1), ("second", 2)}

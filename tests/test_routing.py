@@ -111,3 +111,33 @@ def test_hot_zone_with_many_targets(spark):
     wrong = routed.join(home, "target").filter("zone != home")
     assert wrong.count() == 0
     assert routed.filter("target is null or not is_local").count() == 0
+
+
+def landed(df, **how):
+    """(task, zone, key) -> rows."""
+    dealt = gz.colocate_zones(df, "zone", ["key"], **how).withColumn("task", F.spark_partition_id())
+    return {(r.task, r.zone, r.key): r["count"] for r in dealt.groupBy("task", "zone", "key").count().collect()}
+
+
+@pytest.mark.parametrize("spread", [None, 1.5])
+def test_tasks_belong_to_zones(spark, spread):
+    """A zone with most rows owns most tasks; a hot key is spread inside its zone's block only, and only where asked."""
+    zone = F.when(F.col("id") % 10 < 7, F.lit("hot")).when(F.col("id") % 10 < 9, F.lit("warm")).when(F.col("id") % 3 == 0, F.lit(None))
+    key = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 40)
+    df = spark.range(4_000).select("id", zone.otherwise(F.lit("cold")).alias("zone"), key.alias("key"))
+    found = landed(df, n_partitions=20, spread=spread)
+    zones_of, tasks_of_key, tasks_of_zone = {}, {}, {}
+    for task, zone, key in found:
+        zones_of.setdefault(task, set()).add(zone)
+        tasks_of_key.setdefault((zone, key), set()).add(task)
+        tasks_of_zone.setdefault(zone, set()).add(task)
+    assert all(len(z) == 1 for z in zones_of.values())
+    assert sum(found.values()) == 4_000 and set(tasks_of_zone) == {"hot", "warm", "cold", None}
+    assert len(tasks_of_zone["hot"]) > len(tasks_of_zone["warm"]) >= len(tasks_of_zone["cold"])
+    split = {k for k, tasks in tasks_of_key.items() if len(tasks) > 1}
+    # Key 0 has 1,600 rows of the hot zone and 400 of the warm one, an even task 200.
+    assert split == ({("hot", 0), ("warm", 0)} if spread else set())
+
+
+def test_tasks_of_an_empty_table(spark):
+    assert landed(spark.createDataFrame([], "zone string, key int")) == {}

@@ -232,3 +232,45 @@ def test_late_rows_correct_the_result(spark, tmp_path):
     # All batches again, as if no commit had been kept.
     once(str(tmp_path / "check-2"))
     check_all()
+
+
+def test_live_lists(spark, tmp_path):
+    """Members change between two batches: each batch is routed by the version valid then, also when it is repeated later."""
+    src, lists, out = (str(tmp_path / d) for d in ("src", "lists", "out"))
+    targets = spark.createDataFrame([(t, t) for t in range(6)], "target bigint, target_ord bigint")
+    members = [[("a", 0), ("a", 3), ("b", 4)], [("a", 1), ("b", 2), ("b", 5)]]
+    published = [gz.target_lists(targets, spark.createDataFrame(m, "zone string, member bigint")).cache() for m in members]
+
+    def once(check):
+        run(gz.start_route_live(stream_of(spark, src), "zone", lists, out, str(tmp_path / check), key_cols=["key", "id"]))
+
+    want = []
+    for batch in range(2):
+        assert gz.publish_lists(published[batch], lists) == gz.newest_lists(spark, lists) == batch + 1
+        rows = rows_of(batch, 0, 2, 100, start_id=1000 * batch)
+        add_file(spark, src, rows)
+        once("check")
+        routed = gz.route_by_key(spark.createDataFrame(rows, SCHEMA), "zone", ["key", "id"], published[batch])
+        want += [(*r, batch + 1) for r in routed.select("id", "zone", "target", "is_local").collect()]
+    columns = ["id", "zone", "target", "is_local", "list_version"]
+    assert table(gz.routed_rows(spark, out), columns) == sorted(want)
+    # A third version, then both batches again: they keep the versions they had.
+    gz.publish_lists(published[0], lists)
+    once("check-again")
+    assert table(gz.routed_rows(spark, out), columns) == sorted(want)
+
+
+def test_unfinished_versions_do_not_count(spark, tmp_path):
+    lists = str(tmp_path / "lists")
+    one = spark.createDataFrame([("all", 0, 7)], "list string, k bigint, target bigint")
+    assert gz.newest_lists(spark, lists) is None
+    add_file(spark, str(tmp_path / "src"), rows_of(0, 0, 1, 5))
+    with pytest.raises(Exception, match="no complete version"):
+        query = gz.start_route_live(stream_of(spark, str(tmp_path / "src")), "zone", lists, str(tmp_path / "out"), str(tmp_path / "check"), key_cols=["key"])
+        query.awaitTermination()
+    gz.publish_lists(one, lists)
+    (tmp_path / "lists" / "list_version=2").mkdir()
+    (tmp_path / "lists" / "list_version=2" / "part-0.parquet").write_bytes(b"cut short")
+    assert gz.newest_lists(spark, lists) == 1
+    assert gz.publish_lists(one, lists) == 2
+    assert gz.read_lists(spark, lists, 2).count() == 1

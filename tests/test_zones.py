@@ -1,5 +1,8 @@
 """Tagging, latency lookups, member inversion, and the text formats."""
 
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +235,36 @@ class TestTagging:
         assert sorted(r.value for r in spark.read.text(str(tmp_path / "report")).collect()) == sorted(lines * 2)
         cut = gz.placement_report(placed, groups, line_entries=1).filter("name = '10'")
         assert sorted(tuple(r) for r in cut.collect()) == [("slot", "10", 0, 1, "1"), ("slot", "10", 1, 1, "2")]
+
+
+def test_latency_as_of(spark):
+    """Against a plain search, with a hot pair, repeated measurements, times before the first and after the last."""
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    snapshots = [(rng.choice("abc"), rng.choice("abc"), start + dt.timedelta(hours=rng.randrange(24 * 90)), rng.randrange(99)) for _ in range(200)]
+    snapshots += [(*snapshots[0][:3], 500), ("d", "a", None, 1)]
+    rows = [(i, "a" if rng.random() < 0.5 else rng.choice("abcdx"), rng.choice("abc"), start + dt.timedelta(hours=rng.randrange(-200, 24 * 100))) for i in range(2_000)]
+    rows += [(-1, "a", "b", None), (-2, None, "b", start), (-3, "a", "b", snapshots[0][2])]
+    pairs = spark.createDataFrame(snapshots, "from_zone string, to_zone string, at timestamp, latency bigint")
+    df = spark.createDataFrame(rows, "id bigint, f string, t string, ts timestamp")
+    known = {z for s in snapshots for z in s[:2]}
+
+    def want(f, t, ts):
+        if f not in known or t not in known:
+            return -1
+        old = [(s[2], s[3]) for s in snapshots if s[:2] == (f, t) and s[2] is not None and ts is not None and s[2] <= ts]
+        return max(old)[1] if old else None
+
+    for seconds in (3_600, 7 * 86_400, 10**9):
+        got = gz.latency_as_of(df, pairs, "f", "t", "ts", piece_seconds=seconds)
+        assert got.columns == ["id", "f", "t", "ts", "latency"]
+        assert {r.id: r.latency for r in got.collect()} == {i: want(f, t, ts) for i, f, t, ts in rows}
+    assert gz.latency_as_of(df, pairs.filter("latency < 0"), "f", "t", "ts").filter("latency <> -1").count() == 0
+    assert gz.latency_as_of(df.filter("id > 9999"), pairs, "f", "t", "ts").count() == 0
+
+
+def test_rows_meet_the_lists_by_an_equi_join(spark):
+    df = spark.range(10).select((F.col("id") % 2).alias("f"), (F.col("id") % 3).alias("t"), F.timestamp_seconds("id").alias("ts"))
+    pairs = df.select(F.col("f").alias("from_zone"), F.col("t").alias("to_zone"), F.col("ts").alias("at"), F.col("f").alias("latency"))
+    text = gz.latency_as_of(df, pairs, "f", "t", "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
