@@ -49,6 +49,7 @@ from geozone.streaming.aggregate import (
     stream_result,
     stream_zone_local_agg,
 )
+from geozone.streaming.members import current_lines, current_members, start_zone_members
 from geozone.streaming.routing import newest_lists, publish_lists, read_lists, route_stream, routed_rows, start_route_live
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from geozone.plans.queries import LINE_MEMBERS, QUOTA_SHARE, SEED
-from geozone.plans.views import ARRIVALS, FREE_BALANCE, LATE_DAYS, LATE_SHARE, RUN_DAYS
+from geozone.plans.views import ARRIVALS, FREE_BALANCE, LATE_DAYS, LATE_SHARE, RUN_DAYS, WITHDRAWN_VALUE
 
 
 def with_ctes(*ctes: str) -> str:
@@ -384,6 +384,15 @@ def oracles() -> dict[str, str]:
             SELECT zone, ord // {LINE_MEMBERS} AS line_no, count(*) AS n_members,
                    zone || ';' || string_agg(member::VARCHAR, ',' ORDER BY ord) AS line
             FROM numbered GROUP BY 1, 2""",
+        "stream_zone_members": f"""{with_ctes(NATIONS, CUSTOMERS, ZONED)}, changes AS (
+              SELECT event_type AS zone, n_nationkey AS member, ts, CASE WHEN value > {WITHDRAWN_VALUE} THEN 'withdrawn' ELSE 'placed' END AS change
+              FROM zoned JOIN nation ON n_name = nation),
+            net AS (SELECT zone, member, arg_max(change, ROW(ts, change)) AS change FROM changes GROUP BY 1, 2),
+            numbered AS (
+              SELECT zone, member, (row_number() OVER (PARTITION BY zone ORDER BY member) - 1) // {LINE_MEMBERS // 4} AS line_no
+              FROM net WHERE change = 'placed')
+            SELECT zone, line_no, count(*) AS n_members, zone || ';' || string_agg(member::VARCHAR, ',' ORDER BY member) AS line
+            FROM numbered GROUP BY 1, 2""",
         "zone_members_roundtrip": f"{with_ctes(*ZONE_TABLES, MEMBERS)} SELECT zone, member FROM members",
         "member_zone": f"{with_ctes(*ZONE_TABLES, MEMBERS)} SELECT member, max(zone) AS zone FROM members GROUP BY 1",
         "json_settings": """SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, 1::INTEGER AS per_zone

@@ -477,6 +477,18 @@ def zone_members_roundtrip(spark, path):
     return gz.read_zone_members(spark, out)
 
 
+@register
+def stream_zone_members(spark, path):
+    """Nations placed in and withdrawn from kinds of events, in three runs, some changes days late: the lines after the last."""
+    source, out = scratch_path(spark, "changes"), scratch_path(spark, "stream-members")
+    changes = v.member_changes(spark, path)
+    for run in range(v.ARRIVALS):
+        changes.filter(F.col("run") == run).drop("run").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(changes.drop("run").schema).parquet(source)
+        gz.start_zone_members(stream, f"{out}/table", f"{out}/checkpoint", line_members=LINE_MEMBERS // 4).awaitTermination()
+    return gz.current_lines(spark, f"{out}/table")
+
+
 @register
 def member_zone(spark, path):
     return gz.member_zone(v.members(spark, path))

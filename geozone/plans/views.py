@@ -16,6 +16,8 @@ ARRIVALS = 3
 RUN_DAYS = 14
 LATE_SHARE = 50
 LATE_DAYS = 10
+# Events beyond this value withdraw a member, others place it.
+WITHDRAWN_VALUE = 60
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -237,6 +239,16 @@ def members(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def member_changes(spark: SparkSession, path: str) -> DataFrame:
+    """A customer's nation is placed in a zone, the kind of their event, with each event; a value beyond WITHDRAWN_VALUE withdraws it."""
+    home = customers(spark, path).select("c_custkey", F.col("nation"))
+    nation = nations(spark, path).select("nation", F.col("n_nationkey").alias("member"))
+    change = F.when(F.col("value") > WITHDRAWN_VALUE, F.lit("withdrawn")).otherwise(F.lit("placed"))
+    events = table(spark, path, "events").withColumn("run", arrival())
+    found = events.join(home, F.col("user_id") == F.col("c_custkey")).join(nation, "nation")
+    return found.select("run", F.col("event_type").alias("zone"), "member", change.alias("change"), F.col("ts").cast("timestamp").alias("at"))
+
+
 def labelled(prefix: str, column: str):
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 

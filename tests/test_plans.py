@@ -13,7 +13,7 @@ from geozone.plans.queries import REGISTRY
 DATA = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).parent.parent
 # Queries that run a stream and return the table it wrote.
-STREAMS = {"stream_zone_local_agg", "stream_global_agg", "stream_global_complete", "stream_late_complete", "stream_route", "stream_route_live"}
+STREAMS = {"stream_zone_local_agg", "stream_global_agg", "stream_global_complete", "stream_late_complete", "stream_route", "stream_route_live", "stream_zone_members"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAMS))

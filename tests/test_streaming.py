@@ -274,3 +274,39 @@ def test_unfinished_versions_do_not_count(spark, tmp_path):
     assert gz.newest_lists(spark, lists) == 1
     assert gz.publish_lists(one, lists) == 2
     assert gz.read_lists(spark, lists, 2).count() == 1
+
+
+def test_members_are_kept_up(spark, tmp_path):
+    """After each batch, and after a restart, the table is that of the net changes; a zone that lost all members has no line."""
+    src, out, check = (str(tmp_path / d) for d in ("src", "out", "check"))
+    schema = "zone string, member bigint, change string, at timestamp"
+    rng = random.Random(8)
+
+    def once(name="check"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        run(gz.start_zone_members(stream, out, str(tmp_path / name), line_members=3))
+
+    def change(hour):
+        return (rng.choice("ab"), rng.randrange(12), rng.choice(["placed", "placed", "withdrawn"]), START + dt.timedelta(hours=hour))
+
+    done = [("gone", 1, "placed", START), (None, 1, "placed", START), ("a", None, "placed", START), ("a", 99, "moved", START), ("a", 98, "placed", None)]
+    batches = [done, [("gone", 1, "withdrawn", START + dt.timedelta(hours=1)), ("tie", 4, "placed", START), ("tie", 4, "withdrawn", START)]]
+    for first in (0, 30, 15):
+        batches.append([change(first + rng.randrange(30)) for _ in range(25)])
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        once()
+        seen += rows
+        last = {}
+        for zone, member, what, at in seen:
+            if None not in (zone, member, at) and what in ("placed", "withdrawn"):
+                last[zone, member] = max(last.get((zone, member), (at, what)), (at, what))
+        net = sorted(k for k, (_, what) in last.items() if what == "placed")
+        assert sorted(tuple(r) for r in gz.current_members(spark, out).collect()) == net
+        want = gz.zone_members(spark.createDataFrame(net or [("", 0)], "zone string, member bigint").filter("zone <> ''"), line_members=3)
+        columns = ["zone", "line_no", "n_members", "line"]
+        assert table(gz.current_lines(spark, out), columns) == table(want, columns)
+    # All batches once more, from the start.
+    once("check-again")
+    assert table(gz.current_lines(spark, out), columns) == table(want, columns)
