@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geozone.operators.tagging import one_per_pair, zone_names
 from geozone.session import scratch_path, written
 
 MODES = ("minmax", "average")
+# Candidates of a block, and how many of each dependency's nearest ones give the first bound.
+BLOCK_ZONES = 16
+NEAREST = 3
 
 # Kinds of members: sources bring data into a zone, steps work on it (fixed values).
 SOURCE = "source"
@@ -23,6 +27,7 @@ def best_zone(
     candidates: DataFrame | None = None,
     mode: str = "minmax",
     by: Sequence[str] = (),
+    bounded: bool = False,
 ) -> DataFrame:
     """The candidate zone with the lowest score per group: `(*by, grp, zone, score)`.
 
@@ -35,6 +40,9 @@ def best_zone(
 
     `by` names columns of both tables, such as a snapshot, inside which groups and latencies belong together.
 
+    `bounded` is for thousands of zones: the same result without opening every candidate for every dependency (see
+    `bounded_search`). It runs jobs, as it writes the sets and the latencies in order.
+
     Many groups share a dependency set: each distinct set is scored once and joined back, known by a digest, so a plan has
     the same size however many zones there are. No job runs ahead. `latency` is read up to three times; write it
     to a table first if it is measured from much data.
@@ -54,13 +62,10 @@ def best_zone(
     kind = latency.schema["latency"].dataType
     score = F.greatest(F.max("latency"), F.lit(0).cast(kind)) if mode == "minmax" else _mean("latency")
     sets = groups.filter("size > 0").groupBy(*by, "set", "size").agg(F.first("zones").alias("zones"))
-    opened = sets.select(*by, "set", "size", F.explode("zones").alias("from_zone"))
-    scored = (
-        opened.join(pairs, [*by, "from_zone"])
-        .groupBy(*by, "set", "size", "to_zone")
-        .agg(score.alias("score"), F.count(F.lit(1)).alias("n_known"))
-        .filter("n_known = size")
-    )
+    if bounded:
+        scored = bounded_search(sets, pairs, mode, by).scored
+    else:
+        scored = _scores(sets.select(*by, "set", "size", F.explode("zones").alias("from_zone")), pairs, by, score)
     best = scored.groupBy(*by, "set").agg(F.min(F.struct("score", F.col("to_zone").alias("zone"))).alias("best"))
     found = groups.join(best, [*by, "set"], "left").select(*by, "grp", "size", "best.zone", "best.score")
     if mode == "average":
@@ -82,6 +87,72 @@ def best_zone(
     )
 
 
+def _scores(opened: DataFrame, pairs: DataFrame, by: list[str], score: Column, on: Sequence[str] = ("from_zone",)) -> DataFrame:
+    """Scores of the candidates of each set that are known from all its zones."""
+    met = opened.join(pairs, [*by, *on]).groupBy(*by, "set", "size", "to_zone")
+    return met.agg(score.alias("score"), F.count(F.lit(1)).alias("n_known")).filter("n_known = size")
+
+
+class Search(NamedTuple):
+    """Scores that hold each set's best, and the frames of rows of the latency table that were opened for them."""
+
+    scored: DataFrame
+    opened: list[DataFrame]
+
+
+def bounded_search(sets: DataFrame, pairs: DataFrame, mode: str, by: Sequence[str] = ()) -> Search:
+    """Scores of the candidates that can win, `(*by, set, size, to_zone, score, n_known)`; ties for the best are among them.
+
+    `sets` has `(*by, set, size, zones)`, `pairs` one row per directed pair. Each zone's candidates stand in order of their latency, in
+    blocks. The few nearest of each dependency are scored in full; the best of them bounds the score that can win, and so what
+    a candidate's latency from any one dependency may be: that score (`minmax`), or what the score leaves when all other
+    dependencies had their least latency (`average`). Of a set's dependencies the one with the fewest blocks within its bound gives
+    the candidates, whole blocks at a time, so candidates beyond are not opened; the dependency with the next fewest strikes
+    out more, and what is left is scored in full. Without any candidate that is known from all, nothing is bounded. For sets of
+    five neighbours among 2,000 zones on a plane, less than a tenth of all rows are opened with `minmax`; the bound for
+    `average` is looser, and takes up to four tenths.
+    """
+    by = list(by)
+    low = F.row_number().over(Window.partitionBy(*by, "from_zone").orderBy("latency", "to_zone"))
+    ordered = written(pairs.withColumn("rank", low).withColumn("block", F.floor((F.col("rank") - 1) / BLOCK_ZONES)), "ordered-latency")
+    pairs = ordered.select(*by, "from_zone", "to_zone", "latency")
+    sets = written(sets.select(*by, "set", "size", "zones"), "zone-sets")
+    deps = sets.select(*by, "set", "size", F.explode("zones").alias("from_zone"))
+    kind = pairs.schema["latency"].dataType
+    score = F.greatest(F.max("latency"), F.lit(0).cast(kind)) if mode == "minmax" else _mean("latency")
+
+    nearest = ordered.filter(F.col("rank") <= NEAREST).select(*by, "from_zone", "to_zone")
+    pool = deps.join(nearest, [*by, "from_zone"]).select(*by, "set", "to_zone").distinct()
+    first = deps.join(pool, [*by, "set"])
+    upper = _scores(first, pairs, by, score, ["from_zone", "to_zone"]).groupBy(*by, "set").agg(F.min("score").cast("double").alias("upper"))
+
+    heads = ordered.groupBy(*by, "from_zone", "block").agg(F.min("latency").cast("double").alias("least"))
+    heads = heads.groupBy(*by, "from_zone").agg(F.sort_array(F.collect_list(F.struct("block", "least"))).alias("heads"))
+    bounded = deps.join(heads, [*by, "from_zone"]).withColumn("least", F.col("heads")[0]["least"])
+    spare = bounded.groupBy(*by, "set").agg(F.sum("least").alias("leasts"))
+    limit = F.col("upper") if mode == "minmax" else F.col("upper") * F.col("size") - F.col("leasts") + F.col("least")
+    # A little more than the bound, for what doubles round off.
+    limit = F.coalesce(limit + 1e-9 * (F.abs(limit) + 1), F.lit(float("inf")))
+    bounded = bounded.join(spare, [*by, "set"]).join(upper, [*by, "set"], "left").withColumn("limit", limit)
+    within = F.size(F.filter("heads", lambda h: h["least"] <= F.col("limit"))).alias("within")
+    steps = F.sort_array(F.collect_list(F.struct("within", "from_zone", "limit"))).alias("steps")
+    chosen = bounded.select(*by, "set", "size", "from_zone", "limit", within).groupBy(*by, "set", "size").agg(steps)
+    # A zone without any pair leaves its set without candidates.
+    chosen = chosen.filter(F.size("steps") == F.col("size"))
+
+    one, two = F.col("steps")[0], F.coalesce(F.get("steps", 1), F.col("steps")[0])
+    blocks = chosen.filter(one["within"] > 0).select(
+        *by, "set", "size", one["from_zone"].alias("from_zone"), one["limit"].alias("limit"), two["from_zone"].alias("next"), two["limit"].alias("next_limit"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), one["within"].cast("bigint") - 1)).alias("block"),
+    )
+    fetched = blocks.join(ordered.select(*by, "from_zone", "block", "to_zone", "latency"), [*by, "from_zone", "block"])
+    able = fetched.filter(F.col("latency") <= F.col("limit")).select(*by, "set", F.col("next").alias("from_zone"), "next_limit", "to_zone")
+    tried = able.join(pairs, [*by, "from_zone", "to_zone"])
+    left = tried.filter(F.col("latency") <= F.col("next_limit")).select(*by, "set", "to_zone")
+    last = deps.join(left, [*by, "set"])
+    return Search(_scores(last, pairs, by, score, ["from_zone", "to_zone"]), [first, fetched, tried, last])
+
+
 def _mean(column: str) -> Column:
     return F.sum(column) / F.count(column)
 

@@ -271,6 +271,8 @@ def oracles() -> dict[str, str]:
             FROM routes r LEFT JOIN latency l ON r.from_zone = l.from_zone AND r.to_zone = l.to_zone""",
         "best_zone_minmax": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS, LATENCY, ORDER_DEPS, best_zone("order_deps", MINMAX))}
             SELECT grp, zone, score FROM best""",
+        "best_zone_bounded": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS, LATENCY, ORDER_DEPS, best_zone("order_deps", MINMAX))}
+            SELECT grp, zone, score FROM best""",
         "best_zone_average": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS, LATENCY, ORDER_DEPS, best_zone("order_deps", AVERAGE))}
             SELECT grp, zone, score FROM best""",
         "best_zone_by_snapshot": f"""{with_ctes(NATIONS, SUPPLIERS, TRIPS)}, measured AS (

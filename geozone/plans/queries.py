@@ -300,6 +300,12 @@ def best_zone_average(spark, path):
     return gz.best_zone(v.order_deps(spark, path), latency_table(spark, path), mode="average")
 
 
+@register
+def best_zone_bounded(spark, path):
+    """As `best_zone_minmax`, by the search that opens only candidates that can win."""
+    return gz.best_zone(v.order_deps(spark, path), latency_table(spark, path), mode="minmax", bounded=True)
+
+
 @register
 def best_zone_by_snapshot(spark, path):
     """Orders by status, each status with the latencies measured on its own orders."""

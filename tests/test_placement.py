@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import geozone as gz
+from geozone.operators.placement import bounded_search
+from geozone.session import written
 
 # Row = from (dependency), column = to (candidate).
 ZONES = ["north", "south", "east", "hub"]
@@ -259,3 +261,46 @@ def test_placing_finds_the_levels(spark, latency):
     found = {tuple(r) for r in gz.place_in_order(members, inputs, zones, latency).collect()}
     assert found == {tuple(r) for r in gz.place_in_order(given, inputs, zones, latency).collect()}
     assert {(r[0], r[1]) for r in found} == {("first", 1), ("second", 2)}
+
+
+def plane(spark, n, seed):
+    """Zones on a plane, latencies are rounded distances; and the zones' names by place."""
+    rng = random.Random(seed)
+    places = [(rng.random(), rng.random()) for _ in range(n)]
+    zones = spark.createDataFrame([(f"z{i:04}", x, y) for i, (x, y) in enumerate(places)], "zone string, x double, y double")
+    a, b = zones.toDF("from_zone", "ax", "ay"), zones.toDF("to_zone", "bx", "by")
+    apart = F.round(F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) * 10_000).cast("bigint")
+    return places, a.join(b, F.lit(True)).select("from_zone", "to_zone", apart.alias("latency"))
+
+
+@pytest.mark.parametrize("mode", ["minmax", "average"])
+def test_bounded_search_finds_the_same(spark, mode):
+    """Sets of one to six zones, some pairs unknown, one zone without any pair, ties, negative latencies."""
+    rng = random.Random(11)
+    names = [f"z{i:02}" for i in range(40)]
+    pairs = [(a, b, rng.randrange(-3, 25)) for a in names for b in names if rng.random() < 0.97]
+    latency = spark.createDataFrame(pairs, "from_zone string, to_zone string, latency bigint")
+    rows = [(f"g{g}", z) for g in range(150) for z in rng.sample(names, rng.randrange(1, 7))]
+    rows += [("none", None), ("lost", "nowhere"), ("lost", "z00"), ("all", "z01"), *[("all", z) for z in names]]
+    deps = spark.createDataFrame(rows, "grp string, zone string")
+    for offered in (None, spark.createDataFrame([(z,) for z in names[::3]], "zone string")):
+        plain = {tuple(r) for r in gz.best_zone(deps, latency, offered, mode).collect()}
+        assert {tuple(r) for r in gz.best_zone(deps, latency, offered, mode, bounded=True).collect()} == plain
+
+
+@pytest.mark.parametrize(("mode", "share"), [("minmax", 0.1), ("average", 0.4)])
+def test_bounded_search_opens_few_rows(spark, mode, share):
+    """2,000 zones, sets of five zones of a neighbourhood: same result, and a small share of the rows opened."""
+    places, latency = plane(spark, 2_000, 3)
+    latency = written(latency, "plane")
+    rng, rows = random.Random(4), []
+    for g in range(60):
+        x, y = rng.random(), rng.random()
+        near = sorted(range(2_000), key=lambda i: (places[i][0] - x) ** 2 + (places[i][1] - y) ** 2)[:120]
+        rows += [(f"g{g}", f"z{i:04}") for i in rng.sample(near, 5)]
+    deps = spark.createDataFrame(rows, "grp string, zone string")
+    plain = {tuple(r) for r in gz.best_zone(deps, latency, mode=mode).collect()}
+    assert {tuple(r) for r in gz.best_zone(deps, latency, mode=mode, bounded=True).collect()} == plain
+    sets = deps.groupBy(F.col("grp").alias("set")).agg(F.sort_array(F.collect_set("zone")).alias("zones")).withColumn("size", F.size("zones"))
+    opened = sum(frame.count() for frame in bounded_search(sets, latency, mode).opened)
+    assert opened < share * len(rows) * 2_000
