@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geozone.llm.common import shuffle_partitions
 from geozone.session import written
 
 SCALE = 256
@@ -29,7 +30,7 @@ def usable(vector: str = "embedding") -> Column:
 
 
 def vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, dim, body): one row per id, components floor(scale * x) as little-endian doubles."""
+    """(vec_id, dim, body) for every usable row, components floor(scale * x) as little-endian doubles."""
 
     def run(batches):
         for batch in batches:
@@ -44,8 +45,7 @@ def vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
 
     chosen = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>"))
     chosen = chosen.filter(F.col("vec_id").isNotNull() & usable())
-    one = chosen.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    return one.mapInArrow(run, "vec_id bigint, dim int, body binary")
+    return chosen.mapInArrow(run, "vec_id bigint, dim int, body binary")
 
 
 def search(
@@ -122,15 +122,19 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE) ->
     Work is dealt in tiles of at most about CANDIDATES x QUERIES rows, so a task's memory is bounded; a tile gives its best k
     per query, and the best k of those follow. Every query meets every other row in exactly one tile.
 
-    Left out, as query and as candidate: null ids, null vectors, vectors with a null or non-finite component. Several rows
-    with one id count once (the smallest vector). Vectors of another length than the query's are no candidates. Queries
-    without candidates, and empty tables, give no rows.
+    Left out, as query and as candidate: null ids, null vectors, vectors with a null or non-finite component. Rows with one
+    id are all candidates; where they are queries, the best k of all their pairs count. Vectors of another length than the
+    query's are no candidates. Very long vectors only take more memory in their tile. Queries without candidates, and empty tables,
+    give no rows. Where components are so large that doubles do not hold every sum exactly, a tile is scored in whole
+    numbers of any size, without bounds, and scores end at bigint's range.
     """
-    known = written(vectors(rows, scale), "vectors")
+    # Tiles are dealt by a number of the row, so that many rows with one id are dealt too.
+    numbered = vectors(rows, scale).withColumn("number", F.monotonically_increasing_id())
+    known = written(numbered, "vectors")
     n, n_queries = known.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    across = max(1, -(-n // CANDIDATES), min(n // 1024, 12))
+    across = max(1, -(-n // CANDIDATES), min(n // 1024, shuffle_partitions(rows.sparkSession)))
     down = max(1, -(-n_queries // QUERIES))
-    place = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    place = lambda parts: F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     candidates = known.withColumn("col", place(across)).withColumn("row", every(down))
     queries = known.filter(is_query).withColumn("row", place(down)).withColumn("col", every(across))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geozone.llm.common import slices
+from geozone.llm.common import shuffle_partitions, slices
 from geozone.session import scratch_path
 
 # Fixed values of the formats.
@@ -29,6 +29,8 @@ MEMBER_BYTES = 8 << 20
 # Bytes of a file that one task scans, and bytes read at a time.
 RANGE_BYTES = 4 << 20
 READ_BYTES = 256 << 10
+# Tasks that read ranges, for each partition of a shuffle.
+RANGE_TASKS = 16
 
 
 def digest(payload: bytes) -> str:
@@ -241,7 +243,8 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     Files are cut into ranges of `range_bytes`; a task reads its range and what its last record needs beyond it, so one large
     file is read by many tasks, and each record by the task in whose range it starts. `payload_bytes` and `payload_digest`
     are those of the full payload: taken from the payload where the record has it, which must agree with the record's
-    header, and from the headers of a revisit. Without `payloads` the payload itself is left out (null).
+    header, and from the headers of a revisit. Without `payloads` the payload itself is left out (null). The files are listed once ahead, to count
+    the ranges; each has a task of its own, up to RANGE_TASKS times the partitions of a shuffle.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     ranges = files.withColumn("start", F.explode(F.expr(f"sequence(0L, length, {range_bytes}L)"))).filter("start < length")
@@ -275,7 +278,9 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                     if held:
                         yield _rows(held, names)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORD)
+    # Ranges are short rows that stand for much work: without a number of partitions all of them would be put into one.
+    n = max(1, min(ranges.count(), RANGE_TASKS * shuffle_partitions(spark)))
+    return ranges.repartition(n).mapInArrow(run, RECORD)
 
 
 def _rows(held: list[tuple], names: list[str]) -> pa.RecordBatch:

@@ -14,17 +14,17 @@ def frame(spark, rows):
 
 
 def brute(rows, k):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             whole = [math.floor(256 * float(np.float32(x))) for x in v]
-            good[i] = min(good.get(i, whole), whole)
-    out = []
-    for q, x in good.items():
+            good.append((i, whole))
+    found = {}
+    for q, x in good:
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in good.items() if i != q and len(x) == len(y))
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
-    return sorted(out)
+            scored = [(-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in good if i != q and len(x) == len(y)]
+            found.setdefault(q, []).extend(scored)
+    return sorted((q, r, i, -s) for q, scored in found.items() for r, (s, i) in enumerate(sorted(scored)[:k], 1))
 
 
 def run(spark, rows, k=5):
@@ -52,6 +52,11 @@ def test_components_beyond_exact_doubles(spark):
     assert run(spark, rows) == brute(rows, 5)
 
 
+def test_rows_with_one_id_all_count(spark):
+    rows = [(0, [1.0]), (1, [0.5]), (1, [0.9]), (2, [0.5])]
+    assert run(spark, rows) == brute(rows, 5) == [(0, 1, 1, 58_880), (0, 2, 1, 32_768), (0, 3, 2, 32_768)]
+
+
 def test_few_and_no_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(0, [1.0])]) == []

@@ -106,3 +106,13 @@ def test_header_lines_of_any_length(spark):
     rows = [(i, u, f"<p>{i}</p>") for i, u in enumerate(urls)]
     got = W.archive(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got) == [(i, 8, "response") for i in range(5)]
+
+
+def test_several_tasks_read(spark, tmp_path):
+    """The records of one archive come from as many tasks as it has ranges with records, each record once."""
+    path = str(tmp_path / "archive")
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    W.write_archives(W.with_revisits(pages.coalesce(1), 0), path)
+    found = W.read_archives(spark, path, range_bytes=16 << 10).withColumn("task", F.spark_partition_id())
+    assert found.count() == 400
+    assert found.select("task").distinct().count() >= 4
