@@ -49,11 +49,11 @@ class Forward:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0) - 1
-        # Sizes of the pieces that end with two letters.
+        # Sizes of the pieces that end with three letters.
         sizes: dict[str, set[int]] = {}
         for piece in scores:
-            if len(piece) > 1:
-                sizes.setdefault(piece[-2:], set()).add(len(piece))
+            if len(piece) > 2:
+                sizes.setdefault(piece[-3:], set()).add(len(piece))
         self.sizes = {k: sorted(v) for k, v in sizes.items()}
         self.known: dict[str, int] = {}
         self.start()
@@ -72,13 +72,23 @@ class Forward:
             best = (score + size * self.byte, count - size)
         else:
             best = (score + own, count - 1)
-        for size in self.sizes.get(word[end - 2 : end], ()) if end > 1 else ():
+        if end < 2:
+            return best
+        own = self.scores.get(word[end - 2 : end])
+        if own is not None:
+            score, count = before[-2]
+            found = (score + own, count - 1)
+            if found > best:
+                best = found
+        for size in self.sizes.get(word[end - 3 : end], ()) if end > 2 else ():
             if size > end:
                 break
             own = self.scores.get(word[end - size : end])
             if own is not None:
                 score, count = before[-size]
-                best = max(best, (score + own, count - 1))
+                found = (score + own, count - 1)
+                if found > best:
+                    best = found
         return best
 
     def total(self, words: list[str]) -> int:
