@@ -54,7 +54,7 @@ def best_zone(
         offered = candidates.select(F.col("zone").alias("to_zone")).distinct()
         pairs = pairs.join(offered, "to_zone", "left_semi")
     zones = F.sort_array(F.collect_set("zone"))
-    groups = deps.select(*by, "grp", "zone").distinct().groupBy(*by, "grp").agg(zones.alias("zones"))
+    groups = deps.groupBy(*by, "grp").agg(zones.alias("zones"))
     # The lengths are part of the text, so that different sets have different texts.
     named = F.transform("zones", lambda z: F.concat(F.length(z).cast("string"), F.lit(":"), z))
     groups = groups.withColumn("set", F.md5(F.concat_ws(",", named))).withColumn("size", F.size("zones"))
