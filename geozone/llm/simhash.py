@@ -310,13 +310,29 @@ def rare_part(hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.nda
     return hashes[np.lexsort((hashes, times))[:keep]]
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """PARITY bits of a set: bit k tells if an odd number of hashes is k modulo PARITY. Two sets that are not the same
+def parity(hashes: np.ndarray, bits: int = PARITY) -> bytes:
+    """`bits` bits of a set: bit k tells if an odd number of hashes is k modulo `bits`. Two sets that are not the same
     in d hashes differ in d bits at most."""
-    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def wide_bits(size: int) -> int:
+    """Bits of a set's wide parity: a power of two, at least four for each hash, so that few differences cancel out."""
+    return max(PARITY, 1 << (4 * size - 1).bit_length()) if size else PARITY
+
+
+def differing(one: bytes, other: bytes) -> int:
+    """Bits in which two parities differ, the wider one folded to the width of the other: a lower bound on the hashes that
+    only one of the two sets has."""
+    a, b = np.frombuffer(one, "<u8"), np.frombuffer(other, "<u8")
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles met in several of about SAMPLE texts of (doc_id, text), and how often. The order of `rare_part`
     is made from them, so they change how many candidates there are, not which pairs are found."""
@@ -337,12 +353,12 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFrame:
-    """(node, fp, size, parity, rare) of the set of shingles of each of `texts` (doc_id, text)."""
+    """(node, fp, size, parity, wide, rare) of the set of shingles of each of `texts` (doc_id, text)."""
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps, sizes, odd, rare = [], [], [], []
+            fps, sizes, odd, wide, rare = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 runs = list(dict.fromkeys(shingles(text, words)))
                 first = hashed(runs)
@@ -350,12 +366,14 @@ def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFr
                 first = np.unique(first)
                 sizes.append(len(first))
                 odd.append(parity(first))
+                wide.append(parity(first, wide_bits(len(first))))
                 rare.append(rare_part(first, least, common.value).view(np.int64))
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            made = [pa.array(c, kind) for c, kind in zip([fps, sizes, odd, rare], kinds, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), *made], names=["node", "fp", "size", "parity", "rare"])
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            made = [pa.array(c, kind) for c, kind in zip([fps, sizes, odd, wide, rare], kinds, strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), *made], names=["node", "fp", "size", "parity", "wide", "rare"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "node bigint, fp binary, size bigint, parity binary, rare array<bigint>")
+    schema = "node bigint, fp binary, size bigint, parity binary, wide binary, rare array<bigint>"
+    return texts.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _sharing(part: pa.Table, ends: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
@@ -472,7 +490,8 @@ def near_copies(
     than in the similarity: each document is linked to its closest smaller one within `radius` in every bucket of the
     sampled `tables`. That finds most pairs, not all. Then all pairs of different groups that share one of their rare
     shingles (`sharing_links`) and whose sizes and parities allow `least` are candidates, whatever their fingerprints.
-    Every link is checked on the whole texts, so nothing below `least` is ever joined.
+    Every link that joins is checked on the whole texts, so nothing below `least` is ever joined; links between documents that
+    others join already are not. Very long texts are one text like others, with a parity as wide as they need.
 
     Null and empty texts are equal texts. Rows with a null doc_id are left out. Rows with the same doc_id and
     different texts are one document, compared by the text with the smallest digest. No rows give no rows.
@@ -486,23 +505,65 @@ def near_copies(
     whole = written(prints.join(firsts, ["doc_id", "text_digest"]).dropDuplicates(["doc_id", "text_digest"]), "near-texts")
     prints = written(set_prints(whole, words, lanes, least), "near-prints")
     found = candidate_links(prints.select("node", "fp"), radius, sampled_tables(tables, key_bits, 64 * lanes), nearest=True)
-    roots = components(_verified(whole, written(found, "near-links"), words, least), "near-groups")
+    roots = components(_verified(whole, prints, written(found, "near-links"), words, least), "near-groups")
     more = written(sharing_links(prints, roots, least), "near-more")
-    links = roots.toDF("a", "b").unionByName(_verified(whole, more, words, least))
+    links = roots.toDF("a", "b").unionByName(_verified(whole, prints, more, words, least))
     roots = components(links, "near-groups")
     placed = ids.join(first, "text_digest").join(roots, "node", "left")
     return placed.select("doc_id", "text_digest", F.coalesce("root", "node").alias("component_id"))
 
 
-def _verified(whole: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
-    """The links whose texts have a similarity of `least` or more."""
+def _verified(whole: DataFrame, prints: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
+    """Links whose texts have a similarity of `least` or more: not all such of `links`, but enough to join the same documents.
+
+    Wide parities leave out nearly all links below `least` before a text is moved. Of the others each document's most alike partner
+    comes first; what these join needs no further look, and all other links between different groups follow.
+    """
+    left = written(_possible(prints, links, least), "near-possible")
+    best = left.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
+    best = written(_alike(whole, written(best, "near-best"), words, least), "near-alike")
+    roots = components(best, "near-joined")
+    grp = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    rest = left.join(grp("a"), "a", "left").join(grp("b"), "b", "left")
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = written(_alike(whole, written(rest, "near-rest"), words, least), "near-alike")
+    return best.unionByName(rest)
+
+
+def _possible(prints: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """(a, b, apart) of the links that sizes and wide parities allow; `apart` is the bound on the hashes that only one has,
+    as a part of both sizes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a"):
-            pairs = zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
-            keep = [similarity(one, other, words) >= least for one, other in pairs]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = whole.select("doc_id", "text")
-    pairs = links.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+        for batch in slices(batches, "wide_a"):
+            odd = zip(batch.column("wide_a").to_pylist(), batch.column("wide_b").to_pylist(), strict=True)
+            apart = np.fromiter((differing(one, other) for one, other in odd), np.int64, batch.num_rows)
+            a, b = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
+            open_ = ((1 + least) * apart <= (1 - least) * (a + b) + 1e-6) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9)
+            out = [batch.column("a"), batch.column("b"), pa.array(apart / np.maximum(a + b, 1))]
+            yield pa.record_batch(out, names=["a", "b", "apart"]).filter(pa.array(open_))
+
+    own = prints.select("node", "size", "wide")
+    pairs = links.join(own.toDF("a", "size_a", "wide_a"), "a").join(own.toDF("b", "size_b", "wide_b"), "b")
+    return pairs.mapInArrow(run, "a bigint, b bigint, apart double")
+
+
+def _alike(whole: DataFrame, pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """The `pairs` (a, b; distinct) whose whole texts have a similarity of `least` or more. Each text goes once to each of its pairs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in slices(batches):
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                if held and held[:2] == row[:2]:
+                    if similarity(held[2], row[2], words) >= least:
+                        found.append(row[:2])
+                    held = None
+                else:
+                    held = row
+            yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    met = ends.join(whole.select("doc_id", "text"), "doc_id").select("a", "b", "text")
+    return met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a bigint, b bigint")
