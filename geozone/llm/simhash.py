@@ -271,7 +271,8 @@ def candidate_links(
     task compares alone, so no bucket has to fit into a task and none is cut short.
     """
     keyed = bucketed(nodes, tables)
-    large = keyed.groupBy("key").count().filter(F.col("count") > tile)
+    # Few keys at most: written, they are known to be small, and the rows are dealt once.
+    large = written(keyed.groupBy("key").count().filter(F.col("count") > tile), "bucket-sizes")
     together = _dealt(keyed.join(large, "key", "left"), "fp", tile, ["node", "fp"], ["node"])
     run = lambda batches: _bucket_links(batches, lambda part, ends: _compare(part, ends, radius, nearest))
     return together.mapInArrow(run, "a bigint, b bigint").distinct()
