@@ -29,19 +29,40 @@ _BELOW = np.array([(1 << k) - 1 for k in range(65)], dtype=np.uint64)
 # --- fingerprints -------------------------------------------------------------------------------------------
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    """All runs of `words` words, repeats included; a shorter text is one run, one without words has none.
-
-    Only A-Z are lower-cased; words are parted by the six ASCII space characters.
-    """
+def runs_of(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words of `text`, joined by spaces, with the starts and ends of all runs of `words` words; a shorter text is one run,
+    one without words has none. Only A-Z are lower-cased; words are parted by the six ASCII space characters."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(found) <= words:
-        return [b" ".join(found)] if found else []
     joined = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(size + 1) - 1
+    if len(found) <= words:
+        return joined, np.zeros(min(1, len(found)), np.int64), ends[-1:]
     starts = ends - size
-    return [joined[a:b] for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=False)]
+    return joined, starts[: len(found) - words + 1], ends[words - 1 :]
+
+
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """All runs of `words` words, repeats included; see `runs_of`."""
+    joined, starts, ends = runs_of(text, words)
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def set_hashes(text: str | None, words: int, lanes: int = 1) -> list[np.ndarray]:
+    """Hashes of the distinct shingles in each lane, in the order of the first lane's. Shingles are distinct if their hashes are;
+    no more than a slice of them stands beside the text."""
+    joined, starts, ends = runs_of(text, words)
+    out = []
+    for lane in range(lanes):
+        own = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), 16384):
+            part = zip(starts[at : at + 16384].tolist(), ends[at : at + 16384].tolist(), strict=True)
+            own[at : at + 16384] = hashed([joined[a:b] for a, b in part], lane)
+        if not lane:
+            own, first = np.unique(own, return_index=True)
+            starts, ends = starts[first], ends[first]
+        out.append(own)
+    return out
 
 
 def fingerprint(text: str | None, words: int, lanes: int = 1) -> bytes:
@@ -341,7 +362,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                hashes = np.unique(hashed(list(set(shingles(text, words)))))
+                hashes = set_hashes(text, words)[0]
                 yield pa.record_batch([pa.array(hashes.view(np.int64))], names=["hash"])
 
     share = max(1, texts.count() // SAMPLE)
@@ -361,10 +382,9 @@ def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFr
         for batch in slices(batches):
             fps, sizes, odd, wide, rare = [], [], [], [], []
             for text in batch.column("text").to_pylist():
-                runs = list(dict.fromkeys(shingles(text, words)))
-                first = hashed(runs)
-                fps.append(b"".join([majority(first), *(majority(hashed(runs, lane)) for lane in range(1, lanes))]))
-                first = np.unique(first)
+                own = set_hashes(text, words, lanes)
+                fps.append(b"".join(map(majority, own)))
+                first = own[0]
                 sizes.append(len(first))
                 odd.append(parity(first))
                 wide.append(parity(first, wide_bits(len(first))))

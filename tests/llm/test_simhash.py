@@ -167,3 +167,23 @@ def test_near_copies_beside_closer_looking_texts(spark, docs_of):
         want[len(rows) - 1] = first
     got = {r.doc_id: r.component_id for r in S.near_copies(docs_of(rows)).collect()}
     assert {i: got[i] for i in want} == want
+
+
+def test_wide_parities_never_exceed_the_difference_of_two_sets():
+    rng = np.random.default_rng(21)
+    for n, m, shared in [(0, 0, 0), (0, 5, 0), (300, 300, 290), (300, 300, 150), (5000, 4000, 3900), (9000, 300, 300)]:
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        one, other = pool[:n], np.concatenate([pool[:shared], pool[n : n + m - shared]])
+        apart = len(np.setxor1d(one, other))
+        got = S.differing(S.parity(one, S.wide_bits(len(one))), S.parity(other, S.wide_bits(len(other))))
+        assert got <= apart and got % 2 == apart % 2
+        if n == m == 300:
+            assert got > 0.7 * apart
+
+
+def test_set_hashes_are_those_of_the_distinct_shingles():
+    for text in [None, "", " \n", "one", "a b c d e", "A b  c d e f", "a b " * 40_000, *texts()[:20]]:
+        distinct = list(dict.fromkeys(S.shingles(text, 5)))
+        own = S.set_hashes(text, 5, 3)
+        for lane, hashes in enumerate(own):
+            assert sorted(hashes.tolist()) == sorted(S.hashed(distinct, lane).tolist())
