@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -387,11 +389,18 @@ def all_spans(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Spa
     out = []
     for text, more in zip(texts, decode(field, texts), strict=True):
         base = base_spans(text)
-        new = [s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
-        out.append((base, in_order([*base, *new])))
+        out.append((base, in_order([*base, *apart_from(base, more)])))
     return out
 
 
+def apart_from(base: list[Span], more: list[Span]) -> list[Span]:
+    """Those of `more` that overlap none of `base`: no span that starts before their end reaches beyond their start."""
+    by_start = sorted(base, key=lambda b: b[1])
+    starts, reach = [b[1] for b in by_start], list(accumulate((b[2] for b in by_start), max))
+    before = [bisect_left(starts, s[2]) for s in more]
+    return [s for s, k in zip(more, before, strict=True) if not k or reach[k - 1] <= s[1]]
+
+
 # --- operators ----------------------------------------------------------------------------------------------
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"

@@ -132,3 +132,17 @@ def test_query_and_redaction(spark, docs_of, field):
 
 def test_overlapping_spans_are_redacted_once():
     assert D.redacted("ab 12345 cd", [("phone", 3, 6), ("card", 4, 8)]) == "ab [PHONE] cd"
+
+
+def test_added_spans_overlap_no_base_span_and_take_no_longer_for_long_texts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 40):
+        for _ in range(200):
+            starts = rng.integers(0, 120, (2, n))
+            base, more = ([("ip", int(a), int(a + k)) for a, k in zip(own, rng.integers(1, 12, n), strict=True)] for own in starts)
+            plain = [s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)]
+            assert D.apart_from(base, more) == plain
+            assert D.apart_from([], more) == more
+    base = [("ip", 40 * k, 40 * k + 9) for k in range(200_000)]
+    more = [("email", 40 * k + 20, 40 * k + 30) for k in range(200_000)]
+    assert D.apart_from(base, more) == more
