@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Text bytes that a Python worker handles at a time. A single longer text is handled alone.
 SLICE_BYTES = 8 << 20
+# Only some C libraries have it; elsewhere freed memory stays with the worker.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Returns what the process has freed to the system. Workers outlive their tasks, so the most that one stage needed would
+    otherwise stay with them beside what the next stages need."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each has about `limit` bytes of `column`: memory does not follow the row count."""
     for batch in batches:
@@ -32,6 +43,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(start, end - start)
+        give_back()
 
 
 def gathered(batches: Iterable[pa.RecordBatch], rows: int, limit: int = 64 << 20) -> Iterator[pa.Table]:
@@ -45,6 +57,8 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int, limit: int = 64 << 20
             held, n, size = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    give_back()
 
 
 def fixed_words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
