@@ -356,7 +356,7 @@ def differing(one: bytes, other: bytes) -> int:
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles met in several of about SAMPLE texts of (doc_id, text), and how often. The order of `rare_part`
+    """Hashes of shingles met in several of about SAMPLE of `texts` (text), and how often. The order of `rare_part`
     is made from them, so they change how many candidates there are, not which pairs are found."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +366,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
                 yield pa.record_batch([pa.array(hashes.view(np.int64))], names=["hash"])
 
     share = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
     counts = some.mapInArrow(run, "hash bigint").groupBy("hash").count().filter("count > 2")
     found = counts.orderBy(F.desc("count"), "hash").limit(COMMON).collect()
     known = np.array([r["hash"] for r in found], np.int64).view(np.uint64)
@@ -375,7 +375,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFrame:
-    """(node, fp, size, parity, wide, rare) of the set of shingles of each of `texts` (doc_id, text)."""
+    """(node, fp, size, parity, wide, rare) of the set of shingles of each of `texts` (node, text)."""
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,10 +391,10 @@ def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFr
                 rare.append(rare_part(first, least, common.value).view(np.int64))
             kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             made = [pa.array(c, kind) for c, kind in zip([fps, sizes, odd, wide, rare], kinds, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), *made], names=["node", "fp", "size", "parity", "wide", "rare"])
+            yield pa.record_batch([batch.column("node"), *made], names=["node", "fp", "size", "parity", "wide", "rare"])
 
     schema = "node bigint, fp binary, size bigint, parity binary, wide binary, rare array<bigint>"
-    return texts.select("doc_id", "text").mapInArrow(run, schema)
+    return texts.select("node", "text").mapInArrow(run, schema)
 
 
 def _sharing(part: pa.Table, ends: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
@@ -503,35 +503,38 @@ def near_copies(
     tables: int = 48,
     key_bits: int = 16,
 ) -> DataFrame:
-    """(doc_id, text_digest, component_id) for every distinct (doc_id, text) of `docs` with a doc_id.
+    """(doc_id, text_digest, component_id, first) for every distinct (doc_id, text) of `docs`.
 
     Documents are one group where a chain of pairs with a Jaccard similarity of `least` or more over shingles of
     `words` words joins them; no such pair is lost. Equal texts are one node. Groups are first drawn together by wide
     fingerprints (`lanes` x 64 bits) of the distinct shingles, so a line repeated in one of two copies weighs no more there
-    than in the similarity: each document is linked to its closest smaller one within `radius` in every bucket of the
+    than in the similarity: each node is linked to its closest smaller one within `radius` in every bucket of the
     sampled `tables`. That finds most pairs, not all. Then all pairs of different groups that share one of their rare
     shingles (`sharing_links`) and whose sizes and parities allow `least` are candidates, whatever their fingerprints.
     Every link that joins is checked on the whole texts, so nothing below `least` is ever joined; links between documents that
     others join already are not. Very long texts are one text like others, with a parity as wide as they need.
 
-    Null and empty texts are equal texts. Rows with a null doc_id are left out. Rows with the same doc_id and
-    different texts are one document, compared by the text with the smallest digest. No rows give no rows.
+    `component_id` is the smallest doc_id of the group, null if none of its rows has one; `first` is true for one row of each
+    group, that with the smallest doc_id, then the smallest digest. Null and empty texts are equal texts. Rows with a
+    null doc_id take part, and so does each text of rows with the same doc_id. No rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
-    ids = docs.select("doc_id", text_digest().alias("text_digest")).distinct()
-    ids = written(ids, "near-ids")
-    first = ids.groupBy("text_digest").agg(F.min("doc_id").alias("node"))
-    prints = docs.select("doc_id", "text", text_digest().alias("text_digest"))
-    firsts = first.groupBy(F.col("node").alias("doc_id")).agg(F.min("text_digest").alias("text_digest"))
-    whole = written(prints.join(firsts, ["doc_id", "text_digest"]).dropDuplicates(["doc_id", "text_digest"]), "near-texts")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_digest().alias("text_digest"))
+    ids = written(docs.select("doc_id", "text_digest").distinct(), "near-ids")
+    # Written, so that a text keeps its number.
+    whole = docs.select("text_digest", "text").dropDuplicates(["text_digest"]).withColumn("node", F.monotonically_increasing_id())
+    whole = written(whole, "near-texts")
     prints = written(set_prints(whole, words, lanes, least), "near-prints")
     found = candidate_links(prints.select("node", "fp"), radius, sampled_tables(tables, key_bits, 64 * lanes), nearest=True)
     roots = components(_verified(whole, prints, written(found, "near-links"), words, least), "near-groups")
     more = written(sharing_links(prints, roots, least), "near-more")
     links = roots.toDF("a", "b").unionByName(_verified(whole, prints, more, words, least))
     roots = components(links, "near-groups")
-    placed = ids.join(first, "text_digest").join(roots, "node", "left")
-    return placed.select("doc_id", "text_digest", F.coalesce("root", "node").alias("component_id"))
+    grouped = whole.select("node", "text_digest").join(roots, "node", "left").select("text_digest", F.coalesce("root", "node").alias("grp"))
+    placed = written(ids.join(grouped, "text_digest"), "near-placed")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_digest")
+    least_row = placed.groupBy("grp").agg(F.min(order).alias("least_row"))
+    first = order.eqNullSafe(F.col("least_row"))
+    return placed.join(least_row, "grp").select("doc_id", "text_digest", F.col("least_row.doc_id").alias("component_id"), first.alias("first"))
 
 
 def _verified(whole: DataFrame, prints: DataFrame, links: DataFrame, words: int, least: float) -> DataFrame:
@@ -585,6 +588,6 @@ def _alike(whole: DataFrame, pairs: DataFrame, words: int, least: float) -> Data
                     held = row
             yield pa.record_batch([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    met = ends.join(whole.select("doc_id", "text"), "doc_id").select("a", "b", "text")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    met = ends.join(whole.select("node", "text"), "node").select("a", "b", "text")
     return met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "a bigint, b bigint")

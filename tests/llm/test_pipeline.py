@@ -59,7 +59,8 @@ def test_language_rejects_nothing_for_want_of_labels(spark):
 def test_near_duplicates_keeps_one_of_each_group(spark):
     base = prose(1, 400)
     near = base.replace(base.split()[200], "edit")
-    rows = [(7, base, "en"), (3, near, "en"), (9, base, "fr"), (5, prose(2, 400), "en"), (6, prose(3, 5), "en"), (None, base, "en"), (5, prose(2, 400), "en")]
+    rows = [(7, base, "en"), (3, near, "en"), (9, base, "fr"), (5, prose(2, 400), "en"), (6, prose(3, 5), "en"), (None, base, "en"), (5, prose(2, 400), "en"), (5, base, "en")]
+    rows += [(None, prose(7, 90), "en"), (None, prose(7, 90), "en"), (None, prose(7, 90) + " more", "en")]
     got = C.near_duplicates(spark, docs_of(spark, rows), SF).collect()
     assert sorted(str(r.doc_id) for r in got) == ["3", "5", "6", "None"]
     assert {r.text for r in got if r.doc_id == 3} == {near}

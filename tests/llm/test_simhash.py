@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -108,10 +109,24 @@ def test_near_copies_join_only_similar_texts(spark, docs_of):
     least = {}
     for i, g in enumerate(groups):
         least.setdefault(g, i)
-    assert got == {i: least[g] for i, g in enumerate(groups)}
+    assert got == {i: least[g] for i, g in enumerate(groups)} | {None: least[201]}
     assert S.near_copies(docs_of([])).collect() == []
 
 
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    words = [f"t{x}" for x in np.random.default_rng(31).integers(0, 50_000, 900)]
+    one, two, three = (" ".join(words[k : k + 300]) for k in (0, 300, 600))
+    rows = [(5, one), (5, two), (5, one), (8, two + " end"), (None, one + " end"), (None, three), (None, three), (None, three + " end"), (9, None), (9, "")]
+    got = S.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), tables=4).collect()
+    text = {hashlib.sha256((t or "").encode()).hexdigest(): t or "" for _, t in rows}
+    assert sorted((str(r.doc_id), text[r.text_digest], str(r.component_id)) for r in got) == sorted(
+        [("5", one, "5"), ("5", two, "5"), ("8", two + " end", "5"), ("None", one + " end", "5"), ("None", three, "None"), ("None", three + " end", "None"), ("9", "", "9")]
+    )
+    first = sorted((str(r.doc_id), text[r.text_digest]) for r in got if r.first)
+    last = min((three, three + " end"), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert first == sorted([("5", one), ("5", two), ("9", ""), ("None", last)])
+
+
 def test_near_copies_with_a_line_repeated_in_one_of_them(spark, docs_of):
     rng = np.random.default_rng(8)
     rows = []
