@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from inspect import signature
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,33 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each has about `limit` bytes of `column`: memory does not follow the row count."""
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(owner: Hashable, make: Callable[[], Any]) -> Any:
+    """What an earlier task of the same query, its `owner`, made on this Python worker, or else made now."""
+    forget(owner)
+    if owner not in _kept:
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def forget(owner: Hashable = None) -> None:
+    """Drops what other queries than `owner` keep on this worker: workers serve one query after the other."""
+    if _kept.keys() - {owner}:
+        for name in _kept.keys() - {owner}:
+            del _kept[name]
+        give_back()
+
+
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, owner: Hashable = None
+) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that each has about `limit` bytes of `column`: memory does not follow the row count.
+
+    What queries other than `owner` keep on the worker goes first.
+    """
+    forget(owner)
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -48,6 +75,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 
 def gathered(batches: Iterable[pa.RecordBatch], rows: int, limit: int = 64 << 20) -> Iterator[pa.Table]:
     """Small batches put together to tables of about `rows` rows or `limit` bytes."""
+    forget()
     held, n, size = [], 0, 0
     for batch in batches:
         held.append(batch)
@@ -61,6 +89,25 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int, limit: int = 64 << 20
     give_back()
 
 
+def tidied(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """`run` for groups (key, rows) or pairs of them (key, rows, rows): what the worker kept of other queries goes before, what
+    `run` has freed goes back after."""
+
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        forget()
+        out = run(key, rows)
+        give_back()
+        return out
+
+    def two(key: tuple, rows: pa.Table, others: pa.Table) -> pa.Table:
+        forget()
+        out = run(key, rows, others)
+        give_back()
+        return out
+
+    return two if len(signature(run).parameters) == 3 else one
+
+
 def fixed_words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A binary column whose values all have the same multiple of eight bytes, as rows of little-endian words."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

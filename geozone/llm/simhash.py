@@ -11,17 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geozone.llm.common import fixed_words, gathered, slices
+from geozone.llm.common import fixed_words, gathered, slices, tidied
 from geozone.llm.components import components
 from geozone.session import written
 
 SEED = 42
 # Fingerprints of one bucket that are compared in one tile; larger buckets are dealt over several tiles.
 TILE = 4096
-# Bits of a set's parity; texts that the order of shingles is taken from, and common shingles that it knows.
+# Bits of a set's parity; counters of shingles, and the parts in which they are added up.
 PARITY = 1024
-SAMPLE = 8_192
-COMMON = 20_000
+COUNTERS = 1 << 20
+PARTS = 256
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BELOW = np.array([(1 << k) - 1 for k in range(65)], dtype=np.uint64)
 
@@ -315,21 +315,21 @@ def _dealt(keyed: DataFrame, by: str, tile: int, columns: list[str], order: list
 # --- sets of shingles ---------------------------------------------------------------------------------------
 
 
-def rare_part(hashes: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first of a set's distinct hashes, in an order that all sets share: rare before `common`, then by value.
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.int64) % COUNTERS
+
+
+def rare_part(hashes: np.ndarray, least: float, counts: np.ndarray) -> np.ndarray:
+    """The first of a set's distinct hashes, in an order that all sets share: rare before common by `counts` (see
+    `shingle_counts`), then by value.
 
     Two sets with a similarity of `least` or more share one of these: if all that they share came later, the set whose
     first part ends earlier could share no more than ceil(least * size) - 1. The empty set has the single hash 0.
     """
     if not len(hashes):
         return np.zeros(1, np.uint64)
-    known, count = common
-    times = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        times = np.where(known[at] == hashes, count[at], 0)
     keep = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
-    return hashes[np.lexsort((hashes, times))[:keep]]
+    return hashes[np.lexsort((hashes, counts[counter_of(hashes)]))[:keep]]
 
 
 def parity(hashes: np.ndarray, bits: int = PARITY) -> bytes:
@@ -355,28 +355,37 @@ def differing(one: bytes, other: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
-def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles met in several of about SAMPLE of `texts` (text), and how often. The order of `rare_part`
-    is made from them, so they change how many candidates there are, not which pairs are found."""
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of all `texts` (text) fall to each of COUNTERS counters, each distinct shingle of a text once. A counter is
+    never below the number of texts with one of its shingles. The order of `rare_part` is made from them, so they change how
+    many candidates there are, not which pairs are found. A task adds up its own texts; the sums, of a size that does not
+    follow the input, go through the driver."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(COUNTERS, np.int32)
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                hashes = set_hashes(text, words)[0]
-                yield pa.record_batch([pa.array(hashes.view(np.int64))], names=["hash"])
+                np.add.at(own, counter_of(set_hashes(text, words)[0]), 1)
+        parts = [x.tobytes() for x in own.reshape(PARTS, -1)]
+        yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+    def add(_key: tuple, rows: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTERS // PARTS, np.int64)
+        for own in rows.column("counts"):
+            total += np.frombuffer(own.as_py(), np.int32)
+        return pa.table([rows.column("part")[:1], pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
-    share = max(1, texts.count() // SAMPLE)
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
-    counts = some.mapInArrow(run, "hash bigint").groupBy("hash").count().filter("count > 2")
-    found = counts.orderBy(F.desc("count"), "hash").limit(COMMON).collect()
-    known = np.array([r["hash"] for r in found], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], np.array([r["count"] for r in found], np.int64)[order]
+    schema = "part int, counts binary"
+    added = texts.select("text").mapInArrow(run, schema).groupBy("part").applyInArrow(tidied(add), schema)
+    counts = np.zeros((PARTS, COUNTERS // PARTS), np.int64)
+    for row in added.collect():
+        counts[row["part"]] = np.frombuffer(row["counts"], np.int64)
+    return counts.ravel()
 
 
 def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFrame:
     """(node, fp, size, parity, wide, rare) of the set of shingles of each of `texts` (node, text)."""
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, words))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -388,7 +397,7 @@ def set_prints(texts: DataFrame, words: int, lanes: int, least: float) -> DataFr
                 sizes.append(len(first))
                 odd.append(parity(first))
                 wide.append(parity(first, wide_bits(len(first))))
-                rare.append(rare_part(first, least, common.value).view(np.int64))
+                rare.append(rare_part(first, least, counts.value).view(np.int64))
             kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
             made = [pa.array(c, kind) for c, kind in zip([fps, sizes, odd, wide, rare], kinds, strict=True)]
             yield pa.record_batch([batch.column("node"), *made], names=["node", "fp", "size", "parity", "wide", "rare"])

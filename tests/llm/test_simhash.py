@@ -202,3 +202,23 @@ def test_set_hashes_are_those_of_the_distinct_shingles():
         own = S.set_hashes(text, 5, 3)
         for lane, hashes in enumerate(own):
             assert sorted(hashes.tolist()) == sorted(S.hashed(distinct, lane).tolist())
+
+
+def test_shingles_of_all_texts_are_counted(spark):
+    rows = spark.range(17_000).selectExpr("id AS doc_id", "concat('every text ', id, ' and ', id % 7, IF(id = 9, '', ' of it')) AS text")
+    counts = S.shingle_counts(rows, 5)
+    true = {}
+    for r in rows.collect():
+        for h in S.set_hashes(r.text, 5)[0].tolist():
+            true[h] = true.get(h, 0) + 1
+    want = np.zeros(S.COUNTERS, np.int64)
+    np.add.at(want, S.counter_of(np.array(list(true), np.uint64)), list(true.values()))
+    assert np.array_equal(counts, want) and counts.sum() == sum(true.values()) > 17_000
+    assert not S.shingle_counts(rows.filter("id < 0"), 5).any()
+
+
+def test_rare_shingles_come_before_common_ones():
+    hashes = np.random.default_rng(4).integers(0, 1 << 63, 40, dtype=np.uint64)
+    counts = np.zeros(S.COUNTERS, np.int64)
+    counts[S.counter_of(hashes[:30])] = 5
+    assert set(S.rare_part(np.unique(hashes), 0.8, counts)) <= set(hashes[30:])
