@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geozone.llm.common import slices
+from geozone.llm.common import kept, slices
 
 # Nodes of a trie, and words whose counts are remembered, before a task starts anew.
 NODES = 400_000
@@ -124,17 +124,6 @@ class Forward:
         return -before[-1][1]
 
 
-_kept: dict[str, Forward] = {}
-
-
-def kept_forward(name: str, scores: dict[str, int]) -> Forward:
-    """The state of an earlier task of the same query on this Python worker, if there was one: words counted once stay counted."""
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Forward(scores)
-    return _kept[name]
-
-
 def token_counts(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row of `docs` (doc_id, text; other columns are not read).
 
@@ -146,8 +135,8 @@ def token_counts(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forward = kept_forward(name, shared.value)
-        for batch in slices(batches):
+        forward = kept(name, lambda: Forward(shared.value))
+        for batch in slices(batches, owner=name):
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
                 found = (text or "").split()

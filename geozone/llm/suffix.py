@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geozone.llm.common import tidied
 
 LENGTH = 50
 # Strings that share an anchor at most (a power of two), and the anchor's length.
@@ -187,7 +188,7 @@ def _send_anchors(parts: int, length: int):
     return run
 
 
-def _repeated(rows: pa.Table) -> pa.Table:
+def _repeated(_key: tuple, rows: pa.Table) -> pa.Table:
     """The anchors of a part that occur in more than one document, for each slice."""
     slices, bodies = rows.column("slice").to_pylist(), rows.column("body").to_pylist()
     part = rows.column("part")[0].as_py()
@@ -292,7 +293,7 @@ class Family:
 
 
 def _smallest(length: int):
-    def run(rows: pa.Table) -> pa.Table:
+    def run(_key: tuple, rows: pa.Table) -> pa.Table:
         """For each piece of a part, the smallest document of each of its strings.
 
         Equal strings have the same anchor. So if all pieces around an anchor are equal, their strings start nowhere else, and
@@ -400,11 +401,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: list[str] | Non
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices, parts = -(-total // SLICE) or 1, -(-total // PART) or 1
     sliced = docs.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices).cast("bigint")))
-    anchors = sliced.groupBy("slice").applyInArrow(_send_anchors(parts, length), MESSAGE)
-    repeated = anchors.groupBy("part").applyInArrow(_repeated, MESSAGE)
-    pieces = sliced.groupBy("slice").cogroup(repeated.groupBy("slice")).applyInArrow(_send_pieces(parts, length), MESSAGE)
-    smallest = pieces.groupBy("part").applyInArrow(_smallest(length), MESSAGE)
+    anchors = sliced.groupBy("slice").applyInArrow(tidied(_send_anchors(parts, length)), MESSAGE)
+    repeated = anchors.groupBy("part").applyInArrow(tidied(_repeated), MESSAGE)
+    pieces = sliced.groupBy("slice").cogroup(repeated.groupBy("slice")).applyInArrow(tidied(_send_pieces(parts, length)), MESSAGE)
+    smallest = pieces.groupBy("part").applyInArrow(tidied(_smallest(length)), MESSAGE)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
     schema = ", ".join([*kinds, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"])
     met = sliced.groupBy("slice").cogroup(smallest.groupBy("slice"))
-    return met.applyInArrow(_remove(parts, length, names, texts), schema)
+    return met.applyInArrow(tidied(_remove(parts, length, names, texts)), schema)

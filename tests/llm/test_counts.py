@@ -2,8 +2,9 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from geozone.llm import counts
+from geozone.llm import common, counts
 
 
 def brute(word, scores):
@@ -63,3 +64,18 @@ def test_real_vocabulary_and_empty_table(spark, docs_of):
     got = {r.doc_id: r.n_tokens for r in counts.token_counts(docs_of(texts), scores).collect()}
     assert got == {i: sum(brute("▁" + w, scores) for w in t.split()) for i, t in enumerate(texts)}
     assert counts.token_counts(docs_of([]), scores).collect() == []
+
+
+def test_a_worker_keeps_only_what_its_own_query_left():
+    made = []
+    forward = lambda name: common.kept(name, lambda: made.append(name) or name)
+    batch = pa.record_batch([pa.array(["a"])], names=["text"])
+    for owner in ("one", "one", None, "one", "two", "one"):
+        if owner:
+            forward(owner)
+        assert sum(b.num_rows for b in common.slices([batch], owner=owner)) == 1
+    assert made == ["one", "one", "two", "one"]
+    common.tidied(lambda key, rows: rows)((), None)
+    forward("one")
+    assert made[-2:] == ["one", "one"]
+    common.forget()
