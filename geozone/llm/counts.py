@@ -17,6 +17,10 @@ NODES = 400_000
 WORDS = 1_000_000
 # Words longer than this share no prefixes worth keeping; they are counted without nodes.
 LONG = 128
+# A millionth of a nat beside tokens: more than the tokens of any word.
+UNIT = 1 << 40
+# Letters of a word that are nodes of the trie. Few words share more, and what follows costs less than a node.
+HEAD = 5
 # The mark of a word's start, as in the vocabulary.
 START = "▁"
 
@@ -39,57 +43,58 @@ def model_pieces(path: str) -> list[str]:
 
 
 class Forward:
-    """Best score and token count of each prefix. A prefix's state depends only on those of its own prefixes.
+    """Best score and token count of each prefix. A prefix's state depends only on those of its own prefixes; prefixes of up to HEAD
+    letters are nodes of a trie, from whose states the words that begin with them go on.
 
     A character that is no piece is taken byte by byte, each byte scored as if it were the last rank but one. Of segmentations with
-    equal scores the one with fewer tokens counts.
+    equal scores the one with fewer tokens counts. A state is one number, score * UNIT - tokens, so the largest is the best.
     """
 
     def __init__(self, scores: dict[str, int]):
-        self.scores = scores
+        self.weights = {piece: score * UNIT - 1 for piece, score in scores.items()}
         self.longest = max(map(len, scores), default=1)
-        self.byte = min(scores.values(), default=0) - 1
-        # Sizes of the pieces that end with three letters.
-        sizes: dict[str, set[int]] = {}
-        for piece in scores:
-            if len(piece) > 2:
-                sizes.setdefault(piece[-3:], set()).add(len(piece))
-        self.sizes = {k: sorted(v) for k, v in sizes.items()}
+        self.byte = (min(scores.values(), default=0) - 1) * UNIT - 1
+        self.beginnings = {piece[:k] for piece in scores for k in range(1, len(piece) + 1)}
         self.known: dict[str, int] = {}
         self.start()
 
     def start(self) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.state: list[tuple[int, int]] = [(0, 0)]
-
-    def step(self, word: str, end: int, before: list[tuple[int, int]]) -> tuple[int, int]:
-        """State of word[:end]; `before` ends with the states of the `longest` prefixes before it, as (score, -count)."""
-        single = word[end - 1]
-        score, count = before[-1]
-        own = self.scores.get(single)
-        if own is None:
-            size = len(single.encode("utf-8", "surrogatepass"))
-            best = (score + size * self.byte, count - size)
-        else:
-            best = (score + own, count - 1)
-        if end < 2:
-            return best
-        own = self.scores.get(word[end - 2 : end])
-        if own is not None:
-            score, count = before[-2]
-            found = (score + own, count - 1)
-            if found > best:
-                best = found
-        for size in self.sizes.get(word[end - 3 : end], ()) if end > 2 else ():
-            if size > end:
-                break
-            own = self.scores.get(word[end - size : end])
-            if own is not None:
-                score, count = before[-size]
-                found = (score + own, count - 1)
+        self.state: list[int] = [0]
+        self.tail: list[str] = [""]
+        self.heads: dict[str, tuple[str, list[int]]] = {}
+        self.met: dict[str, tuple[str, int, list[tuple[int, int]]]] = {}
+
+    def ending(self, tail: str) -> tuple[str, int, list[tuple[int, int]]]:
+        """The longest end of `tail` with which a piece begins, the weight of its last letter alone, and (-size, weight) of the longer
+        pieces that end there. With the tail of the prefix before it and a letter, these are all pieces that end with that letter."""
+        found = self.met.get(tail)
+        if found is None:
+            if len(self.met) > NODES:
+                self.met.clear()
+            end = tail
+            while end and end not in self.beginnings:
+                end = end[1:]
+            single = self.weights.get(tail[-1])
+            if single is None:
+                single = len(tail[-1].encode("utf-8", "surrogatepass")) * self.byte
+            longer = [(-size, self.weights[end[-size:]]) for size in range(2, len(end) + 1) if end[-size:] in self.weights]
+            found = self.met[tail] = end, single, longer
+        return found
+
+    def extend(self, tail: str, letters: str, before: list[int]) -> str:
+        """Appends the states of the prefixes that `letters` make to `before`, which ends with those of the `longest` prefixes before
+        them; `tail` is that of the last of these, and the last one's is given back."""
+        met = self.met
+        for letter in letters:
+            tail, single, longer = met.get(tail + letter) or self.ending(tail + letter)
+            best = before[-1] + single
+            for back, weight in longer:
+                found = before[back] + weight
                 if found > best:
                     best = found
-        return best
+            before.append(best)
+        return tail
 
     def total(self, words: list[str]) -> int:
         """Tokens of all the words, each behind a start mark. Words that were counted before are looked up."""
@@ -104,32 +109,41 @@ class Forward:
             return self.plain(word)
         if len(self.children) > NODES:
             self.start()
-        node, before = 0, [self.state[0]]
-        for end, letter in enumerate(word, 1):
+        tail, before = self.heads.get(word[:HEAD]) or self.head(word[:HEAD])
+        if len(word) > HEAD:
+            before = before.copy()
+            self.extend(tail, word[HEAD:], before)
+        return -before[-1] % UNIT
+
+    def head(self, start: str) -> tuple[str, list[int]]:
+        """Tail of a word's first letters and the states of all their prefixes, which are nodes of the trie."""
+        node, before = 0, [0]
+        for letter in start:
             following = self.children[node].get(letter)
             if following is None:
                 following = self.children[node][letter] = len(self.children)
                 self.children.append({})
-                self.state.append(self.step(word, end, before))
+                self.tail.append(self.extend(self.tail[node], letter, before))
+                self.state.append(before.pop())
             node = following
             before.append(self.state[node])
-        return -self.state[node][1]
+        self.heads[start] = self.tail[node], before
+        return self.heads[start]
 
     def plain(self, word: str) -> int:
-        before = [(0, 0)]
-        for end in range(1, len(word) + 1):
-            before.append(self.step(word, end, before))
-            if len(before) > 4 * self.longest:
-                del before[: -self.longest - 1]
-        return -before[-1][1]
+        tail, before = "", [0]
+        for at in range(0, len(word), LONG):
+            tail = self.extend(tail, word[at : at + LONG], before)
+            del before[: -self.longest - 1]
+        return -before[-1] % UNIT
 
 
 def token_counts(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
     """(doc_id, n_words, n_tokens) for every row of `docs` (doc_id, text; other columns are not read).
 
     Pre-tokens are the runs between white space with a start mark; each is cut into the pieces with the highest sum of
-    `scores`. Within a Python worker the distinct pre-tokens go into a trie, whose nodes hold the state of their prefix, so a
-    prefix is scored once however many words begin with it, and a repeated word is looked up. No shuffle; memory is bounded
+    `scores`. Within a Python worker the distinct pre-tokens go into a trie, whose nodes hold the state of their first HEAD letters, so
+    these are scored once however many words begin with them, and a repeated word is looked up. No shuffle; memory is bounded
     by NODES and WORDS. Null and empty texts count 0. Nothing is cut short: long words only skip the trie.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex

@@ -66,6 +66,15 @@ def test_real_vocabulary_and_empty_table(spark, docs_of):
     assert counts.token_counts(docs_of([]), scores).collect() == []
 
 
+def test_only_the_first_letters_are_nodes():
+    scores = counts.zipf_scores(["a", "b", "ab", "aba", "bab", "bbbbbbb"])
+    rng = np.random.default_rng(6)
+    words = ["ab" * 20, *("".join(rng.choice(list("abc\u00e9"), n)) for n in range(1, 60)), "b" * 127, "b" * 128, "b" * 129, "b" * 400]
+    forward = counts.Forward(scores)
+    assert forward.count(words[0]) and len(forward.children) == 1 + counts.HEAD
+    assert [forward.count(w) for w in words * 2] == [brute(w, scores) for w in words * 2]
+
+
 def test_a_worker_keeps_only_what_its_own_query_left():
     made = []
     forward = lambda name: common.kept(name, lambda: made.append(name) or name)
