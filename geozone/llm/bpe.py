@@ -7,9 +7,11 @@ import json
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -67,30 +69,53 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_unpack(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    """Where each of the pieces with these sizes ends, after a zero."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _coded(texts: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """How many words each text has, the words' places in the list of distinct words, that list, by part and then as met, and where
+    each part ends in it, after a zero. The words stay in Arrow's buffers, without an object for each."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = split.flatten().dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(), coded.dictionary
+    hashes = map(xxhash.xxh32_intdigest, distinct.to_numpy(zero_copy_only=False))
+    part = np.fromiter(hashes, np.int64, len(distinct)) % parts
+    blank = pc.index(distinct, "").as_py()  # met where a text begins or ends with white space, or is empty
+    if blank >= 0:
+        part[blank] = parts
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    filled = codes != blank
+    sizes = np.diff(_ends(filled)[_ends(pc.list_value_length(split).to_numpy())])
+    return sizes, place[codes[filled]], distinct.take(pa.array(order[: cuts[-1]])), cuts
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ..., sizes[0] of them, then those from starts[1], and so on."""
+    return np.repeat(starts - _ends(sizes)[:-1], sizes) + np.arange(sizes.sum())
+
+
 def word_lists(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (batch, part, ids, body): per batch of documents its positions (part -1: doc_ids, word counts, places in the batch's
-    list of distinct words) and its distinct words, by part and then by their bytes."""
+    list of distinct words) and its distinct words, by part and then as they are met."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(slices(batches, limit=BATCH_BYTES)):
-            split = [(t or "").encode("utf-8", "surrogatepass").split() for t in batch.column("text").to_pylist()]
-            distinct = sorted((xxhash.xxh32_intdigest(w) % parts, w) for w in {w for words in split for w in words})
-            place = {w: k for k, (_, w) in enumerate(distinct)}
-            codes = np.fromiter((place[w] for words in split for w in words), np.uint32)
-            sizes = np.fromiter(map(len, split), np.uint32, len(split))
-            rows = [(-1, batch.column("doc_id").to_pylist(), _planes(np.concatenate([sizes, codes])))]
-            part = np.fromiter((p for p, _ in distinct), np.int64, len(distinct))
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            for p in np.unique(part).tolist():
-                words = [w for _, w in distinct[cuts[p] : cuts[p + 1]]]
-                rows.append((p, None, _pack(SEPARATOR.join(words))))
+            sizes, codes, distinct, cuts = _coded(batch.column("text"), parts)
+            lists = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts), distinct), pa.scalar(SEPARATOR.decode(), distinct.type))
+            filled = np.flatnonzero(np.diff(cuts))
+            bodies = [_pack(lists[p].as_buffer()) for p in filled.tolist()]
             yield pa.record_batch(
                 [
-                    pa.array([first + number] * len(rows), pa.int64()),
-                    pa.array([r[0] for r in rows], pa.int32()),
-                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[2] for r in rows], pa.binary()),
+                    pa.array([first + number] * (1 + len(filled)), pa.int64()),
+                    pa.array(np.concatenate([[-1], filled]), pa.int32()),
+                    pa.array([batch.column("doc_id").to_pylist(), *[None] * len(filled)], pa.list_(pa.int64())),
+                    pa.array([_planes(np.concatenate([sizes, codes])), *bodies], pa.binary()),
                 ],
                 names=["batch", "part", "ids", "body"],
             )
@@ -104,60 +129,66 @@ def encode_words(lists: DataFrame, model: str) -> DataFrame:
     shared = lists.sparkSession.sparkContext.broadcast(model)
 
     def run(part: pa.Table) -> pa.Table:
-        lists = [_unpack(x).split(SEPARATOR) for x in part.column("body").to_pylist()]
-        distinct = list({w for words in lists for w in words})
+        bodies = pa.array(map(_unpack, part.column("body").to_pylist()), pa.large_binary())
+        lists = pc.split_pattern(bodies, SEPARATOR)
+        coded = lists.flatten().dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
         encode = tokenizer(shared.value)
-        known: dict[bytes, np.ndarray] = {}
+        found: list[np.ndarray] = []
+        counts: list[int] = []
         for at in range(0, len(distinct), 8192):
-            some = distinct[at : at + 8192]
-            texts = [w.decode("utf-8", "surrogatepass") for w in some]
-            for word, found in zip(some, encode.encode_batch(texts, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, np.uint32)
+            texts = distinct.slice(at, 8192).cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+            ids = [e.ids for e in encode.encode_batch_fast(texts, add_special_tokens=False)]
+            counts += map(len, ids)
+            found.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        size_of = np.array(counts, np.int64)
+        start_of = _ends(size_of)[:-1]
+        all_ids = np.concatenate([np.zeros(0, np.uint32), *found])
         out = []
-        for words in lists:
-            ids = [known[w] for w in words]
-            sizes = np.fromiter(map(len, ids), np.uint32, len(ids))
-            out.append(_planes(np.concatenate([np.array([len(ids)], np.uint32), sizes, *ids])))
+        for own in np.split(codes, _ends(pc.list_value_length(lists).to_numpy())[1:-1]):
+            sizes = size_of[own]
+            out.append(_planes(np.concatenate([[len(own)], sizes, all_ids[_ranges(start_of[own], sizes)]])))
         return pa.table({"batch": part.column("batch"), "part": part.column("part"), "body": pa.array(out, pa.binary())})
 
     return lists.filter("part >= 0").groupBy("part").applyInArrow(run, "batch bigint, part int, body binary")
 
 
+@lru_cache(maxsize=2)
+def _id_texts(model: str) -> list[pa.Array]:
+    """Per id its decimal digits, and its piece, each with a space after it."""
+    found = pieces(model)
+    digits = [b"%d " % i for i in range(len(found))]
+    return [pa.array(texts, pa.large_binary()) for texts in (digits, [p + b" " for p in found])]
+
+
+def _joined(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """Of the values, the first sizes[0] as one, then the next sizes[1], and so on."""
+    offsets = _ends(pc.binary_length(values).to_numpy())[_ends(sizes)]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), values.buffers()[2] or pa.py_buffer(b"")])
+
+
 def _digests(model: str):
     def run(positions: pa.Table, encoded: pa.Table) -> pa.Table:
-        piece = pieces(model.value)
-        id_texts: list[bytes] = []
-        piece_texts: list[bytes] = []
-        counts: list[int] = []
         order = np.argsort(encoded.column("part").to_numpy(), kind="stable")
         bodies = encoded.column("body").to_pylist()
-        for k in order:
-            numbers = _numbers(bodies[k])
-            n = int(numbers[0])
-            ids = numbers[1 + n :].tolist()
-            at = 0
-            for size in numbers[1 : 1 + n].tolist():
-                own = ids[at : at + size]
-                at += size
-                counts.append(size)
-                id_texts.append(b" ".join(b"%d" % i for i in own))
-                piece_texts.append(b" ".join(piece[i] for i in own))
-        size_of = np.array(counts, np.int64)
-        out: list[tuple] = []
+        numbers = [_numbers(bodies[k]) for k in order]
+        none = np.zeros(0, np.uint32)
+        counts = np.concatenate([none, *(x[1 : 1 + x[0]] for x in numbers)]).astype(np.int64)
+        ids = pa.array(np.concatenate([none, *(x[1 + x[0] :] for x in numbers)]))
+        words = [_joined(text_of.take(ids), counts) for text_of in _id_texts(model.value)]
+        tokens: list[int] = []
+        digests: list[list[str]] = [[], []]
         for doc_ids, body in zip(positions.column("ids").to_pylist(), positions.column("body").to_pylist(), strict=True):
             numbers = _numbers(body)
-            ends = len(doc_ids) + np.cumsum(numbers[: len(doc_ids)], dtype=np.int64)
-            for doc_id, start, end in zip(doc_ids, [len(doc_ids), *ends[:-1].tolist()], ends.tolist(), strict=True):
-                codes = numbers[start:end]
-                sizes = size_of[codes] if end > start else size_of[:0]
-                codes = codes[sizes > 0].tolist()
-                ids = hashlib.sha256(b" ".join([id_texts[c] for c in codes])).hexdigest()
-                text = hashlib.sha256(b" ".join([piece_texts[c] for c in codes])).hexdigest()
-                out.append((doc_id, int(sizes.sum()), ids, text))
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            sizes, codes = numbers[: len(doc_ids)].astype(np.int64), numbers[len(doc_ids) :]
+            tokens += np.diff(_ends(counts[codes])[_ends(sizes)]).tolist()
+            for found, text_of in zip(digests, words, strict=True):
+                texts = _joined(text_of.take(pa.array(codes)), sizes)
+                # what follows the last token is no part of the text
+                found += [hashlib.sha256(memoryview(t.as_buffer() or b"")[:-1]).hexdigest() for t in texts]
+        doc_ids = pc.list_flatten(positions.column("ids")).cast(pa.int64())
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        return pa.table([doc_ids, pa.array(tokens, pa.int64()), *(pa.array(d, pa.string()) for d in digests)], names=names)
 
     return run
 

@@ -1,7 +1,11 @@
 import hashlib
 import json
+import sys
+from types import SimpleNamespace
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from geozone.llm import bpe
@@ -51,3 +55,38 @@ def test_many_batches(spark, docs_of, monkeypatch):
 
 def test_empty_table(spark, docs_of):
     assert bpe.encode_decode(docs_of([]), bpe.read_model(PATH)).collect() == []
+
+
+def test_words_of_a_batch_are_not_handled_one_by_one():
+    # Round 3, op8_bpe: a call or two of Python for each word of each batch took most of the time.
+    model = bpe.read_model(PATH)
+    digests = bpe._digests(SimpleNamespace(value=model))
+    n = 5_000
+    codes = np.concatenate([[n, n], np.arange(n), np.arange(n)[::-1]])
+    positions = pa.table({"ids": pa.array([[7, 8]], pa.list_(pa.int64())), "body": [bpe._planes(codes)]})
+    sizes = np.arange(n) % 3
+    ids = np.arange(sizes.sum()) % 40_000
+    encoded = pa.table({"part": pa.array([0], pa.int32()), "body": [bpe._planes(np.concatenate([[n], sizes, ids]))]})
+    digests(positions, encoded)  # reads the model
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = digests(positions, encoded).to_pylist()
+    finally:
+        sys.setprofile(None)
+    own = np.split(ids, np.cumsum(sizes)[:-1])
+    texts = [" ".join(str(i) for w in words for i in w) for words in (own, own[::-1])]
+    assert [(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in got] == [(7, len(ids), sha(texts[0])), (8, len(ids), sha(texts[1]))]
+    assert calls < n
+
+
+def test_white_space_around_words(spark, docs_of):
+    texts = ["  both  sides ", "\n", None, "\t\tbegin", "end\x0c", "é ", " \x85 a", "end begin sides é", "a" * 9_000]
+    rows = [*enumerate(texts), (None, " no id ")]
+    got = bpe.encode_decode(docs_of(rows).coalesce(1), bpe.read_model(PATH)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want(rows)
