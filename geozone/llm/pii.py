@@ -234,12 +234,13 @@ class Field:
         return self.own[shapes] + self.left[before] + self.right[after]
 
     def viterbi(self, shapes: np.ndarray) -> np.ndarray:
-        """The best labels of each row."""
-        emit = self.scores(shapes).astype(np.float32)
+        """The best labels of each row. Scores are made a place at a time: those of all places would be most of a worker's memory."""
         pair = self.pair.astype(np.float32)
         n, size = shapes.shape
+        edge = np.full(n, SHAPES)
+        steps = [edge, *np.ascontiguousarray(shapes.T), edge]
         back = np.zeros((size, n, LABELS), np.int8)
-        best = emit[:, 0] + self.first.astype(np.float32)
+        best = self._emitted(*steps[:3]) + self.first.astype(np.float32)
         for t in range(1, size):
             high, came = best[:, 0, None] + pair[0], np.zeros((n, LABELS), np.int8)
             for label in range(1, LABELS):
@@ -248,13 +249,17 @@ class Field:
                 high = np.where(better, other, high)
                 came[better] = label
             back[t] = came
-            best = high + emit[:, t]
+            best = high + self._emitted(*steps[t : t + 3])
         out = np.empty((n, size), np.int8)
         out[:, -1] = best.argmax(axis=1)
         for t in range(size - 1, 0, -1):
             out[:, t - 1] = back[t][np.arange(n), out[:, t]]
         return out
 
+    def _emitted(self, before: np.ndarray, own: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """`scores` of one place of each row."""
+        return (self.own[own] + self.left[before] + self.right[after]).astype(np.float32)
+
     def fit(self, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, penalty: float = 1e-4) -> Field:
         """Maximum likelihood by Adam; gradients from the forward and backward sums, sequences of a length side by side."""
         groups: dict[int, list] = {}

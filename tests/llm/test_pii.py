@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 from itertools import product
 
 import numpy as np
@@ -75,6 +76,25 @@ def test_viterbi_is_the_best_path(field):
         assert value(tuple(int(x) for x in got[row])) == pytest.approx(value(best), abs=1e-3)
 
 
+def test_viterbi_never_holds_the_scores_of_all_places(field):
+    shapes = np.random.default_rng(6).integers(0, D.SHAPES + 1, (16_384, D.CHUNK + 2 * D.CONTEXT))
+    tracemalloc.start()
+    got = field.viterbi(shapes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.6 * shapes.size * D.LABELS * 8  # less than one table of them, whose sum takes three
+    emit, pair = field.scores(shapes[:20]).astype(np.float32), field.pair.astype(np.float32)
+    for own, labels in zip(emit, got, strict=False):
+        best, back = own[0] + field.first.astype(np.float32), []
+        for row in own[1:]:
+            back.append((best[:, None] + pair).argmax(axis=0))
+            best = (best[:, None] + pair).max(axis=0) + row
+        path = [int(best.argmax())]
+        for came in reversed(back):
+            path.append(int(came[path[-1]]))
+        assert labels.tolist() == path[::-1]
+
+
 def test_gradient_matches_differences():
     rng = np.random.default_rng(0)
     field = D.Field()
