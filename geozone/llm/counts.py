@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,9 +13,12 @@ from pyspark.sql import functions as F
 
 from geozone.llm.common import kept, slices
 
-# Nodes of a trie, and words whose counts are remembered, before a task starts anew.
-NODES = 400_000
-WORDS = 1_000_000
+# Nodes of a trie, words met in several texts and words met in one, whose counts are remembered, before a task starts anew.
+NODES = 100_000
+WORDS = 300_000
+ONCE = 100_000
+# Text bytes that are words at a time: as Python strings they take several times that.
+SLICE_BYTES = 1 << 20
 # Words longer than this share no prefixes worth keeping; they are counted without nodes.
 LONG = 128
 # A millionth of a nat beside tokens: more than the tokens of any word.
@@ -56,6 +60,7 @@ class Forward:
         self.byte = (min(scores.values(), default=0) - 1) * UNIT - 1
         self.beginnings = {piece[:k] for piece in scores for k in range(1, len(piece) + 1)}
         self.known: dict[str, int] = {}
+        self.once: dict[str, int] = {}
         self.start()
 
     def start(self) -> None:
@@ -97,12 +102,23 @@ class Forward:
         return tail
 
     def total(self, words: list[str]) -> int:
-        """Tokens of all the words, each behind a start mark. Words that were counted before are looked up."""
-        if len(self.known) > WORDS:
-            self.known.clear()
-        for word in set(words).difference(self.known):
-            self.known[word] = self.count(START + word)
-        return sum(map(self.known.__getitem__, words))
+        """Tokens of all the words, each behind a start mark. Words that were counted before are looked up.
+
+        Most words are met in one text only. They wait in `once`, and only those met again go to `known`, which so stays small.
+        """
+        known, once, own = self.known, self.once, {}
+        if len(known) > WORDS:
+            known.clear()
+        if len(once) > ONCE:
+            once.clear()
+        for word in set(words).difference(known):
+            found = once.pop(word, None)
+            if found is None:
+                own[word] = self.count(START + word)
+            else:
+                known[word] = found
+        once.update(own)
+        return sum(map(known.get, words, repeat(0))) + sum(map(own.__getitem__, filter(own.__contains__, words)))
 
     def count(self, word: str) -> int:
         if len(word) > LONG:
@@ -144,13 +160,13 @@ def token_counts(docs: DataFrame, scores: dict[str, int]) -> DataFrame:
     Pre-tokens are the runs between white space with a start mark; each is cut into the pieces with the highest sum of
     `scores`. Within a Python worker the distinct pre-tokens go into a trie, whose nodes hold the state of their first HEAD letters, so
     these are scored once however many words begin with them, and a repeated word is looked up. No shuffle; memory is bounded
-    by NODES and WORDS. Null and empty texts count 0. Nothing is cut short: long words only skip the trie.
+    by NODES, WORDS, ONCE and SLICE_BYTES, or the longest text. Null and empty texts count 0. Nothing is cut short: long words only skip the trie.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forward = kept(name, lambda: Forward(shared.value))
-        for batch in slices(batches, owner=name):
+        for batch in slices(batches, limit=SLICE_BYTES, owner=name):
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
                 found = (text or "").split()

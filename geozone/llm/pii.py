@@ -328,7 +328,7 @@ CHUNK = 48
 CONTEXT = 8
 
 
-def decode(field: Field, texts: list[str], rows: int = 16_384) -> list[list[Span]]:
+def decode(field: Field, texts: list[str], rows: int = 4_096) -> list[list[Span]]:
     """Spans of the field in each text. All words of all texts are decoded, in chunks with context, side by side."""
     found = [words_of(t) for t in texts]
     sizes = np.array([len(s) for s, _, _ in found], np.int64)

@@ -1,3 +1,4 @@
+import tracemalloc
 from functools import cache
 
 import numpy as np
@@ -75,6 +76,30 @@ def test_only_the_first_letters_are_nodes():
     assert [forward.count(w) for w in words * 2] == [brute(w, scores) for w in words * 2]
 
 
+def test_words_met_in_one_text_do_not_fill_the_memory():
+    forward = counts.Forward(counts.zipf_scores([*"0123456789", "12"]))
+    tracemalloc.start()
+    for k in range(0, 800_000, 400):
+        forward.total([str(n) for n in range(k, k + 400)] + ["1212", "712"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20  # over 80 with a table of all 800,000
+    assert {"1212", "712"} <= forward.known.keys()
+
+
+def test_totals_do_not_depend_on_what_is_remembered(monkeypatch):
+    rng = np.random.default_rng(8)
+    scores = counts.zipf_scores(["\u2581", *"abc", "\u2581a", "ab", "bca", "cc"])
+    texts = [["".join(rng.choice(list("abcd"), n)) for n in rng.integers(1, 6, 40)] for _ in range(60)]
+    want = [sum(brute("\u2581" + w, scores) for w in words) for words in texts]
+    for words, once in ((300_000, 100_000), (30, 100_000), (300_000, 20), (5, 5), (0, 0)):
+        monkeypatch.setattr(counts, "WORDS", words)
+        monkeypatch.setattr(counts, "ONCE", once)
+        forward = counts.Forward(scores)
+        assert [forward.total(t) for t in texts] == want
+        assert len(forward.known) <= words + 40 and len(forward.once) <= once + 40
+
+
 def test_a_worker_keeps_only_what_its_own_query_left():
     made = []
     forward = lambda name: common.kept(name, lambda: made.append(name) or name)
