@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +14,8 @@ from geozone.llm.common import kept, slices
 
 # Nodes of a trie, words met in several texts and words met in one, whose counts are remembered, before a task starts anew.
 NODES = 100_000
-WORDS = 300_000
-ONCE = 100_000
+WORDS = 400_000
+ONCE = 200_000
 # Text bytes that are words at a time: as Python strings they take several times that.
 SLICE_BYTES = 1 << 20
 # Words longer than this share no prefixes worth keeping; they are counted without nodes.
@@ -117,8 +116,12 @@ class Forward:
                 own[word] = self.count(START + word)
             else:
                 known[word] = found
+        known.update(own)
+        total = sum(map(known.__getitem__, words))
+        for word in own:
+            del known[word]
         once.update(own)
-        return sum(map(known.get, words, repeat(0))) + sum(map(own.__getitem__, filter(own.__contains__, words)))
+        return total
 
     def count(self, word: str) -> int:
         if len(word) > LONG:
